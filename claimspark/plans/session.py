@@ -29,12 +29,26 @@ SESSION_DEFAULTS: dict[str, str] = {
     # limits.  Anything larger is joined with a shuffle instead.
     "spark.sql.autoBroadcastJoinThreshold": "32MB",
     "spark.sql.adaptive.autoBroadcastJoinThreshold": "32MB",
+    # A sort-merge join whose post-shuffle partitions are all under this size
+    # runs as a shuffled hash join (no sort); larger ones stay sort-merge,
+    # which can spill.
+    "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": "64MB",
     "spark.sql.files.maxPartitionBytes": "128MB",
     "spark.sql.session.timeZone": "UTC",
     "spark.ui.enabled": "false",
 }
 
 
+def recommended_shuffle_partitions(input_bytes: int, cores: int,
+                                   target_bytes: int = 128 * 1024 * 1024) -> int:
+    """Initial shuffle partition count: about one ``target_bytes`` slice of
+    input per partition, at least two per core.  Adaptive execution then
+    coalesces small post-shuffle partitions and splits skewed ones, so this
+    only has to be large enough that no partition spills badly.
+    """
+    return max(2 * cores, -(-input_bytes // target_bytes))
+
+
 def build_session(
     master: str | None = None,
     app_name: str = "claimspark",

@@ -28,6 +28,7 @@ from claimspark.operators.extract import (
 )
 from claimspark.operators.limits import preview
 from claimspark.plans.session import scratch_path, unique_suffix
+from claimspark.plans.workflows import run_cohort
 from claimspark.sources.catalog import load_outputs, row_counts, scan, testdata_catalog
 from claimspark.sources.files import read_extract_csv
 from claimspark.sources.fixtures import ClaimsTables, claims_tables
@@ -108,10 +109,13 @@ def q_preview_limit(spark, sf_dir):
 
 
 def q_output_row_counts(spark, sf_dir):
-    tables = C.cohort_tables(_cohort_subjects(spark, sf_dir), _cohort())
+    # run the cohort, expose each written output under its platform-style
+    # name, then load them by name (S2) and count
     cohort_id = f"CHT_{unique_suffix().upper()}"
+    written = run_cohort(spark, _cohort_subjects(spark, sf_dir), _cohort(), cohort_id,
+                         scratch_path(spark, "cohort"))
     names = []
-    for area, df in tables.items():
+    for area, df in written.items():
         name = sinks.cohort_table_name(cohort_id, area)
         df.createOrReplaceTempView(name)
         names.append(name)
@@ -123,7 +127,7 @@ def q_output_row_counts(spark, sf_dir):
 def q_csv_roundtrip(spark, sf_dir):
     path = scratch_path(spark, "extract-csv")
     sinks.write_extract_csv(_extract(spark, sf_dir), path)
-    return read_extract_csv(spark, path)
+    return read_extract_csv(spark, path)  # explicit schema: no inference pass
 
 
 def q_publish_readback(spark, sf_dir):
@@ -145,7 +149,7 @@ def q_export_readback(spark, sf_dir):
     tables = C.cohort_tables(_cohort_subjects(spark, sf_dir), _cohort())
     root = scratch_path(spark, "export")
     paths = sinks.export({"cohort_medical_events": tables[C.MEDICAL]}, root)
-    return spark.read.parquet(paths["cohort_medical_events"])
+    return spark.read.schema(tables[C.MEDICAL].schema).parquet(paths["cohort_medical_events"])
 
 
 def q_materialize_readback(spark, sf_dir):
@@ -310,12 +314,12 @@ def q_cohort_patients(spark, sf_dir):
 
 
 def q_cohort_output_tables(spark, sf_dir):
-    tables = C.cohort_tables(_cohort_subjects(spark, sf_dir), _cohort())
     cohort_id = f"CHT_{unique_suffix().upper()}"
-    paths = sinks.write_cohort(tables, cohort_id, scratch_path(spark, "cohort"))
-    parts = [spark.read.parquet(p).agg(F.count(F.lit(1)).alias("row_count"))
+    written = run_cohort(spark, _cohort_subjects(spark, sf_dir), _cohort(), cohort_id,
+                         scratch_path(spark, "cohort"))
+    parts = [df.agg(F.count(F.lit(1)).alias("row_count"))
              .select(F.lit(area).alias("output_type"), "row_count")
-             for area, p in paths.items()]
+             for area, df in written.items()]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

@@ -13,6 +13,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from claimspark.functions.names import table_type
 
@@ -24,6 +25,24 @@ TEST_TABLES = (
 )
 
 
+_SCHEMAS: dict[str, T.StructType] = {}
+
+
+def read_parquet(spark: SparkSession, path: str) -> DataFrame:
+    """``spark.read.parquet`` with the footer schema looked up once per path.
+
+    Inferring a parquet schema runs a small Spark job; a query that reads the
+    same table several times (or many queries in one session) would pay it
+    each time.  The file listing is still done on every read, so new files
+    are seen; only the schema is remembered.
+    """
+    schema = _SCHEMAS.get(path)
+    if schema is None:
+        schema = spark.read.parquet(path).schema
+        _SCHEMAS[path] = schema
+    return spark.read.schema(schema).parquet(path)
+
+
 @dataclass(frozen=True)
 class Manifestation:
     """One physical copy of a dataset: a catalog table or a file location."""
@@ -34,6 +53,8 @@ class Manifestation:
     def read(self, spark: SparkSession) -> DataFrame:
         if self.format == "table":
             return spark.table(self.location)
+        if self.format == "parquet":
+            return read_parquet(spark, self.location)
         return spark.read.format(self.format).load(self.location)
 
 

@@ -14,14 +14,14 @@ so column pruning and filter pushdown reach the files.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from claimspark.sources.catalog import read_parquet
+
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return read_parquet(spark, f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
 def _case(col: Column, mapping: list[tuple[object, object]], default: object) -> Column:
@@ -43,9 +43,16 @@ SPECIALTY_OTHER = "PAIN"
 
 
 def _lines_with_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order lines with their order header: a join of two fact-sized tables.
+
+    It is declared a shuffle (sort-merge) join: neither side has a size bound,
+    so neither may be broadcast, whatever a small test file suggests.  With
+    adaptive execution a sort-merge join whose partitions all turn out small
+    is run as a shuffled hash join instead (a measured, size-checked switch).
+    """
     li = read_table(spark, sf_dir, "lineitem")
     orders = read_table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
-    return li.join(orders, li["l_orderkey"] == orders["o_orderkey"], "inner")
+    return li.join(orders.hint("merge"), li["l_orderkey"] == orders["o_orderkey"], "inner")
 
 
 def medical_events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -147,24 +154,39 @@ def plans(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@dataclass(frozen=True)
 class ClaimsTables:
-    """The subject tables of one data set, as lazy frames."""
-
-    medical_events: DataFrame
-    pharmacy_events: DataFrame
-    providers: DataFrame
-    demographics: DataFrame
-    geography: DataFrame
-    plans: DataFrame
+    """The subject tables of one data set, as lazy frames.
+
+    Each frame is built on first access only, so a query that touches two
+    tables does not pay the (driver-side) plan construction of six.
+    """
+
+    _BUILDERS = {
+        "medical_events": medical_events,
+        "pharmacy_events": pharmacy_events,
+        "providers": providers,
+        "demographics": demographics,
+        "geography": geography,
+        "plans": plans,
+    }
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self._spark = spark
+        self._sf_dir = sf_dir
+        self._built: dict[str, DataFrame] = {}
+
+    def _get(self, name: str) -> DataFrame:
+        if name not in self._built:
+            self._built[name] = self._BUILDERS[name](self._spark, self._sf_dir)
+        return self._built[name]
+
+    medical_events = property(lambda self: self._get("medical_events"))
+    pharmacy_events = property(lambda self: self._get("pharmacy_events"))
+    providers = property(lambda self: self._get("providers"))
+    demographics = property(lambda self: self._get("demographics"))
+    geography = property(lambda self: self._get("geography"))
+    plans = property(lambda self: self._get("plans"))
 
 
 def claims_tables(spark: SparkSession, sf_dir: str) -> ClaimsTables:
-    return ClaimsTables(
-        medical_events=medical_events(spark, sf_dir),
-        pharmacy_events=pharmacy_events(spark, sf_dir),
-        providers=providers(spark, sf_dir),
-        demographics=demographics(spark, sf_dir),
-        geography=geography(spark, sf_dir),
-        plans=plans(spark, sf_dir),
-    )
+    return ClaimsTables(spark, sf_dir)
