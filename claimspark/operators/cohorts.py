@@ -29,6 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from claimspark.functions.dates import parse_date_lenient
+from claimspark.operators.joins import semi_join
 from claimspark.plans.session import ensure_checkpoint_dir
 
 MEDICAL = "plaid-medical-events"
@@ -122,10 +123,10 @@ def restrict(area: str, table: DataFrame, ids: DataFrame, cohort_events_df: Data
     if how is None:
         raise ValueError(f"unknown output area {area!r}")
     if how == "patient":
-        return table.join(ids, "patient_id", "left_semi")
+        return semi_join(table, ids, ["patient_id"])
     event_col, table_col = how
     keys = cohort_events_df.select(F.col(event_col).alias(table_col)).distinct()
-    return table.join(keys, table_col, "left_semi")
+    return semi_join(table, keys, [table_col])
 
 
 def area_tables(tables) -> dict[str, DataFrame]:
@@ -146,7 +147,7 @@ def cohort_tables(subjects: Mapping[str, DataFrame], cohort: Cohort,
     events = subjects[MEDICAL]
     if ids is None:
         ids = materialized_patients(events, cohort)
-    cohort_medical = events.join(ids, "patient_id", "left_semi")
+    cohort_medical = semi_join(events, ids, ["patient_id"])
     out: dict[str, DataFrame] = {}
     for area in cohort.outputs:
         if area not in SUBJECT_AREAS:
@@ -176,4 +177,4 @@ def cohort_entity_counts(events: DataFrame, cohort: Cohort, ids: DataFrame | Non
     entities = list(cohort.entities_to_count) or list(cohort.entities)
     if ids is None:
         ids = materialized_patients(events, cohort)
-    return entity_counts(events.join(ids, "patient_id", "left_semi"), entities, approx)
+    return entity_counts(semi_join(events, ids, ["patient_id"]), entities, approx)

@@ -9,12 +9,13 @@ from __future__ import annotations
 
 from datetime import date
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from claimspark.functions.dates import age_years, month_text, parse_date_strict
 from claimspark.functions.flags import ROBOTIC_CODE
 from claimspark.functions.labels import TARGET_CODES, label_col
+from claimspark.operators.joins import semi_join
 from claimspark.operators.limits import top_k
 
 # The app's dimensions and default month floor.
@@ -75,7 +76,7 @@ def keep_robotic_visits(df: DataFrame, robotic_code: str = ROBOTIC_CODE) -> Data
     duplicates rows and lets the planner broadcast the (usually small) key side
     or split a skewed patient partition.
     """
-    return df.join(robotic_visits(df, robotic_code), ["patient_id", "service_date"], "left_semi")
+    return semi_join(df, robotic_visits(df, robotic_code), ["patient_id", "service_date"])
 
 
 def select_procedures(
@@ -159,7 +160,3 @@ def payer_mix_by_state(df: DataFrame) -> DataFrame:
     return (_volume_by(df, ["provider_state", "payer_name"])
             .orderBy(F.desc("procedure_volume"),
                      F.asc_nulls_first("provider_state"), F.asc_nulls_first("payer_name")))
-
-
-def month_window_filter(lo: str, hi: str) -> Column:
-    return F.col("procedure_month").between(F.lit(lo), F.lit(hi))

@@ -24,11 +24,12 @@ def unique_keys(table_1: DataFrame, table_2: DataFrame, key: str = "prescriber_n
     """``SELECT key FROM t1 EXCEPT SELECT key FROM t2``.
 
     Set semantics: duplicates removed, and a null key in ``t2`` removes a null
-    in ``t1``.  Planned as a partial distinct per task, then a null-safe
-    anti-join, so a key held by many rows costs one row per task in the
-    shuffle.
+    in ``t1``.  Each side is de-duplicated first (a partial distinct per task
+    runs before any shuffle), so a prescriber holding a large share of all
+    rows costs one row per task in the exchange; only the distinct keys reach
+    the null-safe anti-join.
     """
-    return table_1.select(key).subtract(table_2.select(key))
+    return table_1.select(key).distinct().subtract(table_2.select(key).distinct())
 
 
 def new_prescribers(later: DataFrame, earlier: DataFrame, key: str = "prescriber_npi") -> DataFrame:

@@ -25,6 +25,7 @@ from claimspark.operators import cohorts as C
 from claimspark.operators import models as M
 from claimspark.operators import providers as V
 from claimspark.operators.extract import procedure_adoption_from
+from claimspark.operators.joins import semi_join
 
 
 def write_all(tables: Mapping[str, DataFrame], paths: Mapping[str, str],
@@ -58,9 +59,9 @@ def run_cohort(spark: SparkSession, subjects: Mapping[str, DataFrame], cohort: C
 
     med_path = paths.get(C.MEDICAL)
     if med_path is None:
-        cohort_medical = subjects[C.MEDICAL].join(ids, "patient_id", "left_semi")
+        cohort_medical = semi_join(subjects[C.MEDICAL], ids, ["patient_id"])
     else:
-        subjects[C.MEDICAL].join(ids, "patient_id", "left_semi") \
+        semi_join(subjects[C.MEDICAL], ids, ["patient_id"]) \
             .write.mode("errorifexists").format(fmt).save(med_path)
         cohort_medical = spark.read.schema(subjects[C.MEDICAL].schema).format(fmt).load(med_path)
 

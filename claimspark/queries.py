@@ -29,7 +29,7 @@ from claimspark.operators.extract import (
 from claimspark.operators.limits import preview
 from claimspark.plans.session import scratch_path, unique_suffix
 from claimspark.plans.workflows import run_cohort
-from claimspark.sources.catalog import load_outputs, row_counts, scan, testdata_catalog
+from claimspark.sources.catalog import load_outputs, row_counts, scan, sf_catalog
 from claimspark.sources.files import read_extract_csv
 from claimspark.sources.fixtures import ClaimsTables, claims_tables
 
@@ -101,7 +101,7 @@ def _cohort_subjects(spark, sf_dir) -> dict[str, DataFrame]:
 # ---------------------------------------------------------------- sources ---
 
 def q_scan_table(spark, sf_dir):
-    return scan(spark, testdata_catalog(sf_dir), "customer")
+    return scan(spark, sf_catalog(sf_dir), "customer")
 
 
 def q_preview_limit(spark, sf_dir):

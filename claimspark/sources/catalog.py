@@ -78,7 +78,7 @@ class DatasetCatalog:
         return {n: self.resolve(n) for n in names}
 
 
-def testdata_catalog(sf_dir: str) -> DatasetCatalog:
+def sf_catalog(sf_dir: str) -> DatasetCatalog:
     cat = DatasetCatalog()
     for t in TEST_TABLES:
         cat.register(t, Manifestation(f"{sf_dir.rstrip('/')}/{t}.parquet", "parquet"))
