@@ -227,6 +227,7 @@ FROM (SELECT prescriber_npi FROM rx_later EXCEPT SELECT prescriber_npi FROM rx_e
 JOIN providers p ON u.prescriber_npi IS NOT DISTINCT FROM p.npi""",
     "events_with_modifier": f"SELECT {ME_ALL} FROM medical_events WHERE upper(modifiers) IS NOT NULL",
     "publish_readback": f"SELECT {ME_ALL} FROM medical_events WHERE upper(modifiers) IS NOT NULL",
+    "modifier_refresh_stream": f"SELECT {ME_ALL} FROM medical_events WHERE upper(modifiers) IS NOT NULL",
     "events_with_modifier_token": f"""
 SELECT {ME_ALL} FROM medical_events WHERE list_contains(string_split(modifiers, '|'), 'HE')""",
     "cohort_patients": "SELECT patient_id FROM cohort_ids",

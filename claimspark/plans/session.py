@@ -24,6 +24,8 @@ SESSION_DEFAULTS: dict[str, str] = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "4",
     "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "128MB",
+    # split a skewed join partition even when that costs an extra shuffle
+    "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.adaptive.advisoryPartitionSizeInBytes": "128MB",
     # Static (file-statistics) and runtime (measured shuffle size) broadcast
     # limits.  Anything larger is joined with a shuffle instead.
@@ -72,7 +74,14 @@ def build_session(
 
 
 def _is_local(spark: SparkSession) -> bool:
-    return spark.sparkContext.master.startswith("local")
+    return (spark.conf.get("spark.master", "") or "").startswith("local")
+
+
+def _context_checkpoint_dir(spark: SparkSession) -> str | None:
+    try:
+        return spark.sparkContext.getCheckpointDir()
+    except Exception:  # noqa: BLE001 - no context on this client (e.g. Spark Connect)
+        return None
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -86,7 +95,7 @@ def shared_root(spark: SparkSession) -> str:
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
         return root.rstrip("/")
-    current = spark.sparkContext.getCheckpointDir()
+    current = _context_checkpoint_dir(spark)
     if current:
         # the context folder carries a per-application suffix; use its parent
         return current.rstrip("/").rsplit("/", 1)[0]
@@ -96,15 +105,21 @@ def shared_root(spark: SparkSession) -> str:
             "for checkpoints and written intermediate tables"
         )
     root = tempfile.mkdtemp(prefix="claimspark-ckpt-")
-    spark.sparkContext.setCheckpointDir(root)
+    try:
+        spark.sparkContext.setCheckpointDir(root)
+    except Exception:  # noqa: BLE001
+        pass
     return root
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Make sure ``DataFrame.checkpoint`` has a reliable folder; return it."""
     root = shared_root(spark)
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(root)
+    if not _context_checkpoint_dir(spark):
+        try:
+            spark.sparkContext.setCheckpointDir(root)
+        except Exception:  # noqa: BLE001 - server-side sessions read spark.checkpoint.dir
+            pass
     return root
 
 

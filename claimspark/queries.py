@@ -307,6 +307,31 @@ def q_events_with_modifier_token(spark, sf_dir):
     return V.events_with_modifier_token(_events(spark, sf_dir), "HE")
 
 
+def q_modifier_refresh_stream(spark, sf_dir):
+    # the order-line files arrive as a stream; each micro-batch is joined to
+    # the (static) orders, shaped into medical events and filtered (F5);
+    # the appended dataset is read back whole
+    from claimspark.sources.catalog import read_parquet
+    from claimspark.sources.fixtures import events_from_lines, read_table
+    from claimspark.streaming.refresh import event_stream, refresh_modifier_dataset
+
+    lines = event_stream(spark, sf_dir, read_parquet(spark, f"{sf_dir}/lineitem.parquet").schema,
+                         file_glob="lineitem.parquet")
+    orders = read_table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
+
+    def prepare(stream):
+        joined = stream.join(orders, stream["l_orderkey"] == orders["o_orderkey"], "inner")
+        return events_from_lines(joined).select(*MEDICAL_EVENT_COLUMNS)
+
+    root = scratch_path(spark, "refresh")
+    query = refresh_modifier_dataset(lines, f"{root}/data", f"{root}/_checkpoint", prepare)
+    query.awaitTermination()
+    if query.exception() is not None:
+        raise query.exception()
+    schema = _events(spark, sf_dir).schema
+    return spark.read.schema(schema).parquet(f"{root}/data")
+
+
 # ---------------------------------------------------------------- cohorts ---
 
 def q_cohort_patients(spark, sf_dir):
@@ -370,6 +395,7 @@ QUERIES: dict[str, Query] = {
     "new_prescribers_enriched": q_new_prescribers_enriched,
     "events_with_modifier": q_events_with_modifier,
     "events_with_modifier_token": q_events_with_modifier_token,
+    "modifier_refresh_stream": q_modifier_refresh_stream,
     "cohort_patients": q_cohort_patients,
     "cohort_output_tables": q_cohort_output_tables,
     "cohort_entity_counts": q_cohort_entity_counts,

@@ -57,7 +57,12 @@ def _lines_with_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def medical_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One event per order line; the lines of one order share patient and date."""
-    j = _lines_with_orders(spark, sf_dir)
+    return events_from_lines(_lines_with_orders(spark, sf_dir))
+
+
+def events_from_lines(j: DataFrame) -> DataFrame:
+    """The medical-event projection of order lines joined to their orders
+    (works on a batch or a streaming frame)."""
     date_text = F.col("o_orderdate").cast("date").cast("string")
     return j.select(
         F.col("o_custkey").alias("patient_id"),
