@@ -13,9 +13,13 @@ visible.  This module is **our reading** of that payload:
   medical events (J8);
 * entity counts (A14) are exact distinct counts (approximate on request).
 
-Scale: the patient id set is computed once and cut from its lineage with a
-reliable checkpoint in the shared folder, so the filter over the event table
+Scale: the patient id set is computed once and written as a table in the
+shared folder (``spark.checkpoint.dir``), so the filter over the event table
 is not re-run for every output table and a lost executor does not force it.
+A written table rather than ``checkpoint()``: a checkpoint keeps the hash
+partitioning of the distinct, so the planner would not shuffle the id side
+again, and adaptive skew handling only splits a hot patient's partition when
+both sides of the semi-join are shuffle stages.
 """
 
 from __future__ import annotations
@@ -30,7 +34,7 @@ from pyspark.sql import functions as F
 
 from claimspark.functions.dates import parse_date_lenient
 from claimspark.operators.joins import semi_join
-from claimspark.plans.session import ensure_checkpoint_dir
+from claimspark.plans.session import scratch_path
 
 MEDICAL = "plaid-medical-events"
 PHARMACY = "plaid-pharmacy-events"
@@ -111,10 +115,13 @@ def cohort_patients(events: DataFrame, cohort: Cohort) -> DataFrame:
     return cohort_events(events, cohort).select("patient_id").distinct()
 
 
-def materialized_patients(events: DataFrame, cohort: Cohort) -> DataFrame:
-    """The cohort ids, checkpointed to the shared folder (lineage cut)."""
-    ensure_checkpoint_dir(events.sparkSession)
-    return cohort_patients(events, cohort).checkpoint(eager=True)
+def materialized_patients(events: DataFrame, cohort: Cohort, path: str | None = None) -> DataFrame:
+    """The cohort ids, written once below the shared folder and read back."""
+    spark = events.sparkSession
+    target = path or scratch_path(spark, "cohort-ids")
+    ids = cohort_patients(events, cohort)
+    ids.write.mode("errorifexists").parquet(target)
+    return spark.read.schema(ids.schema).parquet(target)
 
 
 def restrict(area: str, table: DataFrame, ids: DataFrame, cohort_events_df: DataFrame) -> DataFrame:

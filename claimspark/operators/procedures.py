@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from claimspark.functions.dates import age_years, month_text, parse_date_strict
 from claimspark.functions.flags import ROBOTIC_CODE
 from claimspark.functions.labels import TARGET_CODES, label_col
-from claimspark.operators.joins import semi_join
+from claimspark.operators.joins import DEFAULT_ROWS_PER_SPLIT, salted_join
 from claimspark.operators.limits import top_k
 
 # The app's dimensions and default month floor.
@@ -69,14 +69,23 @@ def robotic_visits(df: DataFrame, robotic_code: str = ROBOTIC_CODE) -> DataFrame
               .select("patient_id", "service_date").distinct())
 
 
-def keep_robotic_visits(df: DataFrame, robotic_code: str = ROBOTIC_CODE) -> DataFrame:
+VISIT_KEYS = ["patient_id", "service_date"]
+
+
+def keep_robotic_visits(df: DataFrame, robotic_code: str = ROBOTIC_CODE,
+                        rows_per_split: int = DEFAULT_ROWS_PER_SPLIT) -> DataFrame:
     """Keep rows whose (patient, date) pair also has the robotic code.
 
     An inner join against *distinct* keys equals a left semi-join, which never
-    duplicates rows and lets the planner broadcast the (usually small) key side
-    or split a skewed patient partition.
+    duplicates rows.  The key side comes out of an aggregate, not a shuffle
+    stage, so adaptive skew handling could not split a visit holding a large
+    share of the rows; the semi-join is salted instead: visits with at least
+    ``rows_per_split`` rows are spread over several tasks (by a hash of all
+    other columns).
     """
-    return semi_join(df, robotic_visits(df, robotic_code), ["patient_id", "service_date"])
+    salt_by = [c for c in df.columns if c not in VISIT_KEYS] or VISIT_KEYS
+    return salted_join(df, robotic_visits(df, robotic_code), VISIT_KEYS, salt_by,
+                       rows_per_split, how="left_semi")
 
 
 def select_procedures(
@@ -85,9 +94,10 @@ def select_procedures(
     month_lo: str,
     month_hi: str,
     robotic_only: bool = False,
+    rows_per_split: int = DEFAULT_ROWS_PER_SPLIT,
 ) -> DataFrame:
     """F10 + F1 + F3: the app's filter panel applied to the target-code frame."""
-    base = keep_robotic_visits(df) if robotic_only else df
+    base = keep_robotic_visits(df, rows_per_split=rows_per_split) if robotic_only else df
     return filter_month_range(filter_code(base, code), month_lo, month_hi)
 
 
