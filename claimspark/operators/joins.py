@@ -42,10 +42,17 @@ def hot_keys(df: DataFrame, on: Sequence[str], rows_per_split: int = DEFAULT_ROW
     themselves cost one row per task in its shuffle.  At most ``max_keys``
     keys (the largest) are returned: a bounded table.
     """
-    counts = (df.groupBy(*on).agg(F.count(F.lit(1)).alias("__rows"))
-                .filter(F.col("__rows") >= F.lit(rows_per_split)))
-    top = counts.orderBy(F.desc("__rows"), *[F.asc_nulls_first(k) for k in on]).limit(max_keys)
-    return top.select(*on, F.ceil(F.col("__rows") / F.lit(rows_per_split)).cast("int").alias(_SALTS))
+    counts = df.groupBy(*on).agg(F.count(F.lit(1)).alias("__rows"))
+    return hot_keys_from_counts(counts, on, "__rows", rows_per_split, max_keys)
+
+
+def hot_keys_from_counts(counts: DataFrame, on: Sequence[str], rows_col: str,
+                         rows_per_split: int = DEFAULT_ROWS_PER_SPLIT,
+                         max_keys: int = MAX_HOT_KEYS) -> DataFrame:
+    """``hot_keys`` from an existing per-key row count (one row per key)."""
+    hot = counts.filter(F.col(rows_col) >= F.lit(rows_per_split))
+    top = hot.orderBy(F.desc(rows_col), *[F.asc_nulls_first(k) for k in on]).limit(max_keys)
+    return top.select(*on, F.ceil(F.col(rows_col) / F.lit(rows_per_split)).cast("int").alias(_SALTS))
 
 
 def salted_join(

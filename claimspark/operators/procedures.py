@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from claimspark.functions.dates import age_years, month_text, parse_date_strict
 from claimspark.functions.flags import ROBOTIC_CODE
 from claimspark.functions.labels import TARGET_CODES, label_col
-from claimspark.operators.joins import DEFAULT_ROWS_PER_SPLIT, salted_join
+from claimspark.operators.joins import DEFAULT_ROWS_PER_SPLIT, hot_keys_from_counts, salted_join
 from claimspark.operators.limits import top_k
 
 # The app's dimensions and default month floor.
@@ -81,11 +81,17 @@ def keep_robotic_visits(df: DataFrame, robotic_code: str = ROBOTIC_CODE,
     stage, so adaptive skew handling could not split a visit holding a large
     share of the rows; the semi-join is salted instead: visits with at least
     ``rows_per_split`` rows are spread over several tasks (by a hash of all
-    other columns).
+    other columns).  One partial-aggregated pass per visit gives both the
+    robotic visit keys and the row count that finds the hot visits.
     """
+    code = F.col("procedure_code") == F.lit(robotic_code)
+    visits = df.groupBy(*VISIT_KEYS).agg(F.count(F.lit(1)).alias("__rows"),
+                                         F.max(code).alias("__robotic"))
+    robotic = visits.filter(F.col("__robotic")).select(*VISIT_KEYS)
+    hot = hot_keys_from_counts(visits, VISIT_KEYS, "__rows", rows_per_split)
     salt_by = [c for c in df.columns if c not in VISIT_KEYS] or VISIT_KEYS
-    return salted_join(df, robotic_visits(df, robotic_code), VISIT_KEYS, salt_by,
-                       rows_per_split, how="left_semi")
+    return salted_join(df, robotic, VISIT_KEYS, salt_by, rows_per_split, hot=hot,
+                       how="left_semi")
 
 
 def select_procedures(

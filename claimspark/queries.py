@@ -52,20 +52,34 @@ def _tables(spark: SparkSession, sf_dir: str) -> ClaimsTables:
     return claims_tables(spark, sf_dir)
 
 
+def _view(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """A shared intermediate frame (a view), defined once per session.
+
+    Only the plan is kept; nothing is cached, every query still reads the
+    whole tables.
+    """
+    memo = spark.__dict__.setdefault("_claimspark_views", {})
+    key = (sf_dir.rstrip("/"), name)
+    if key not in memo:
+        memo[key] = build()
+    return memo[key]
+
+
 def _extract(spark, sf_dir) -> DataFrame:
-    return procedure_adoption_from(_tables(spark, sf_dir))
+    return _view(spark, sf_dir, "extract", lambda: procedure_adoption_from(_tables(spark, sf_dir)))
 
 
 def _stg(spark, sf_dir) -> DataFrame:
-    return M.stg_procedure_events(M.base_procedure_events(_extract(spark, sf_dir)), AS_OF)
+    return _view(spark, sf_dir, "stg", lambda: M.stg_procedure_events(
+        M.base_procedure_events(_extract(spark, sf_dir)), AS_OF))
 
 
 def _app(spark, sf_dir) -> DataFrame:
-    return P.prepare(_extract(spark, sf_dir), SOURCE_TAG, AS_OF)
+    return _view(spark, sf_dir, "app", lambda: P.prepare(_extract(spark, sf_dir), SOURCE_TAG, AS_OF))
 
 
 def _targets(spark, sf_dir) -> DataFrame:
-    return P.filter_codes(_app(spark, sf_dir))
+    return _view(spark, sf_dir, "targets", lambda: P.filter_codes(_app(spark, sf_dir)))
 
 
 def _filtered(spark, sf_dir, robotic_only: bool = False) -> DataFrame:

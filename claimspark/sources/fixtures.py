@@ -194,4 +194,14 @@ class ClaimsTables:
 
 
 def claims_tables(spark: SparkSession, sf_dir: str) -> ClaimsTables:
-    return ClaimsTables(spark, sf_dir)
+    """The subject tables over ``sf_dir``, defined once per session.
+
+    Defining a DataFrame costs driver time (each transformation is analysed),
+    so like any long-lived Spark job the frames are defined once and reused by
+    every query of the session.  Only plans are kept, never data.
+    """
+    memo = spark.__dict__.setdefault("_claimspark_tables", {})
+    key = sf_dir.rstrip("/")
+    if key not in memo:
+        memo[key] = ClaimsTables(spark, key)
+    return memo[key]
