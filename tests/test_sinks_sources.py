@@ -125,3 +125,22 @@ def test_procedure_models_workflow(spark, tables):
     stg = spark.read.parquet(paths["stg_procedure_events"])
     total = spark.read.parquet(paths["mart_procedure_trends"]).agg(F.sum("procedure_volume")).first()[0]
     assert total == stg.count() == 4276
+
+
+def test_catalog_batch_lookup(spark):
+    cat = sf_catalog(SF_SMALL)
+    names = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem",
+             "events", "labels", "pages"]
+    resolved = cat.resolve_many(names)
+    assert list(resolved) == names
+    assert all(m.format == "parquet" and m.location.endswith(f"{n}.parquet")
+               for n, m in resolved.items())
+    with pytest.raises(KeyError):
+        cat.resolve_many(["region", "missing"])
+
+
+def test_load_outputs_later_table_wins(spark):
+    spark.range(1).createOrReplaceTempView("RUN_A_0_PLAID_PLANS")
+    spark.range(4).createOrReplaceTempView("RUN_B_0_PLAID_PLANS")
+    loaded = load_outputs(spark, ["RUN_A_0_PLAID_PLANS", "RUN_B_0_PLAID_PLANS"])
+    assert list(loaded) == ["PLAID_PLANS"] and loaded["PLAID_PLANS"].count() == 4
