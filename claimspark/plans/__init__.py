@@ -1 +1,2 @@
-"""plans."""
+"""Session settings, shared-folder helpers, whole workflows and plan
+inspection."""

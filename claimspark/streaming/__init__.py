@@ -1 +1 @@
-"""streaming."""
+"""Structured Streaming: incremental refresh of a published dataset."""
