@@ -19,6 +19,36 @@ from claimspark.plans.session import build_session  # noqa: E402
 from claimspark.queries import QUERIES  # noqa: E402
 
 
+GUIDE = """How to read these plans at scale:
+
+- **Fixture layer.** Every claims table is a projection of the test tables. Order lines join their
+  orders with a sort-merge join (`merge` hint: both are fact-sized). Nation/region/supplier lookups
+  are broadcast by the planner because they are small. On real data these are base tables, and the
+  plans start at the scans.
+- **Static estimates of joined dimensions.** Without CBO, Spark estimates an inner join's size as
+  the product of its inputs, so dimensions built by a join (providers, the patient dimension) show up
+  as sort-merge joins here. At run time AQE measures the shuffle output and turns them into broadcast
+  joins when the measured size is under the threshold.
+- **Star join** (`procedure_adoption` and everything built on it): plans and providers are broadcast
+  when small; the event table is shuffled once on `patient_id` against the patient dimension
+  (demographics ⋈ geography). That join is salted: the `TakeOrderedAndProject` below a
+  `BroadcastExchange` is the bounded hot-patient table (a partial/final aggregate of the event keys,
+  at most 10,000 rows). The `Generate` on the dimension side replicates hot patients' rows once per
+  piece.
+- **Aggregates** always show `HashAggregate` → `Exchange` → `HashAggregate`: a partial aggregate per
+  task runs before every shuffle.
+- **Top-k and previews** end in `TakeOrderedAndProject`: a per-task top-k plus a small merge, no
+  global sort.
+- **EXCEPT** (`new_prescribers`, `unique_hcps_reverse`): each side is de-duplicated before its
+  first exchange. The null-safe anti-join then runs on `(coalesce(k, 0), isnull(k))`.
+- **Robotic visits** (`robotic_procedures`): one aggregate per (patient, date) yields both the
+  robotic keys and the hot-visit table. The semi-join is salted like the star join.
+- **Cohort queries** write the id set first, so their semi-joins read it back from files. Both
+  inputs are then shuffle stages, which AQE can split on a hot patient. The trees shown are the
+  read-back plans.
+"""
+
+
 def summary(plan: str) -> tuple[str, list[str]]:
     tree = plan.split("\n\n")[0]
     notes = []
@@ -34,6 +64,7 @@ def main() -> None:
     print("# Physical plans\n")
     print(f"Generated by `tools/dump_plans.py` at `{sf_dir}` (initial adaptive plans: AQE may still "
           "turn a sort-merge join into a broadcast join or split a skewed partition at run time).\n")
+    print(GUIDE)
     for key, q in QUERIES.items():
         tree, notes = summary(plan_text(q(spark, sf_dir)))
         print(f"## {key}\n\n```\n{tree.strip()}\n```\n")
