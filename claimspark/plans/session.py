@@ -42,13 +42,17 @@ SESSION_DEFAULTS: dict[str, str] = {
 
 
 def recommended_shuffle_partitions(input_bytes: int, cores: int,
-                                   target_bytes: int = 128 * 1024 * 1024) -> int:
+                                   target_bytes: int = 128 * 1024 * 1024,
+                                   max_partitions: int = 100_000) -> int:
     """Initial shuffle partition count: about one ``target_bytes`` slice of
-    input per partition, at least two per core.  Adaptive execution then
-    coalesces small post-shuffle partitions and splits skewed ones, so this
-    only has to be large enough that no partition spills badly.
+    input per partition, at least two per core, at most ``max_partitions``
+    (beyond that the per-map-task shuffle metadata dominates; at ~100 TB the
+    cap gives ~1 GB of input per partition before adaptive re-planning).
+    Adaptive execution then coalesces small post-shuffle partitions and
+    splits skewed ones, so this only has to be large enough that no
+    partition spills badly.
     """
-    return max(2 * cores, -(-input_bytes // target_bytes))
+    return min(max(2 * cores, -(-input_bytes // target_bytes)), max(max_partitions, 2 * cores))
 
 
 def build_session(

@@ -324,7 +324,9 @@ def q_events_with_modifier_token(spark, sf_dir):
 def q_modifier_refresh_stream(spark, sf_dir):
     # the order-line files arrive as a stream; each micro-batch is joined to
     # the (static) orders, shaped into medical events and filtered (F5);
-    # the appended dataset is read back whole
+    # the appended dataset is read back whole.  (That per-batch join is the
+    # test binding's; real event files arrive as medical events already and
+    # the refresh is a plain filter-and-append, ``prepare=None``.)
     from claimspark.sources.catalog import read_parquet
     from claimspark.sources.fixtures import events_from_lines, read_table
     from claimspark.streaming.refresh import event_stream, refresh_modifier_dataset
