@@ -47,8 +47,11 @@ def run_cohort(spark: SparkSession, subjects: Mapping[str, DataFrame], cohort: C
     2. the medical-events output is written first;
     3. provider and plan keys are read from that written table (small), not
        from the event table again;
-    4. the remaining outputs are written concurrently.
-    Returns area -> the written table, read back (schema known, no inference).
+    4. the remaining outputs are written concurrently;
+    5. with ``count_entities``, entity counts (A14) are taken from the written
+       medical events (no further pass over the event table).
+    Returns area -> the written table, read back (schema known, no inference),
+    plus ``"entity-counts"`` when requested.
     """
     for area in cohort.outputs:
         if area not in C.SUBJECT_AREAS:
@@ -76,6 +79,9 @@ def run_cohort(spark: SparkSession, subjects: Mapping[str, DataFrame], cohort: C
     out = {a: (cohort_medical if a == C.MEDICAL else
                spark.read.schema(rest[a].schema).format(fmt).load(paths[a]))
            for a in cohort.outputs}
+    if cohort.count_entities:
+        entities = list(cohort.entities_to_count) or list(cohort.entities)
+        out["entity-counts"] = C.entity_counts(cohort_medical, entities)
     return out
 
 

@@ -144,3 +144,16 @@ def test_load_outputs_later_table_wins(spark):
     spark.range(4).createOrReplaceTempView("RUN_B_0_PLAID_PLANS")
     loaded = load_outputs(spark, ["RUN_A_0_PLAID_PLANS", "RUN_B_0_PLAID_PLANS"])
     assert list(loaded) == ["PLAID_PLANS"] and loaded["PLAID_PLANS"].count() == 4
+
+
+def test_run_cohort_counts_entities_when_asked(spark, tables):
+    from claimspark.plans.workflows import run_cohort
+    cohort = C.Cohort(rule=F.col("procedure_code") == "22612",
+                      time_ranges=[("1998-01-01", "1998-01-31")],
+                      outputs=(C.MEDICAL, C.PROVIDERS), count_entities=True,
+                      entities_to_count=("patient",))
+    subjects = C.area_tables(tables)
+    out = run_cohort(spark, subjects, cohort, "T1", scratch_path(spark, "cohort"))
+    assert set(out) == {C.MEDICAL, C.PROVIDERS, "entity-counts"}
+    assert {r.entity: r.entity_count for r in out["entity-counts"].collect()} == {"patient": 10}
+    assert out[C.MEDICAL].count() == 529
