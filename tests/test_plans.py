@@ -81,3 +81,17 @@ def test_no_python_udf_in_any_plan(spark):
 def test_fixture_fact_join_is_never_broadcast(spark):
     p = plan(spark, "events_with_modifier")
     assert "SortMergeJoin" in p or "ShuffledHashJoin" in p
+
+
+def test_star_join_is_salted_with_a_bounded_hot_key_table(spark):
+    p = plan(spark, "procedure_adoption")
+    # the hot-patient table: a top-k (at most 10,000 rows) that is broadcast
+    assert re.search(r"TakeOrderedAndProject \(\d+\)\n(?:.*\n)*?Arguments: 10000", p)
+    tree = p.split("\n\n")[0]
+    assert "Generate" in tree  # hot patients' dimension rows replicated once per piece
+    assert "BroadcastExchange" in tree
+
+
+def test_cohort_semi_joins_read_the_written_id_set(spark):
+    p = plan(spark, "cohort_entity_counts")
+    assert "claimspark-scratch/cohort-ids" in p
