@@ -1,8 +1,9 @@
 """Whole workflows composed from the operators, ending in write actions.
 
-These are the three flows of the reference re-expressed as Spark jobs:
+These are the flows of the reference re-expressed as Spark jobs:
 
 * ``run_procedure_models``: star join -> base -> staging -> three marts;
+* ``run_procedure_report``: the app's filter panel -> its five result frames;
 * ``run_cohort``: cohort ids -> one written table per subject area;
 * ``run_new_prescribers``: EXCEPT of two periods -> enrichment -> publish.
 
@@ -23,6 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from claimspark import sinks
 from claimspark.operators import cohorts as C
 from claimspark.operators import models as M
+from claimspark.operators import procedures as P
 from claimspark.operators import providers as V
 from claimspark.operators.extract import procedure_adoption_from
 from claimspark.operators.joins import semi_join
@@ -100,6 +102,31 @@ def run_procedure_models(tables, as_of: date | None, root: str,
     return {"stg_procedure_events": stg_path, **paths}
 
 
+def run_procedure_report(extract: DataFrame, root: str, code: str, month_lo: str, month_hi: str,
+                         robotic_only: bool = False, group_by: str = "provider_state",
+                         tag: str = "CLAIMS", as_of: date | None = None,
+                         top_k: int = P.TOP_K, fmt: str = "parquet") -> dict[str, DataFrame]:
+    """The app's page: filter once, then every chart's frame.
+
+    The filtered events are written once below ``root`` (the app keeps one
+    eager frame and re-reads it for every chart); the five aggregates read
+    that table, so the star join and the filters run once per page.
+    """
+    filtered = P.select_procedures(P.filter_codes(P.prepare(extract, tag, as_of)), code,
+                                   month_lo, month_hi, robotic_only)
+    path = f"{root.rstrip('/')}/filtered"
+    filtered.write.mode("errorifexists").format(fmt).save(path)
+    spark = extract.sparkSession
+    page = spark.read.schema(filtered.schema).format(fmt).load(path)
+    return {
+        "monthly": P.monthly_counts(page, group_by),
+        "territory_summary": P.territory_summary(page),
+        "top_diagnoses": P.top_diagnoses(page, top_k),
+        "top_payers": P.top_payers(page, top_k),
+        "payer_mix_by_state": P.payer_mix_by_state(page),
+    }
+
+
 def run_new_prescribers(later: DataFrame, earlier: DataFrame, providers: DataFrame,
                         base_name: str, at: datetime | None = None,
                         path: str | None = None) -> str:

@@ -157,3 +157,28 @@ def test_run_cohort_counts_entities_when_asked(spark, tables):
     assert set(out) == {C.MEDICAL, C.PROVIDERS, "entity-counts"}
     assert {r.entity: r.entity_count for r in out["entity-counts"].collect()} == {"patient": 10}
     assert out[C.MEDICAL].count() == 529
+
+
+def test_procedure_report_workflow(spark):
+    from claimspark.plans.workflows import run_procedure_report
+    from claimspark.queries import QUERIES, _extract
+    report = run_procedure_report(_extract(spark, SF_SMALL), scratch_path(spark, "report"),
+                                  "22612", "1996-01", "1999-12", as_of=None)
+    assert set(report) == {"monthly", "territory_summary", "top_diagnoses", "top_payers",
+                           "payer_mix_by_state"}
+    for name, key in [("territory_summary", "territory_summary"), ("top_payers", "top_payers"),
+                      ("payer_mix_by_state", "payer_mix_by_state"), ("top_diagnoses", "top_diagnoses"),
+                      ("monthly", "monthly_by_state")]:
+        got = sorted(tuple(r) for r in report[name].collect())
+        want = sorted(tuple(r) for r in QUERIES[key](spark, SF_SMALL).collect())
+        assert got == want, name
+
+
+def test_new_prescribers_workflow(spark, tables):
+    from claimspark.plans.workflows import run_new_prescribers
+    from claimspark.queries import _rx_periods
+    later, earlier = _rx_periods(spark, SF_SMALL)
+    name = run_new_prescribers(later, earlier, tables.providers, "new_hcps_",
+                               datetime(2024, 1, 2, 3, 4, 5), path=scratch_path(spark, "newhcp"))
+    assert name == "new_hcps_20240102_030405"
+    assert spark.table(name).count() == 6
