@@ -167,3 +167,32 @@ def test_aqe_cannot_split_a_join_on_a_co_partitioned_dimension(spark):
         final = plan_text(df).split("== Initial Plan ==")[0]
         assert "isFinalPlan=true" in plan_text(df)
         assert "skew=true" not in final
+
+
+def test_aqe_splits_a_hot_provider_in_the_star_join(spark):
+    """The provider join has two shuffle-stage inputs, so a provider holding
+    a large share of all events is split by adaptive execution when the
+    provider table is too large to broadcast."""
+    from claimspark.plans.inspect import plan_text
+
+    with _conf(spark, SKEW_CONF):
+        events = spark.range(60000).select(
+            (F.col("id") % 300 + 1).alias("patient_id"), F.col("id").alias("medical_event_id"),
+            F.lit("22612").alias("procedure_code"), F.lit("2024-01-01").alias("service_date"),
+            F.lit("11").alias("place_of_service"),
+            F.when(F.col("id") < 25000, F.lit(7)).otherwise(F.col("id") % 400).cast("long")
+            .alias("rendering_npi"),
+            F.lit(None).cast("string").alias("diagnosis_codes"), (F.col("id") % 3).alias("kh_plan_id"))
+        providers = spark.range(400).select(
+            F.col("id").alias("npi"), F.lit("A").alias("first_name"), F.lit("S").alias("primary_specialty"),
+            F.lit("CA").alias("provider_state"), F.lit("9").alias("provider_zip"))
+        demo = spark.range(1, 301).select(F.col("id").alias("patient_id"),
+                                          F.lit("1980-01-01").alias("patient_yob"),
+                                          F.lit("F").alias("patient_gender"))
+        geo = spark.range(1, 301).select(F.col("id").alias("patient_id"), F.lit(1).alias("geo_id"))
+        plans = spark.range(3).select(F.col("id").alias("kh_plan_id"), F.lit("P").alias("payer_name"),
+                                      F.lit("R").alias("parent_name"))
+        df = procedure_adoption(events, providers, demo, geo, plans)
+        assert len(df.collect()) == 60000
+        final = plan_text(df).split("== Initial Plan ==")[0]
+        assert "skew=true" in final
