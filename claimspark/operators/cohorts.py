@@ -36,17 +36,17 @@ from claimspark.functions.dates import parse_date_lenient
 from claimspark.operators.joins import semi_join
 from claimspark.plans.session import scratch_path
 
-MEDICAL = "plaid-medical-events"
-PHARMACY = "plaid-pharmacy-events"
-DEMOGRAPHICS = "plaid-patient-demographics"
-ENROLLMENT = "plaid-patient-enrollment"
-GEOGRAPHY = "plaid-patient-geography"
-PLANS = "plaid-plans"
-PROVIDERS = "plaid-providers"
-CLOSED = "plaid-patient-closed"
-INSURANCE = "plaid-patient-insurance"
-MORTALITY = "plaid-mortality"
-RACE_ETHNICITY = "plaid-patient-race-ethnicity"
+MEDICAL = "claims-medical-events"
+PHARMACY = "claims-pharmacy-events"
+DEMOGRAPHICS = "claims-patient-demographics"
+ENROLLMENT = "claims-patient-enrollment"
+GEOGRAPHY = "claims-patient-geography"
+PLANS = "claims-plans"
+PROVIDERS = "claims-providers"
+CLOSED = "claims-patient-closed"
+INSURANCE = "claims-patient-insurance"
+MORTALITY = "claims-mortality"
+RACE_ETHNICITY = "claims-patient-race-ethnicity"
 
 # The eleven subject areas a cohort can output, and how each is
 # restricted to the cohort ("patient" = by patient id; otherwise by the key

@@ -234,18 +234,18 @@ SELECT {ME_ALL} FROM medical_events WHERE list_contains(string_split(modifiers,
     "export_readback": f"""
 SELECT {ME_ALL} FROM medical_events WHERE patient_id IN (SELECT patient_id FROM cohort_ids)""",
     "cohort_output_tables": """
-SELECT 'plaid-medical-events' AS output_type, count(*) AS row_count
+SELECT 'claims-medical-events' AS output_type, count(*) AS row_count
   FROM medical_events WHERE patient_id IN (SELECT patient_id FROM cohort_ids)
-UNION ALL SELECT 'plaid-pharmacy-events', count(*)
+UNION ALL SELECT 'claims-pharmacy-events', count(*)
   FROM pharmacy_events WHERE patient_id IN (SELECT patient_id FROM cohort_ids)
-UNION ALL SELECT 'plaid-patient-demographics', count(*)
+UNION ALL SELECT 'claims-patient-demographics', count(*)
   FROM demographics WHERE patient_id IN (SELECT patient_id FROM cohort_ids)
-UNION ALL SELECT 'plaid-patient-geography', count(*)
+UNION ALL SELECT 'claims-patient-geography', count(*)
   FROM geography WHERE patient_id IN (SELECT patient_id FROM cohort_ids)
-UNION ALL SELECT 'plaid-plans', count(*)
+UNION ALL SELECT 'claims-plans', count(*)
   FROM plans WHERE kh_plan_id IN (SELECT kh_plan_id FROM medical_events
                                   WHERE patient_id IN (SELECT patient_id FROM cohort_ids))
-UNION ALL SELECT 'plaid-providers', count(*)
+UNION ALL SELECT 'claims-providers', count(*)
   FROM providers WHERE npi IN (SELECT rendering_npi FROM medical_events
                                WHERE patient_id IN (SELECT patient_id FROM cohort_ids))""",
     "output_row_counts": """
@@ -257,10 +257,10 @@ UNION ALL SELECT 'PATIENT_DEMOGRAPHICS', count(*), 3
   FROM demographics WHERE patient_id IN (SELECT patient_id FROM cohort_ids)
 UNION ALL SELECT 'PATIENT_GEOGRAPHY', count(*), 2
   FROM geography WHERE patient_id IN (SELECT patient_id FROM cohort_ids)
-UNION ALL SELECT 'PLAID_PLANS', count(*), 3
+UNION ALL SELECT 'CLAIMS_PLANS', count(*), 3
   FROM plans WHERE kh_plan_id IN (SELECT kh_plan_id FROM medical_events
                                   WHERE patient_id IN (SELECT patient_id FROM cohort_ids))
-UNION ALL SELECT 'PLAID_PROVIDERS', count(*), 5
+UNION ALL SELECT 'CLAIMS_PROVIDERS', count(*), 5
   FROM providers WHERE npi IN (SELECT rendering_npi FROM medical_events
                                WHERE patient_id IN (SELECT patient_id FROM cohort_ids))""",
     "cohort_entity_counts": """

@@ -62,7 +62,7 @@ def export(tables: Mapping[str, DataFrame], root: str, fmt: str = "parquet",
 
 
 def cohort_table_name(cohort_id: str, area: str, index: int = 0) -> str:
-    """Name of one cohort output, e.g. ``COHORT_RUN_<ID>_0_PLAID_MEDICAL_EVENTS``."""
+    """Name of one cohort output, e.g. ``COHORT_RUN_<ID>_0_CLAIMS_MEDICAL_EVENTS``."""
     return f"COHORT_RUN_{cohort_id}_{index}_{area.upper().replace('-', '_')}".upper()
 
 

@@ -200,11 +200,11 @@ def test_f7_time_ranges_inclusive(spark):
 
 
 def test_x10_table_type(spark):
-    assert table_type("A_0_PLAID_MEDICAL_EVENTS") == "MEDICAL_EVENTS"
-    assert table_type("A_0_PLAID_PLANS") == "PLAID_PLANS"
-    df = one_col(spark, ["A_0_PLAID_MEDICAL_EVENTS", "A_0_PLAID_PLANS"])
+    assert table_type("A_0_CLAIMS_MEDICAL_EVENTS") == "MEDICAL_EVENTS"
+    assert table_type("A_0_CLAIMS_PLANS") == "CLAIMS_PLANS"
+    df = one_col(spark, ["A_0_CLAIMS_MEDICAL_EVENTS", "A_0_CLAIMS_PLANS"])
     assert [r.t for r in df.select(table_type_col("c").alias("t")).collect()] == [
-        "MEDICAL_EVENTS", "PLAID_PLANS"]
+        "MEDICAL_EVENTS", "CLAIMS_PLANS"]
 
 
 def test_x11_dataset_suffix():

@@ -56,8 +56,8 @@ def test_cohort_tables_hold_only_cohort_patients(spark):
     ids = q(spark, "cohort_patients")
     assert ids.count() == 10  # FIXTURES.md
     counts = {r.output_type: r.row_count for r in q(spark, "cohort_output_tables").collect()}
-    assert counts["plaid-medical-events"] == 529
-    assert counts["plaid-pharmacy-events"] == 0
+    assert counts["claims-medical-events"] == 529
+    assert counts["claims-pharmacy-events"] == 0
     exported = q(spark, "export_readback")
     assert exported.join(ids, "patient_id", "left_anti").count() == 0
 
@@ -65,7 +65,7 @@ def test_cohort_tables_hold_only_cohort_patients(spark):
 def test_row_count_labels(spark):
     got = {r.table_type: (r.row_count, r.column_count) for r in q(spark, "output_row_counts").collect()}
     assert set(got) == {"MEDICAL_EVENTS", "PHARMACY_EVENTS", "PATIENT_DEMOGRAPHICS",
-                        "PATIENT_GEOGRAPHY", "PLAID_PLANS", "PLAID_PROVIDERS"}
+                        "PATIENT_GEOGRAPHY", "CLAIMS_PLANS", "CLAIMS_PROVIDERS"}
     assert got["MEDICAL_EVENTS"] == (529, 10)
 
 

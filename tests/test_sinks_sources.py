@@ -71,22 +71,22 @@ def test_csv_extract_keeps_code_text(spark):
 
 def test_export_and_load_outputs(spark):
     root = scratch_path(spark, "exp")
-    paths = sinks.export({"A_0_PLAID_PLANS": spark.range(2), "A_0_PLAID_MEDICAL_EVENTS": spark.range(3)},
+    paths = sinks.export({"A_0_CLAIMS_PLANS": spark.range(2), "A_0_CLAIMS_MEDICAL_EVENTS": spark.range(3)},
                          root)
     for name, p in paths.items():
         spark.read.parquet(p).createOrReplaceTempView(name)
     loaded = load_outputs(spark, list(paths))
-    assert set(loaded) == {"PLAID_PLANS", "MEDICAL_EVENTS"}
+    assert set(loaded) == {"CLAIMS_PLANS", "MEDICAL_EVENTS"}
     counts = {r.table_type: r.row_count for r in row_counts(loaded).collect()}
-    assert counts == {"PLAID_PLANS": 2, "MEDICAL_EVENTS": 3}
+    assert counts == {"CLAIMS_PLANS": 2, "MEDICAL_EVENTS": 3}
 
 
 def test_cohort_table_name():
-    assert sinks.cohort_table_name("cht_x", C.MEDICAL) == "COHORT_RUN_CHT_X_0_PLAID_MEDICAL_EVENTS"
+    assert sinks.cohort_table_name("cht_x", C.MEDICAL) == "COHORT_RUN_CHT_X_0_CLAIMS_MEDICAL_EVENTS"
 
 
 def test_cohort_unknown_area_raises(spark, tables):
-    cohort = C.Cohort(rule=F.col("procedure_code") == "22612", outputs=("plaid-unknown",))
+    cohort = C.Cohort(rule=F.col("procedure_code") == "22612", outputs=("claims-unknown",))
     with pytest.raises(ValueError):
         C.cohort_tables(C.area_tables(tables), cohort)
     unbound = C.Cohort(rule=F.col("procedure_code") == "22612", outputs=(C.MORTALITY,))
@@ -140,10 +140,10 @@ def test_catalog_batch_lookup(spark):
 
 
 def test_load_outputs_later_table_wins(spark):
-    spark.range(1).createOrReplaceTempView("RUN_A_0_PLAID_PLANS")
-    spark.range(4).createOrReplaceTempView("RUN_B_0_PLAID_PLANS")
-    loaded = load_outputs(spark, ["RUN_A_0_PLAID_PLANS", "RUN_B_0_PLAID_PLANS"])
-    assert list(loaded) == ["PLAID_PLANS"] and loaded["PLAID_PLANS"].count() == 4
+    spark.range(1).createOrReplaceTempView("RUN_A_0_CLAIMS_PLANS")
+    spark.range(4).createOrReplaceTempView("RUN_B_0_CLAIMS_PLANS")
+    loaded = load_outputs(spark, ["RUN_A_0_CLAIMS_PLANS", "RUN_B_0_CLAIMS_PLANS"])
+    assert list(loaded) == ["CLAIMS_PLANS"] and loaded["CLAIMS_PLANS"].count() == 4
 
 
 def test_run_cohort_counts_entities_when_asked(spark, tables):
