@@ -37,6 +37,18 @@ def input_bytes(sf_dir: str) -> int:
     return total
 
 
+def driver_memory() -> str:
+    """About 60% of physical memory, at most 16g (local mode: one JVM)."""
+    if "BENCH_DRIVER_MEMORY" in os.environ:
+        return os.environ["BENCH_DRIVER_MEMORY"]
+    try:
+        with open("/proc/meminfo") as f:
+            kb = next(int(line.split()[1]) for line in f if line.startswith("MemTotal:"))
+        return f"{max(1, min(16, int(kb * 0.6 / 1024 / 1024)))}g"
+    except (OSError, StopIteration, ValueError):
+        return "4g"
+
+
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1").rstrip("/")
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
@@ -46,7 +58,7 @@ def main() -> None:
     parts = recommended_shuffle_partitions(input_bytes(sf_dir), cpus)
     spark = build_session(
         f"local[{cpus}]", app_name="claimspark-bench", shuffle_partitions=parts,
-        extra={"spark.driver.memory": os.environ.get("BENCH_DRIVER_MEMORY", "16g")},
+        extra={"spark.driver.memory": driver_memory()},
     )
     QUERIES["procedure_adoption"](spark, sf_dir).write.format("noop").mode("overwrite").save()
 
