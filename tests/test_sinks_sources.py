@@ -182,3 +182,14 @@ def test_new_prescribers_workflow(spark, tables):
                                datetime(2024, 1, 2, 3, 4, 5), path=scratch_path(spark, "newhcp"))
     assert name == "new_hcps_20240102_030405"
     assert spark.table(name).count() == 6
+
+
+def test_write_cohort_sink(spark, tables):
+    cohort = C.Cohort(rule=F.col("procedure_code") == "22612",
+                      time_ranges=[("1998-01-01", "1998-01-31")],
+                      outputs=(C.DEMOGRAPHICS, C.GEOGRAPHY))
+    frames = C.cohort_tables(C.area_tables(tables), cohort)
+    paths = sinks.write_cohort(frames, "K5", scratch_path(spark, "k5"))
+    assert set(paths) == {C.DEMOGRAPHICS, C.GEOGRAPHY}
+    assert paths[C.DEMOGRAPHICS].endswith("COHORT_RUN_K5_0_CLAIMS_PATIENT_DEMOGRAPHICS")
+    assert spark.read.parquet(paths[C.DEMOGRAPHICS]).count() == 10
