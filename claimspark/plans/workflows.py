@@ -45,7 +45,8 @@ def run_cohort(spark: SparkSession, subjects: Mapping[str, DataFrame], cohort: C
                cohort_id: str, root: str, fmt: str = "parquet") -> dict[str, DataFrame]:
     """K5 with J8: compute the cohort once and write every requested area.
 
-    1. cohort ids: filtered, de-duplicated, checkpointed (one pass over events);
+    1. cohort ids: filtered, de-duplicated and written to the shared folder
+       (one pass over events);
     2. the medical-events output is written first;
     3. provider and plan keys are read from that written table (small), not
        from the event table again;
@@ -58,6 +59,8 @@ def run_cohort(spark: SparkSession, subjects: Mapping[str, DataFrame], cohort: C
     for area in cohort.outputs:
         if area not in C.SUBJECT_AREAS:
             raise ValueError(f"unknown output area {area!r}")
+        if area not in subjects:
+            raise KeyError(f"no table bound for output area {area!r}")
     ids = C.materialized_patients(subjects[C.MEDICAL], cohort)
     names = {a: sinks.cohort_table_name(cohort_id, a) for a in cohort.outputs}
     paths = {a: f"{root.rstrip('/')}/{names[a]}" for a in cohort.outputs}
@@ -74,8 +77,6 @@ def run_cohort(spark: SparkSession, subjects: Mapping[str, DataFrame], cohort: C
     for area in cohort.outputs:
         if area == C.MEDICAL:
             continue
-        if area not in subjects:
-            raise KeyError(f"no table bound for output area {area!r}")
         rest[area] = C.restrict(area, subjects[area], ids, cohort_medical)
     write_all(rest, {a: paths[a] for a in rest}, fmt)
     out = {a: (cohort_medical if a == C.MEDICAL else
