@@ -15,16 +15,14 @@ SF_ORACLE = "/root/testdata/sf0.01"
 def spark(tmp_path_factory):
     from claimspark.plans.session import build_session
 
-    ckpt = tmp_path_factory.mktemp("ckpt")
     warehouse = tmp_path_factory.mktemp("warehouse")
     s = build_session(
         "local[4]", app_name="claimspark-tests", shuffle_partitions=8,
-        extra={
-            # tests run where nothing names a shared folder: set our own
-            "spark.checkpoint.dir": str(ckpt),
-            "spark.sql.warehouse.dir": str(warehouse),
-        },
+        extra={"spark.sql.warehouse.dir": str(warehouse)},
     )
+    if not s.conf.get("spark.checkpoint.dir", None):
+        # nothing names a shared folder here: use our own (tests only)
+        s.sparkContext.setCheckpointDir(str(tmp_path_factory.mktemp("ckpt")))
     yield s
     s.stop()
 
