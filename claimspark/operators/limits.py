@@ -13,6 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+# The preview and head sizes the workflows use.
 PREVIEW_ROWS = 100
 HEAD_ROWS = 25
 
