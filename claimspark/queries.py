@@ -329,7 +329,9 @@ def q_modifier_refresh_stream(spark, sf_dir):
     # the refresh is a plain filter-and-append, ``prepare=None``.)
     from claimspark.sources.catalog import read_parquet
     from claimspark.sources.fixtures import events_from_lines, read_table
-    from claimspark.streaming.refresh import event_stream, refresh_modifier_dataset
+    from claimspark.streaming.refresh import (
+        event_stream, refresh_modifier_dataset, run_to_completion,
+    )
 
     lines = event_stream(spark, sf_dir, read_parquet(spark, f"{sf_dir}/lineitem.parquet").schema,
                          file_glob="lineitem.parquet")
@@ -340,10 +342,7 @@ def q_modifier_refresh_stream(spark, sf_dir):
         return events_from_lines(joined).select(*MEDICAL_EVENT_COLUMNS)
 
     root = scratch_path(spark, "refresh")
-    query = refresh_modifier_dataset(lines, f"{root}/data", f"{root}/_checkpoint", prepare)
-    query.awaitTermination()
-    if query.exception() is not None:
-        raise query.exception()
+    run_to_completion(refresh_modifier_dataset(lines, f"{root}/data", f"{root}/_checkpoint", prepare))
     schema = _events(spark, sf_dir).schema
     return spark.read.schema(schema).parquet(f"{root}/data")
 

@@ -24,6 +24,19 @@ from pyspark.sql.streaming import StreamingQuery
 from claimspark.operators.providers import events_with_modifier
 
 
+def run_to_completion(query: StreamingQuery, timeout_s: float = 3600.0) -> StreamingQuery:
+    """Wait for an ``availableNow`` run to finish; a run still active after
+    ``timeout_s`` is stopped and reported (its checkpoint lets the next run
+    resume exactly where it stopped)."""
+    done = query.awaitTermination(timeout_s)
+    if not done and query.isActive:
+        query.stop()
+        raise TimeoutError(f"streaming refresh {query.id} did not finish in {timeout_s} s")
+    if query.exception() is not None:
+        raise query.exception()
+    return query
+
+
 def event_stream(spark: SparkSession, directory: str, schema: T.StructType,
                  file_glob: str | None = None, max_files_per_trigger: int | None = None,
                  fmt: str = "parquet") -> DataFrame:
