@@ -148,6 +148,14 @@ def area_tables(tables) -> dict[str, DataFrame]:
     }
 
 
+def subjects_for(cohort: Cohort, releases: Mapping[str, Mapping[str, DataFrame]]) -> dict[str, DataFrame]:
+    """F8's data version: the subject tables of the release the cohort asks
+    for (``releases``: version -> area -> frame).  An unknown version raises."""
+    if cohort.version not in releases:
+        raise KeyError(f"no data release {cohort.version!r}; have {sorted(releases)}")
+    return dict(releases[cohort.version])
+
+
 def cohort_tables(subjects: Mapping[str, DataFrame], cohort: Cohort,
                   ids: DataFrame | None = None) -> dict[str, DataFrame]:
     """One cut-down frame per requested output area (lazy; K5 writes them)."""

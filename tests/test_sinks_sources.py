@@ -197,3 +197,13 @@ def test_write_cohort_sink(spark, tables):
     assert set(paths) == {C.DEMOGRAPHICS, C.GEOGRAPHY}
     assert paths[C.DEMOGRAPHICS].endswith("COHORT_RUN_K5_0_CLAIMS_PATIENT_DEMOGRAPHICS")
     assert spark.read.parquet(paths[C.DEMOGRAPHICS]).count() == 10
+
+
+def test_cohort_reads_the_requested_release(spark, tables):
+    current = C.area_tables(tables)
+    releases = {"release": current, "preview": {C.MEDICAL: current[C.MEDICAL].limit(0)}}
+    assert C.subjects_for(C.Cohort(rule=F.lit(True)), releases)[C.MEDICAL] is current[C.MEDICAL]
+    preview_cohort = C.Cohort(rule=F.lit(True), version="preview")
+    assert C.subjects_for(preview_cohort, releases)[C.MEDICAL].count() == 0
+    with pytest.raises(KeyError, match="no data release"):
+        C.subjects_for(C.Cohort(rule=F.lit(True), version="2019"), releases)
