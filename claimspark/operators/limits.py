@@ -13,9 +13,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# The preview and head sizes the workflows use.
+# The bounded-read sizes the workflows use (a 1,000-row pull,
+# 100-row previews, heads of 25 and 5 rows).
+PULL_ROWS = 1000
 PREVIEW_ROWS = 100
 HEAD_ROWS = 25
+SHORT_HEAD_ROWS = 5
 
 
 def preview(df: DataFrame, n: int = PREVIEW_ROWS,

@@ -258,3 +258,11 @@ def test_preview_orders_and_bounds(spark):
     assert [r.k for r in preview(df, 2).collect()] == [1, 2]
     with pytest.raises(ValueError):
         preview(df, -1)
+
+
+def test_bounded_read_sizes(spark):
+    from claimspark.operators.limits import HEAD_ROWS, PULL_ROWS, SHORT_HEAD_ROWS
+    df = spark.range(2000)
+    assert preview(df, PULL_ROWS).count() == 1000
+    assert [r.id for r in preview(df, SHORT_HEAD_ROWS).collect()] == [0, 1, 2, 3, 4]
+    assert preview(df, HEAD_ROWS, [F.desc("id")]).first().id == 1999
