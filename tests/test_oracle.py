@@ -12,7 +12,7 @@ import pytest
 import __spark_entry__ as E
 from claimspark.sources.catalog import TEST_TABLES
 from tests.conftest import SF_SMALL
-from tools.check_oracle import digest
+from tools.check_oracle import digest, type_diff
 
 
 @pytest.fixture(scope="module")
@@ -33,5 +33,6 @@ def test_query_matches_oracle(spark, con, key):
     o_cols = [d[0] for d in rel.description]
     o_rows = rel.fetchall()
     assert sorted(s_cols) == sorted(o_cols)
+    assert not type_diff(df.schema, rel.description)
     assert len(s_rows) == len(o_rows)
     assert digest(s_cols, s_rows)[0] == digest(o_cols, o_rows)[0]
