@@ -44,7 +44,7 @@ PROVIDER_COLUMNS = ["first_name", "primary_specialty", "provider_state", "provid
 PLAN_COLUMNS = ["payer_name", "parent_name"]
 PATIENT_COLUMNS = ["patient_yob", "patient_gender"]
 
-# The 16 extract columns, in extract order.
+# The 16 extract columns (P1), in extract order.
 EXTRACT_COLUMNS = [
     "patient_id", "medical_event_id", "procedure_code", "service_date",
     "place_of_service", "rendering_npi", "diagnosis_codes", "first_name",

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from claimspark.functions.dates import age_years, month_start, parse_date_lenient
 from claimspark.functions.flags import is_robotic
 
-# The base model's fixed 16-column contract, in contract order.
+# The base model's 16-column contract (P2), in contract order.
 BASE_COLUMNS = [
     "patient_id", "medical_event_id", "procedure_code", "service_date",
     "place_of_service", "rendering_npi", "first_name", "primary_specialty",
@@ -53,6 +53,7 @@ def _count_by(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("procedure_volume"))
 
 
+# The group keys of the three marts (A1-A3).
 TRENDS_KEYS = ["procedure_month", "procedure_code", "provider_state", "payer_name", "patient_gender"]
 DIAGNOSIS_KEYS = ["procedure_code", "diagnosis_code"]
 PLANS_KEYS = ["procedure_code", "plan_id", "payer_name", "parent_name"]
