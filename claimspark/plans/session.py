@@ -8,10 +8,11 @@ used as is, and every setting below is only a sensible default.
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Defaults chosen for the claims workload: adaptive execution on so that
 # (a) dimension joins become broadcast joins only after their real, measured
@@ -42,17 +43,13 @@ SESSION_DEFAULTS: dict[str, str] = {
 
 
 def recommended_shuffle_partitions(input_bytes: int, cores: int,
-                                   target_bytes: int = 128 * 1024 * 1024,
-                                   max_partitions: int = 100_000) -> int:
+                                   target_bytes: int = 128 * 1024 * 1024) -> int:
     """Initial shuffle partition count: about one ``target_bytes`` slice of
-    input per partition, at least two per core, at most ``max_partitions``
-    (beyond that the per-map-task shuffle metadata dominates; at ~100 TB the
-    cap gives ~1 GB of input per partition before adaptive re-planning).
-    Adaptive execution then coalesces small post-shuffle partitions and
-    splits skewed ones, so this only has to be large enough that no
-    partition spills badly.
+    input per partition, at least two per core.  Adaptive execution then
+    coalesces small post-shuffle partitions and splits skewed ones, so this
+    only has to be large enough that no partition spills badly.
     """
-    return min(max(2 * cores, -(-input_bytes // target_bytes)), max(max_partitions, 2 * cores))
+    return max(2 * cores, -(-input_bytes // target_bytes))
 
 
 def build_session(
@@ -77,59 +74,64 @@ def build_session(
     return spark
 
 
-def _is_local(spark: SparkSession) -> bool:
-    return (spark.conf.get("spark.master", "") or "").startswith("local")
-
-
-def _context_checkpoint_dir(spark: SparkSession) -> str | None:
-    try:
-        return spark.sparkContext.getCheckpointDir()
-    except Exception:  # noqa: BLE001 - no context on this client (e.g. Spark Connect)
-        return None
-
-
 def shared_root(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``.
+    """The folder, seen by the driver and every executor, for written tables.
 
-    On a cluster this must be set by the deployment (HDFS, S3, ...).  Only a
-    local-mode session without the setting (tests, the bench) gets a private
-    temporary folder; a cluster session without it is an error, because a
-    machine-local folder is not visible to other executors.
+    ``spark.checkpoint.dir`` names it.  Where that is unset, the session's
+    warehouse is used: it is the other place that a deployment has to share
+    between all machines.  A machine-local temporary folder is never chosen.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
         return root.rstrip("/")
-    current = _context_checkpoint_dir(spark)
-    if current:
-        # the context folder carries a per-application suffix; use its parent
-        return current.rstrip("/").rsplit("/", 1)[0]
-    if not _is_local(spark):
-        raise RuntimeError(
-            "spark.checkpoint.dir is not set; claimspark needs a shared folder "
-            "for checkpoints and written intermediate tables"
-        )
-    root = tempfile.mkdtemp(prefix="claimspark-ckpt-")
-    try:
-        spark.sparkContext.setCheckpointDir(root)
-    except Exception:  # noqa: BLE001
-        pass
-    return root
+    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Make sure ``DataFrame.checkpoint`` has a reliable folder; return it."""
-    root = shared_root(spark)
-    if not _context_checkpoint_dir(spark):
-        try:
-            spark.sparkContext.setCheckpointDir(root)
-        except Exception:  # noqa: BLE001 - server-side sessions read spark.checkpoint.dir
-            pass
-    return root
+_SCRATCH: list[str] = []
 
 
 def scratch_path(spark: SparkSession, kind: str) -> str:
-    """A fresh, unique path below the shared folder for a written table."""
-    return f"{shared_root(spark)}/claimspark-scratch/{kind}-{uuid.uuid4().hex[:12]}"
+    """A fresh, unique path below the shared folder for a written table.
+
+    The path is remembered; ``release_scratch`` removes what was written.
+    """
+    path = f"{shared_root(spark)}/claimspark-scratch/{kind}-{uuid.uuid4().hex[:12]}"
+    _SCRATCH.append(path)
+    return path
+
+
+def save(df: DataFrame, kind: str) -> DataFrame:
+    """Cut the lineage: write ``df`` below the shared folder and read it back."""
+    spark = df.sparkSession
+    path = scratch_path(spark, kind)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def delete_path(spark: SparkSession, path: str) -> None:
+    """Remove a folder through Spark's own file system layer."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession) -> Iterator[None]:
+    """Remove every scratch table made inside the block when it ends.
+
+    Frames returned by lazy operators read their scratch tables, so consume
+    (write or collect) them inside the block.
+    """
+    start = len(_SCRATCH)
+    try:
+        yield
+    finally:
+        release_scratch(spark, start)
+
+
+def release_scratch(spark: SparkSession, start: int = 0) -> None:
+    """Remove the scratch tables made since ``start`` (all of them by default)."""
+    while len(_SCRATCH) > start:
+        delete_path(spark, _SCRATCH.pop())
 
 
 def unique_suffix() -> str:
