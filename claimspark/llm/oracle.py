@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from claimspark.llm import quality as Q
+
 WORDS = r"regexp_extract_all(translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
 OP1 = f"""
@@ -21,6 +23,65 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIG
 FROM d LEFT JOIN n USING (r) LEFT JOIN t USING (r)
 """
 
+SPACED = r"coalesce(regexp_extract_all({}, '[^\x20\x09-\x0D]+'), [])"
+
+FOLDED = SPACED.format("translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")
+
+OP3 = f"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, {FOLDED.format('text')} AS w FROM documents),
+s AS (SELECT DISTINCT r, array_to_string(w[p:p + k - 1], ' ') AS g
+  FROM (SELECT r, w, least(5, len(w)) AS k, unnest(range(1, len(w) - least(5, len(w)) + 2)) AS p FROM d WHERE len(w) > 0)),
+n AS (SELECT r, count(*) AS n FROM s GROUP BY r),
+c AS (SELECT x.r AS a, y.r AS b, count(*) AS c FROM s x JOIN s y USING (g) GROUP BY ALL),
+l AS (SELECT a, b FROM c JOIN n na ON na.r = a JOIN n nb ON nb.r = b WHERE 100 * c >= 75 * (na.n + nb.n - c)),
+reach AS (SELECT r, r AS o FROM d UNION SELECT reach.r, l.b AS o FROM reach JOIN l ON reach.o = l.a)
+SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, m.component_id
+FROM d LEFT JOIN n USING (r)
+JOIN (SELECT reach.r, min(o.doc_id) AS component_id FROM reach JOIN d o ON o.r = reach.o GROUP BY reach.r) m USING (r)
+"""
+
+STOPS = ", ".join(f"'{w}'" for w in Q.STOP_WORDS)
+WHITE = r"' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+RULES = " AND ".join(
+    [f"100 * {part} BETWEEN {low} * {whole} AND {high} * {whole}" for part, whole, low, high in Q.RATIOS]
+    + [f"{name} >= {low}" for name, low in Q.MINIMA])
+
+OP4 = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t, {SPACED.format('text')} AS w FROM documents),
+g AS (SELECT r, s, w[s:s + 2] AS g FROM (SELECT r, w, unnest(range(1, len(w) - 1)) AS s FROM d WHERE len(w) >= 3)),
+q AS (SELECT r, count(DISTINCT p) AS n FROM (SELECT r, unnest([s, s + 1, s + 2]) AS p
+  FROM (SELECT *, count(*) OVER (PARTITION BY r, g) AS c FROM g) WHERE c > 1) GROUP BY r),
+l AS (SELECT *, list_filter(string_split(t, chr(10)), lambda x: trim(x, {WHITE}) <> '') AS lines,
+  regexp_replace(t, '[\\x20\\x09-\\x0D]', '', 'g') AS solid FROM d),
+m AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(solid) AS BIGINT) AS word_chars,
+  CAST(length(solid) - length(regexp_replace(solid, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+  CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines,
+  CAST(coalesce(q.n, 0) AS BIGINT) AS n_repeat_words, CAST(len(lines) AS BIGINT) AS n_lines,
+  CAST(len(list_filter(lines, lambda x: rtrim(x, ' ') LIKE '%...')) AS BIGINT) AS n_ellipsis_lines,
+  CAST(len(list_filter(lines, lambda x: ltrim(x, ' ') LIKE '- %')) AS BIGINT) AS n_bullet_lines,
+  CAST(len(list_intersect(w, [{STOPS}])) AS BIGINT) AS n_stop_words
+  FROM l LEFT JOIN q USING (r)),
+b AS (SELECT *, n_words < {Q.MIN_WORDS} OR 100 * n_repeat_words > {Q.MAX_REPEAT_PERCENT} * n_words AS base_failed FROM m)
+SELECT *, NOT base_failed AND {RULES} AS kept FROM b
+"""
+
+OP7 = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {SPACED.format('text')} AS w FROM documents),
+x AS (SELECT r, s, array_to_string(w[s:s + 34], ' ') AS win
+  FROM (SELECT r, w, unnest(range(1, len(w) - 33)) AS s FROM d WHERE len(w) >= 35)),
+g AS (SELECT DISTINCT r, p FROM (SELECT r, unnest(range(s, s + 35)) AS p
+  FROM x SEMI JOIN (SELECT win FROM x GROUP BY win HAVING count(*) > 1) USING (win))),
+n AS (SELECT r, list(p) AS gone FROM g GROUP BY r),
+k AS (SELECT r, string_agg(word, ' ' ORDER BY p) AS kept, count(*) AS n_kept
+  FROM (SELECT r, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM d) ANTI JOIN g USING (r, p) GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n_kept, 0) AS BIGINT) AS n_removed,
+  sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN k USING (r)
+"""
+
 ORACLE = {
     "op1_decontaminate": OP1,
+    "op3_ngram_jaccard": OP3,
+    "op4_quality_rules": OP4,
+    "op7_substring_dedup": OP7,
 }

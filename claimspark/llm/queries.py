@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 
 from claimspark.llm.common import table
 from claimspark.llm.decontaminate import decontaminate
+from claimspark.llm.jaccard import similar_groups
+from claimspark.llm.quality import quality
+from claimspark.llm.substring import dedup_substrings
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,6 +22,22 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_hit", "n_items", digest.alias("items_sha256"), "contaminated")
 
 
+def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similar_groups(table(spark, sf_dir, "documents"))
+
+
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(table(spark, sf_dir, "documents"))
+
+
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = dedup_substrings(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
+    "op3_ngram_jaccard": op3_ngram_jaccard,
+    "op4_quality_rules": op4_quality_rules,
+    "op7_substring_dedup": op7_substring_dedup,
 }

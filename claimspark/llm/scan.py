@@ -139,3 +139,20 @@ def signed(h: np.ndarray) -> pa.Array:
 def lists(values: pa.Array, counts: np.ndarray) -> pa.Array:
     """A list array: ``counts[i]`` values in list i."""
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), values)
+
+
+def join_words(data: np.ndarray, off: np.ndarray, starts: np.ndarray, ends: np.ndarray, first: np.ndarray,
+               kept: np.ndarray) -> pa.Array:
+    """Each text as its kept words, joined by one blank."""
+    s, e = starts[kept], ends[kept]
+    inside = np.zeros(len(data) + 1, np.int8)
+    inside[s] = 1
+    np.subtract.at(inside, e, 1)
+    mask = np.cumsum(inside[:-1], dtype=np.int8).astype(bool)
+    doc = owner(first, np.flatnonzero(kept))
+    blank = s[1:][doc[1:] == doc[:-1]] - 1  # the byte before a kept word, unless the text begins with it
+    out = data.copy()
+    out[blank] = 0x20
+    mask[blank] = True
+    ends_at = np.concatenate([[0], np.cumsum(mask)])[off].astype(np.int32)
+    return pa.StringArray.from_buffers(len(off) - 1, pa.py_buffer(ends_at), pa.py_buffer(out[mask].tobytes()))
