@@ -5,11 +5,14 @@ from __future__ import annotations
 import io
 import os
 import zipfile
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 import claimspark
 from claimspark.plans.session import scratch_path
@@ -21,6 +24,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def tokenizer_file(name: str) -> str:
+    """A vocabulary file of the installed public tokenizers."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def ship(spark: SparkSession) -> None:
     """Give the executors this package, through Spark's own file server."""
     sc = spark.sparkContext
@@ -49,6 +59,31 @@ def doc_columns(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
+def doc_rows(docs: DataFrame) -> DataFrame:
+    """doc_id, text and row, a struct of all columns as they are, whatever their names."""
+    ship(docs.sparkSession)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"),
+                       F.struct("*").alias("row"))
+
+
+def map_docs(docs: DataFrame, run, schema: str) -> DataFrame:
+    """``mapInArrow``; columns after doc_id and text are passed on behind the ones that ``run`` makes.
+
+    ``run`` gets (doc_id, text) batches and yields (number of rows, made columns)
+    for one run of rows after the other.
+    """
+    made_schema = T.StructType.fromDDL(schema)
+
+    def batches(given: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in given:
+            lo = 0
+            for n, made in run(batch):
+                rest = [c.slice(lo, n) for c in batch.columns[2:]]
+                yield pa.RecordBatch.from_arrays([*made, *rest], [*made_schema.names, *batch.schema.names[2:]])
+                lo += n
+    return docs.mapInArrow(batches, T.StructType(made_schema.fields + docs.schema.fields[2:]))
+
+
 @dataclass
 class Bloom:
     """A Bloom filter over 64-bit hashes, never over ``MAX_BITS`` bits (16 MB).

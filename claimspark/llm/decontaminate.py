@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from claimspark.llm.common import Bloom, doc_columns, ship
+from claimspark.llm.common import Bloom, doc_columns, doc_rows
 from claimspark.llm.scan import (
     ALNUM_WORDS, byte_values, lists, owner, signed, span_hashes, spans, text_chunks, window_hashes, window_starts,
 )
@@ -109,8 +109,8 @@ def _matched(bloom: Bloom, sizes: list[int], window: int):
                     [signed(h), pa.array(w - first[d]), pa.array(left - first[d]), pa.array(around, pa.string())],
                     ["shingle", "pos", "left", "around"])
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(lo, hi - lo), pa.array(np.diff(first)),
-                     lists(hits, np.bincount(d, minlength=hi - lo))], ["doc_id", "n_words", "hits"])
+                    [batch.column(0).slice(lo, hi - lo), batch.column(2).slice(lo, hi - lo), pa.array(np.diff(first)),
+                     lists(hits, np.bincount(d, minlength=hi - lo))], ["doc_id", "text_hash", "n_words", "hits"])
     return run
 
 
@@ -119,8 +119,7 @@ def occurrences(docs: DataFrame, items: DataFrame, window: int = WINDOW, shingle
 
     An occurrence is row key, first word, number of words and the window's words.
     """
-    docs = doc_columns(docs)
-    ship(docs.sparkSession)
+    docs = doc_columns(docs).withColumn("text_hash", F.xxhash64("text"))
     named = items.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item_id"),
                          F.col("text").cast("string"))
     wins = save(named.mapInArrow(_item_windows(window, shingle), "item string, win string, len int, shingles array<long>")
@@ -138,7 +137,7 @@ def occurrences(docs: DataFrame, items: DataFrame, window: int = WINDOW, shingle
     wanted = Bloom.of(prefixes.select("shingle").distinct(), "shingle")
     found = docs.mapInArrow(
         _matched(wanted, sizes, window),
-        "doc_id long, n_words long, hits array<struct<shingle:long,pos:long,left:long,around:string>>")
+        "doc_id long, text_hash long, n_words long, hits array<struct<shingle:long,pos:long,left:long,around:string>>")
     found = save(found.withColumn("row", F.monotonically_increasing_id()), "matches")
     start = F.col("h.pos") - F.col("off")
     same = F.array_join(F.slice(F.split("h.around", " "), (start - F.col("h.left") + 1).cast("int"), F.col("len")), " ")
@@ -152,7 +151,7 @@ def occurrences(docs: DataFrame, items: DataFrame, window: int = WINDOW, shingle
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, shingle: int = SHINGLE) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items (sorted ids), contaminated: one row per document."""
+    """doc_id, text_hash, n_words, n_hit, n_items, items (sorted ids), contaminated: one row per document."""
     found, hits, wins = occurrences(docs, items, window, shingle)
     earlier = Window.partitionBy("row").orderBy("start", "len", "win").rowsBetween(Window.unboundedPreceding, -1)
     end = F.col("start") + F.col("len")
@@ -161,7 +160,15 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, shing
     named = (hits.select("row", "win").distinct().join(wins, "win").select("row", "item").distinct()
              .groupBy("row").agg(F.sort_array(F.collect_list("item")).alias("items")))
     return (found.join(covered, "row", "left").join(named, "row", "left")
-            .select("doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
+            .select("doc_id", "text_hash", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
                     F.coalesce("items", F.array().cast("array<string>")).alias("items"))
             .withColumn("n_items", F.size("items").cast("long"))
             .withColumn("contaminated", F.col("n_hit") > 0))
+
+
+def keep_uncontaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """The rows, with all their columns, of documents that hold no item window."""
+    bad = decontaminate(docs, items).filter("contaminated").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"))
+    rows = doc_rows(docs).withColumn("_key", F.xxhash64("text"))
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_hash"))
+    return rows.join(bad.distinct(), same, "left_anti").select("row.*")

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from claimspark.llm.common import Bloom, doc_columns
+from claimspark.llm.common import Bloom, doc_columns, doc_rows
 from claimspark.llm.components import components
 from claimspark.llm.scan import (
     SPACED_WORDS, byte_values, lists, mix, signed, span_hashes, spans, text_chunks, window_hashes,
@@ -95,15 +95,15 @@ def _describe(shingle: int):
                 shingles, counts, keys = _sets(data, off, shingle)
                 n = hi - lo
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(lo, n), pa.array(counts),
+                    [batch.column(0).slice(lo, n), batch.column(2).slice(lo, n), pa.array(counts),
                      pa.array(keys.view(np.int64), mask=counts == 0), pa.nulls(n, pa.int64())],
-                    ["doc_id", "n", "key", "shingle"])
+                    ["doc_id", "text_hash", "n", "key", "shingle"])
                 own, _, _ = _distinct(shingles, counts, keys, seen)
                 h, times = np.unique(own, return_counts=True)
                 h, times = h[times > 1], times[times > 1]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.nulls(len(h), pa.int64()), pa.array(times), pa.nulls(len(h), pa.int64()), signed(h)],
-                    ["doc_id", "n", "key", "shingle"])
+                    [pa.nulls(len(h), pa.int64()), pa.nulls(len(h), pa.int64()), pa.array(times), pa.nulls(len(h), pa.int64()), signed(h)],
+                    ["doc_id", "text_hash", "n", "key", "shingle"])
     return run
 
 
@@ -218,13 +218,15 @@ def _rest_pairs(posts: DataFrame, percent: int) -> DataFrame:
 
 
 def similar_groups(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, component_id: one row per document.
+    """doc_id, n_shingles, component_id, text_hash, component: one row per document.
 
     component_id is the smallest doc_id reachable by links of at least
-    ``percent`` hundredths of common shingles.
+    ``percent`` hundredths of common shingles; component is a key of the same
+    group that also tells documents of one doc_id apart (null: an empty set).
     """
     docs = doc_columns(docs)
-    described = save(docs.mapInArrow(_describe(shingle), "doc_id long, n long, key long, shingle long"), "sets")
+    described = save(docs.withColumn("text_hash", F.xxhash64("text")).mapInArrow(
+        _describe(shingle), "doc_id long, text_hash long, n long, key long, shingle long"), "sets")
     frequent, level = _frequent(described.filter("shingle is not null").groupBy("shingle").agg(F.sum("n").alias("n")))
 
     texts = docs.select("text")
@@ -251,8 +253,24 @@ def similar_groups(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCE
             posts = save(joined.withColumn("open", F.min("group").over(by_shingle) != F.max("group").over(by_shingle))
                          .filter("open").drop("open"), "open-posts")
 
-    rows = described.filter("shingle is null").select("doc_id", "n", "key")
+    rows = described.filter("shingle is null").select("doc_id", "text_hash", "n", "key")
     rows = rows.join(groups.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
     smallest = save(rows.filter("root is not null").groupBy("root").agg(F.min("doc_id").alias("component_id")), "smallest")
     return rows.join(smallest, "root", "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+        "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"),
+        "text_hash", F.col("root").alias("component"))
+
+
+def keep_one(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """The rows, with all their columns, of one document of each group: the smallest doc_id, then text hash.
+
+    Documents with an empty set are linked with nothing and all stay.
+    """
+    groups = save(similar_groups(docs, shingle, percent), "similar")
+    first = F.min(F.struct("doc_id", "text_hash")).alias("k")
+    kept = groups.filter("component is not null").groupBy("component").agg(first).select("k.*").distinct()
+    kept = kept.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"))
+    rows = doc_rows(docs).withColumn("_key", F.xxhash64("text"))
+    wordless = F.coalesce(F.btrim("text", F.lit(" \t\n\x0b\x0c\r")), F.lit("")) == ""
+    grouped = rows.filter(~wordless).join(kept, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_hash")), "left_semi")
+    return grouped.dropDuplicates(["doc_id", "_key"]).select("row.*").union(rows.filter(wordless).select("row.*"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from claimspark.llm import quality as Q
+from claimspark.llm.sharding import LIMIT
 
 WORDS = r"regexp_extract_all(translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
@@ -65,6 +66,16 @@ b AS (SELECT *, n_words < {Q.MIN_WORDS} OR 100 * n_repeat_words > {Q.MAX_REPEAT_
 SELECT *, NOT base_failed AND {RULES} AS kept FROM b
 """
 
+OP5 = f"""
+WITH b AS (SELECT doc_id, CAST(coalesce(strlen(text), 0) AS BIGINT) AS n_bytes,
+  lpad(bin(CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 15) AS BIGINT)), 60, '0') AS bits FROM documents),
+p AS (SELECT doc_id, n_bytes, d, substr(bits, 1, d) AS prefix FROM b, (SELECT unnest(range(0, 61)) AS d)),
+t AS (SELECT prefix, CAST(sum(n_bytes) AS BIGINT) AS shard_bytes, count(*) AS shard_docs FROM p GROUP BY prefix)
+SELECT doc_id, n_bytes, CAST(d AS INTEGER) AS depth, prefix AS shard, shard_bytes, shard_docs
+FROM p JOIN t USING (prefix) WHERE shard_bytes <= {LIMIT} OR shard_docs = 1
+QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY d) = 1
+"""
+
 OP7 = f"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, {SPACED.format('text')} AS w FROM documents),
 x AS (SELECT r, s, array_to_string(w[s:s + 34], ' ') AS win
@@ -83,5 +94,6 @@ ORACLE = {
     "op1_decontaminate": OP1,
     "op3_ngram_jaccard": OP3,
     "op4_quality_rules": OP4,
+    "op5_extendible_sharding": OP5,
     "op7_substring_dedup": OP7,
 }

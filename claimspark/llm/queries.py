@@ -9,11 +9,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimspark.llm.common import table
+from claimspark.llm import secrets as secret_scan
+from claimspark.llm import toxicity as toxic
+from claimspark.llm.bpe import digests, vocabulary
+from claimspark.llm.common import table, tokenizer_file
 from claimspark.llm.decontaminate import decontaminate
 from claimspark.llm.jaccard import similar_groups
 from claimspark.llm.quality import quality
+from claimspark.llm.html import extract
+from claimspark.llm.sharding import shard
 from claimspark.llm.substring import dedup_substrings
+from claimspark.llm.tokenfiles import read_tokens, write_tokens
+from claimspark.plans.session import scratch_path
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,22 +29,61 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_hit", "n_items", digest.alias("items_sha256"), "contaminated")
 
 
+def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = scratch_path(spark, "tokens")
+    write_tokens(table(spark, sf_dir, "documents"), folder, tokenizer_file("byte_bpe_50k.json"))
+    return read_tokens(spark, folder)
+
+
 def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return similar_groups(table(spark, sf_dir, "documents"))
+    return similar_groups(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(table(spark, sf_dir, "documents"))
 
 
+def op5_extendible_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard(table(spark, sf_dir, "documents"))
+
+
+def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digests(table(spark, sf_dir, "documents"), vocabulary(tokenizer_file("byte_bpe_50k.tiktoken")))
+
+
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = dedup_substrings(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(table(spark, sf_dir, "pages"))
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxic.toxicity(docs, toxic.train(docs, table(spark, sf_dir, "labels")))
+
+
+def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    out = secret_scan.secrets(docs, secret_scan.train(docs))
+    base = F.filter("spans", lambda s: s["kind"] != "format")
+    counts = [F.size(F.filter("spans", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}")
+              for k in ("assign", "access", "hex")]
+    return out.select("doc_id", *counts, F.sha2(secret_scan.written(base), 256).alias("base_sha256"),
+                      secret_scan.written(F.col("spans")).alias("spans"))
+
+
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
+    "op2_token_files": op2_token_files,
     "op3_ngram_jaccard": op3_ngram_jaccard,
     "op4_quality_rules": op4_quality_rules,
+    "op5_extendible_sharding": op5_extendible_sharding,
+    "op6_byte_bpe": op6_byte_bpe,
     "op7_substring_dedup": op7_substring_dedup,
+    "op8_html_text": op8_html_text,
+    "op9_toxicity": op9_toxicity,
+    "op10_secret_scan": op10_secret_scan,
 }
