@@ -69,8 +69,10 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     out = secret_scan.secrets(docs, secret_scan.train(docs))
     base = F.filter("spans", lambda s: s["kind"] != "format")
-    counts = [F.size(F.filter("spans", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}")
-              for k in ("assign", "access", "hex")]
+
+    def count(kind: str):
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    counts = [count(kind) for kind in ("assign", "access", "hex")]
     return out.select("doc_id", *counts, F.sha2(secret_scan.written(base), 256).alias("base_sha256"),
                       secret_scan.written(F.col("spans")).alias("spans"))
 
