@@ -10,6 +10,9 @@ compiled, which is what a long-running cluster session sees.  ``cold`` holds
 the first run of each key (plan compilation included).  ``value`` is the sum
 of the warm times; ``cold_total`` the sum of the cold ones.
 
+What a query writes below the shared folder (``spark.checkpoint.dir``, or the
+warehouse) is removed after the run.
+
 Env: BENCH_SF_DIR (default /root/testdata/sf0.1), BENCH_CPUS (default 8),
 BENCH_QUERIES (comma list, default all), BENCH_REPEAT (default 3).
 """
@@ -24,7 +27,9 @@ import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
-from claimspark.plans.session import build_session, recommended_shuffle_partitions  # noqa: E402
+from claimspark.plans.session import (  # noqa: E402
+    build_session, recommended_shuffle_partitions, scratch_scope,
+)
 from claimspark.queries import QUERIES  # noqa: E402
 
 
@@ -60,7 +65,11 @@ def main() -> None:
         f"local[{cpus}]", app_name="claimspark-bench", shuffle_partitions=parts,
         extra={"spark.driver.memory": driver_memory()},
     )
-    QUERIES["procedure_adoption"](spark, sf_dir).write.format("noop").mode("overwrite").save()
+    def run(key: str) -> None:
+        with scratch_scope(spark):
+            QUERIES[key](spark, sf_dir).write.format("noop").mode("overwrite").save()
+
+    run("procedure_adoption")
 
     times: dict[str, float] = {}
     cold: dict[str, float] = {}
@@ -68,7 +77,7 @@ def main() -> None:
         runs = []
         for _ in range(repeat):
             t0 = time.perf_counter()
-            QUERIES[key](spark, sf_dir).write.format("noop").mode("overwrite").save()
+            run(key)
             runs.append(time.perf_counter() - t0)
         cold[key] = round(runs[0], 3)
         times[key] = round(min(runs), 3)

@@ -2,8 +2,8 @@
 
 Two parse rules exist on purpose:
 
-* the staging model parses leniently with automatic format detection
-  (``try_to_date(text)``);
+* the staging model detects the format: ISO (``2024-1-31``, a time may follow),
+  ``MM/DD/YYYY`` or ``DD-MON-YYYY`` in any case;
 * the app parses only ``yyyy-MM-dd`` (``try_to_date(text, 'yyyy-MM-dd')``).
 
 Both return null for text they cannot parse, never an error, which matters
@@ -20,6 +20,10 @@ from pyspark.sql import functions as F
 # The formats used by the app (year-month-day in, year-month out).
 APP_DATE_FORMAT = "yyyy-MM-dd"
 MONTH_TEXT_FORMAT = "yyyy-MM"
+# The shapes of the three detected formats.
+ISO_SHAPE = r"^\d{4}-\d{1,2}-\d{1,2}([ T].*)?$"
+SLASH_SHAPE = r"^\d{1,2}/\d{1,2}/\d{4}$"
+MONTH_NAME_SHAPE = r"^\d{1,2}-[A-Za-z]{3}-\d{4}$"
 
 
 def _col(c: Column | str) -> Column:
@@ -27,8 +31,17 @@ def _col(c: Column | str) -> Column:
 
 
 def parse_date_lenient(c: Column | str) -> Column:
-    """Format-detecting parse; bad text -> null."""
-    return F.try_to_date(_col(c))
+    """The date of a text in one of the three detected formats; else null.
+
+    The shape picks the format, so a bare year or a number is not a date.
+    """
+    text = F.trim(_col(c))
+    dash = F.instr(text, "-")
+    name = F.concat(F.upper(F.substr(text, dash + 1, F.lit(1))), F.lower(F.substr(text, dash + 2, F.lit(2))))
+    english = F.concat(F.substring_index(text, "-", 1), F.lit("-"), name, F.lit("-"), F.substring_index(text, "-", -1))
+    return (F.when(text.rlike(ISO_SHAPE), F.try_to_date(text))
+            .when(text.rlike(SLASH_SHAPE), F.try_to_date(text, "M/d/yyyy"))
+            .when(text.rlike(MONTH_NAME_SHAPE), F.try_to_date(english, "d-MMM-yyyy")))
 
 
 def parse_date_strict(c: Column | str, fmt: str = APP_DATE_FORMAT) -> Column:

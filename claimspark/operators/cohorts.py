@@ -6,7 +6,9 @@ visible.  This module is **our reading** of that payload:
 
 * the rule (F9) is a caller-supplied ``Column`` over medical events;
 * time ranges (F7) are inclusive ``[start, end]`` dates, OR-ed together, on
-  the event date; no ranges means no time filter;
+  the event date; no ranges means no time filter.  ``date_col`` may name a
+  stored date column (such as that of the written staging table): its range
+  then reaches the scan, which a date parsed from text cannot;
 * rejected claims (F8) are dropped unless ``include_rejected_claims``;
 * the cohort's entities are patients; patient-keyed tables are semi-joined on
   ``patient_id``, providers and plans on the keys found in the cohort's
@@ -109,10 +111,14 @@ def cohort_events(events: DataFrame, cohort: Cohort) -> DataFrame:
 
 
 def cohort_patients(events: DataFrame, cohort: Cohort) -> DataFrame:
-    """The cohort: distinct patient ids (partial distinct per task first)."""
+    """The cohort: distinct patient ids (partial distinct per task first).
+
+    An event without a patient makes no member: a null id matches no row.
+    """
     if tuple(cohort.entities) != ("patient",):
         raise ValueError(f"only patient cohorts are supported, not {cohort.entities}")
-    return cohort_events(events, cohort).select("patient_id").distinct()
+    ids = cohort_events(events, cohort).select("patient_id").filter(F.col("patient_id").isNotNull())
+    return ids.distinct()
 
 
 def materialized_patients(events: DataFrame, cohort: Cohort, path: str | None = None) -> DataFrame:

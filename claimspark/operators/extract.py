@@ -11,17 +11,13 @@ Join strategy (the plan we want at scale):
   is always size-checked.
 * ``demographics`` and ``geography`` are both keyed by patient.  They are
   joined to each other first (``patients``: at most a few rows per patient)
-  so the event table is shuffled on ``patient_id`` once, not twice.
-* Hot patients.  That patient dimension is itself built by a shuffle on
-  ``patient_id``, so the event-to-patient join shares its stage and adaptive
-  skew handling (which needs two shuffle stages as inputs) cannot split it.
-  The join is therefore salted explicitly: patients with at least
-  ``rows_per_split`` events are found with a partial-aggregated count over
-  the raw event keys (an upper bound of the joined counts), their events are
-  spread over ``ceil(events / rows_per_split)`` pieces and only their
-  dimension rows are replicated (``operators.joins.salted_join``).  The
-  provider join on ``rendering_npi`` is a plain two-input join, so if it is
-  not broadcast, adaptive execution splits a hot provider's partition.
+  so the event table is shuffled on ``patient_id`` once, not twice, and read
+  once.
+* Hot patients and providers.  Adaptive execution splits a hot key's partition
+  when both inputs of a join are shuffles of their own.  The provider join is
+  such a join.  The patient dimension is the output of a join on the same key,
+  which would share its stage with the event join, so it is written once below
+  the shared folder and read back: then the patient join is one too.
 * The geography join projects no column but must stay an inner join: it drops
   patients without geography and repeats events of patients with several
   geography rows.  A semi-join would lose the repeats.
@@ -34,7 +30,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-from claimspark.operators.joins import DEFAULT_ROWS_PER_SPLIT, hot_keys, salted_join
+from claimspark.plans.session import save
 
 EVENT_COLUMNS = [
     "patient_id", "medical_event_id", "procedure_code", "service_date",
@@ -79,32 +75,27 @@ def patient_dimension(demographics: DataFrame, geography: DataFrame) -> DataFram
     return join_geography(demographics.select("patient_id", *PATIENT_COLUMNS), geography)
 
 
-# columns hashed to pick a hot patient's piece (ids repeat, so use several)
-SALT_COLUMNS = ["medical_event_id", "procedure_code", "service_date", "rendering_npi"]
-
-
 def procedure_adoption(
     events: DataFrame,
     providers: DataFrame,
     demographics: DataFrame,
     geography: DataFrame,
     plans: DataFrame,
-    rows_per_split: int = DEFAULT_ROWS_PER_SPLIT,
 ) -> DataFrame:
-    """J5 + P1: the star join, projected to the 16 extract columns."""
-    mx = events.select(*EVENT_COLUMNS)
-    x = join_plans(mx, plans)
+    """J5 + P1: the star join, projected to the 16 extract columns.
+
+    Writes the patient dimension when called; the join itself is lazy.
+    """
+    x = join_plans(events.select(*EVENT_COLUMNS), plans)
     pr = providers.select("npi", *PROVIDER_COLUMNS)
     x = x.join(pr, x["rendering_npi"] == pr["npi"], "inner").drop("npi")
-    hot = hot_keys(mx.select("patient_id"), ["patient_id"], rows_per_split)
-    x = salted_join(x, patient_dimension(demographics, geography), ["patient_id"],
-                    SALT_COLUMNS, rows_per_split, hot=hot)
-    return x.select(*EXTRACT_COLUMNS)
+    patients = save(patient_dimension(demographics, geography), "patients")
+    return x.join(patients, "patient_id", "inner").select(*EXTRACT_COLUMNS)
 
 
-def procedure_adoption_from(tables, rows_per_split: int = DEFAULT_ROWS_PER_SPLIT) -> DataFrame:
-    """Convenience: the star join over a ``ClaimsTables`` bundle."""
+def procedure_adoption_from(tables, events: DataFrame | None = None) -> DataFrame:
+    """The star join over a ``ClaimsTables`` bundle (``events``: some of its events)."""
     return procedure_adoption(
-        tables.medical_events, tables.providers, tables.demographics,
-        tables.geography, tables.plans, rows_per_split,
+        tables.medical_events if events is None else events, tables.providers, tables.demographics,
+        tables.geography, tables.plans,
     )

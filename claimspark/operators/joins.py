@@ -8,14 +8,9 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# A key with at least this many rows on the big side is split over several
-# tasks; ~4M rows of a narrow fact row is a few hundred MB of shuffle data.
+# A key with at least this many rows on the big side is worth splitting; ~4M
+# rows of a narrow fact row is a few hundred MB of shuffle data.
 DEFAULT_ROWS_PER_SPLIT = 1 << 22
-# At most this many keys are salted, so the hot-key table that is broadcast
-# has a proven bound (keys + one int each).  Every other key - all of them
-# individually below the 10,000th largest, so under 1/10,000 of the rows - is
-# joined exactly by the same join, only without the split.
-MAX_HOT_KEYS = 10_000
 
 _SALT = "__salt"
 _SALTS = "__salts"
@@ -33,26 +28,16 @@ def semi_join(df: DataFrame, keys: DataFrame, on: Sequence[str]) -> DataFrame:
     return df.join(keys.select(*on), list(on), "left_semi").select(*df.columns)
 
 
-def hot_keys(df: DataFrame, on: Sequence[str], rows_per_split: int = DEFAULT_ROWS_PER_SPLIT,
-             max_keys: int = MAX_HOT_KEYS) -> DataFrame:
-    """Keys of ``df`` holding at least ``rows_per_split`` rows, with the number
-    of pieces to split each into (``ceil(rows / rows_per_split)``).
+def hot_keys(df: DataFrame, on: Sequence[str], rows_per_split: int = DEFAULT_ROWS_PER_SPLIT) -> DataFrame:
+    """Every key of ``df`` holding at least ``rows_per_split`` rows, with the
+    number of pieces to split it into (``ceil(rows / rows_per_split)``).
 
     The count runs with a partial aggregate per task, so the hot keys
-    themselves cost one row per task in its shuffle.  At most ``max_keys``
-    keys (the largest) are returned: a bounded table.
+    themselves cost one row per task in its shuffle.
     """
     counts = df.groupBy(*on).agg(F.count(F.lit(1)).alias("__rows"))
-    return hot_keys_from_counts(counts, on, "__rows", rows_per_split, max_keys)
-
-
-def hot_keys_from_counts(counts: DataFrame, on: Sequence[str], rows_col: str,
-                         rows_per_split: int = DEFAULT_ROWS_PER_SPLIT,
-                         max_keys: int = MAX_HOT_KEYS) -> DataFrame:
-    """``hot_keys`` from an existing per-key row count (one row per key)."""
-    hot = counts.filter(F.col(rows_col) >= F.lit(rows_per_split))
-    top = hot.orderBy(F.desc(rows_col), *[F.asc_nulls_first(k) for k in on]).limit(max_keys)
-    return top.select(*on, F.ceil(F.col(rows_col) / F.lit(rows_per_split)).cast("int").alias(_SALTS))
+    hot = counts.filter(F.col("__rows") >= F.lit(rows_per_split))
+    return hot.select(*on, F.ceil(F.col("__rows") / F.lit(rows_per_split)).cast("int").alias(_SALTS))
 
 
 def salted_join(
@@ -60,29 +45,27 @@ def salted_join(
     small: DataFrame,
     on: Sequence[str],
     salt_by: Sequence[str],
-    rows_per_split: int = DEFAULT_ROWS_PER_SPLIT,
-    max_hot_keys: int = MAX_HOT_KEYS,
-    hot: DataFrame | None = None,
+    hot: DataFrame,
     how: str = "inner",
 ) -> DataFrame:
-    """Inner equi-join of ``big`` and ``small`` on ``on`` that splits hot keys.
-
-    Rows of a hot key on the big side are spread over ``__salts`` pieces by a
-    hash of ``salt_by`` (deterministic, so a retried task sends every row to
-    the same piece); the small side's rows of that key are replicated once per
-    piece; all other keys get piece 0 and join as usual.  Each big row meets
-    its key's small rows exactly once, so the result equals the plain join.
-
-    ``hot`` may be given (e.g. computed from the raw event table, an upper
-    bound of the joined counts); otherwise it is computed from ``big``.  It is
-    broadcast: it holds at most ``max_hot_keys`` rows by construction.
+    """Equi-join of ``big`` and ``small`` on ``on`` that splits known hot keys.
+
+    For callers who know their hot keys (``hot_keys`` finds them, at the price
+    of a pass over the big side); a join of two shuffled tables needs no
+    salting, since adaptive execution splits it as it runs.
+
+    Rows of a hot key on the big side are spread over its pieces by a hash of
+    ``salt_by`` (deterministic, so a retried task sends every row to the same
+    piece); the small side's rows of that key are replicated once per piece;
+    all other keys get piece 0 and join as usual.  Each big row meets its
+    key's small rows exactly once, so the result equals the plain join.
+    Whether ``hot`` is broadcast is left to the planner, which checks its size.
     ``how`` is ``inner`` or ``left_semi`` (the big side's columns, in order).
     """
     if how not in ("inner", "left_semi"):
         raise ValueError(f"how must be 'inner' or 'left_semi', not {how!r}")
     keys = list(on)
-    hk = hot if hot is not None else hot_keys(big, keys, rows_per_split, max_hot_keys)
-    hk = F.broadcast(hk.select(*keys, _SALTS))
+    hk = hot.select(*keys, _SALTS)
     salted_big = big.join(hk, keys, "left").withColumn(
         _SALT,
         F.when(F.col(_SALTS).isNull(), F.lit(0))

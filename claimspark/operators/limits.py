@@ -1,9 +1,9 @@
 """Bounded reads and top-k.
 
-A limit is kept only where it is the feature (a preview, a top-k report).  An
-order is always supplied so the rows repeat between runs; with the order the
-planner uses a per-task top-k followed by one small merge
-(``TakeOrderedAndProject``), never a full sort of the input.
+A limit is kept only where it is the feature (a preview, a top-k report).
+Without an order a preview is a plain limit: it stops reading after n rows.  With
+an order the rows repeat between runs, and the planner uses a per-task top-k
+followed by one small merge (``TakeOrderedAndProject``), never a full sort.
 """
 
 from __future__ import annotations
@@ -23,14 +23,17 @@ SHORT_HEAD_ROWS = 5
 
 def preview(df: DataFrame, n: int = PREVIEW_ROWS,
             order_by: Sequence[str | Column] | None = None) -> DataFrame:
-    """The first ``n`` rows under ``order_by`` (default: every column).
+    """``n`` rows, any (the default, and the cheap form) or the first
+    under ``order_by``, nulls first.
 
-    Nulls sort first so the order is total and engine-independent.
+    Rows that tie in ``order_by`` may take each other's place; name enough
+    columns where the choice has to repeat.
     """
     if n < 0:
         raise ValueError("n must be >= 0")
-    keys = list(order_by) if order_by is not None else list(df.columns)
-    cols = [F.asc_nulls_first(k) if isinstance(k, str) else k for k in keys]
+    if order_by is None:
+        return df.limit(n)
+    cols = [F.asc_nulls_first(k) if isinstance(k, str) else k for k in order_by]
     return df.orderBy(*cols).limit(n)
 
 

@@ -74,6 +74,7 @@ def mart_plans_breakdown(stg: DataFrame) -> DataFrame:
     return _count_by(stg, PLANS_KEYS)
 
 
+# Fixed value: the trends mart, grouped by ordinals.
 MART_TRENDS_SQL = """
 SELECT procedure_month, procedure_code, provider_state, payer_name, patient_gender,
        count(*) AS procedure_volume

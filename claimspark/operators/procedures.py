@@ -15,8 +15,9 @@ from pyspark.sql import functions as F
 from claimspark.functions.dates import age_years, month_text, parse_date_strict
 from claimspark.functions.flags import ROBOTIC_CODE
 from claimspark.functions.labels import TARGET_CODES, label_col
-from claimspark.operators.joins import DEFAULT_ROWS_PER_SPLIT, hot_keys_from_counts, salted_join
+from claimspark.operators.joins import semi_join
 from claimspark.operators.limits import top_k
+from claimspark.plans.session import save
 
 # The app's dimensions and default month floor.
 GROUP_BY_OPTIONS = ("provider_state", "payer_name", "patient_gender")
@@ -58,40 +59,61 @@ def filter_code(df: DataFrame, code: str) -> DataFrame:
     return df.filter(F.col("procedure_code") == F.lit(code))
 
 
-def filter_month_range(df: DataFrame, lo: str, hi: str, col: str = "procedure_month") -> DataFrame:
-    """inclusive month range on ``yyyy-MM`` text; a null month drops out."""
-    return df.filter(F.col(col).between(F.lit(lo), F.lit(hi)))
+def filter_month_range(df: DataFrame, lo: str, hi: str, col: str = "procedure_month",
+                       date_text: str | None = "service_date") -> DataFrame:
+    """inclusive month range on ``yyyy-MM`` text; a null month drops out.
+
+    The month comes from a strict ``yyyy-MM-dd`` text, whose order is the order
+    of its characters.  If the frame has that text (``date_text``), a range on
+    it is added: it holds for every row that passes, and it reaches the scan.
+    """
+    cond = F.col(col).between(F.lit(lo), F.lit(hi))
+    if date_text in df.columns:
+        cond = cond & F.col(date_text).between(F.lit(lo), F.lit(hi + "-99"))
+    return df.filter(cond)
+
+
+VISIT_KEYS = ["patient_id", "service_date"]
 
 
 def robotic_visits(df: DataFrame, robotic_code: str = ROBOTIC_CODE) -> DataFrame:
     """Distinct (patient, raw date text) pairs that carry the robotic add-on code."""
-    return (df.filter(F.col("procedure_code") == F.lit(robotic_code))
-              .select("patient_id", "service_date").distinct())
+    return df.filter(F.col("procedure_code") == F.lit(robotic_code)).select(*VISIT_KEYS).distinct()
 
 
-VISIT_KEYS = ["patient_id", "service_date"]
+def robotic_visits_of_events(events: DataFrame, providers: DataFrame, plans: DataFrame,
+                             robotic_code: str = ROBOTIC_CODE) -> DataFrame:
+    """The robotic visits that survive the star join, from raw medical events.
+
+    Only the robotic events are read, and only providers and plans are joined:
+    both rows of a pair carry the same patient, so whatever the patient join
+    does to one it does to the other.
+    """
+    robotic = events.filter(F.col("procedure_code") == F.lit(robotic_code))
+    listed = robotic.join(providers.select(F.col("npi").alias("rendering_npi")), "rendering_npi", "left_semi")
+    return listed.join(plans.select("kh_plan_id"), "kh_plan_id", "left_semi").select(*VISIT_KEYS).distinct()
+
+
+def robotic_events(events: DataFrame, providers: DataFrame, plans: DataFrame,
+                   robotic_code: str = ROBOTIC_CODE) -> DataFrame:
+    """J6 before the star join: the raw events of robotic visits.
+
+    The visit keys are written once, so that both inputs of the semi-join are
+    shuffles of their own and adaptive execution can split a hot visit.
+    """
+    visits = save(robotic_visits_of_events(events, providers, plans, robotic_code), "robotic-visits")
+    return semi_join(events, visits, VISIT_KEYS)
 
 
 def keep_robotic_visits(df: DataFrame, robotic_code: str = ROBOTIC_CODE,
-                        rows_per_split: int = DEFAULT_ROWS_PER_SPLIT) -> DataFrame:
-    """Keep rows whose (patient, date) pair also has the robotic code.
+                        of: DataFrame | None = None) -> DataFrame:
+    """Keep rows whose (patient, date) pair also has the robotic code in
+    ``of`` (default: in ``df``).
 
     An inner join against *distinct* keys equals a left semi-join, which never
-    duplicates rows.  The key side comes out of an aggregate, not a shuffle
-    stage, so adaptive skew handling could not split a visit holding a large
-    share of the rows; the semi-join is salted instead: visits with at least
-    ``rows_per_split`` rows are spread over several tasks (by a hash of all
-    other columns).  One partial-aggregated pass per visit gives both the
-    robotic visit keys and the row count that finds the hot visits.
+    duplicates rows.
     """
-    code = F.col("procedure_code") == F.lit(robotic_code)
-    visits = df.groupBy(*VISIT_KEYS).agg(F.count(F.lit(1)).alias("__rows"),
-                                         F.max(code).alias("__robotic"))
-    robotic = visits.filter(F.col("__robotic")).select(*VISIT_KEYS)
-    hot = hot_keys_from_counts(visits, VISIT_KEYS, "__rows", rows_per_split)
-    salt_by = [c for c in df.columns if c not in VISIT_KEYS] or VISIT_KEYS
-    return salted_join(df, robotic, VISIT_KEYS, salt_by, rows_per_split, hot=hot,
-                       how="left_semi")
+    return semi_join(df, robotic_visits(df if of is None else of, robotic_code), VISIT_KEYS)
 
 
 def select_procedures(
@@ -100,11 +122,13 @@ def select_procedures(
     month_lo: str,
     month_hi: str,
     robotic_only: bool = False,
-    rows_per_split: int = DEFAULT_ROWS_PER_SPLIT,
 ) -> DataFrame:
-    """F10 + F1 + F3: the app's filter panel applied to the target-code frame."""
-    base = keep_robotic_visits(df, rows_per_split=rows_per_split) if robotic_only else df
-    return filter_month_range(filter_code(base, code), month_lo, month_hi)
+    """F10 + F1 + F3: the app's filter panel applied to the target-code frame.
+
+    Code and month are filtered first; only those rows meet the visit keys.
+    """
+    kept = filter_month_range(filter_code(df, code), month_lo, month_hi)
+    return keep_robotic_visits(kept, of=df) if robotic_only else kept
 
 
 def distinct_months(df: DataFrame) -> DataFrame:

@@ -12,6 +12,11 @@ the engines differ (DuckDB gives BIGINT for ``year()``, TIMESTAMP for
 
 from __future__ import annotations
 
+from claimspark.functions.labels import CODE_LABELS
+
+# The date of service_date in any of the three detected formats.
+DETECTED = "CAST(try_strptime(service_date, ['%Y-%m-%d', '%m/%d/%Y', '%d-%b-%Y']) AS DATE)"
+
 BINDING_VIEWS: list[tuple[str, str]] = [
     ("providers", """
 SELECT s_suppkey AS npi, s_name AS first_name,
@@ -38,7 +43,10 @@ SELECT o_custkey AS patient_id, l_orderkey * 10 + l_linenumber AS medical_event_
   CASE l_linenumber WHEN 1 THEN '22612' WHEN 2 THEN '22630' WHEN 3 THEN '22633' WHEN 4 THEN 'S2900'
                     WHEN 5 THEN '99213' WHEN 6 THEN NULL ELSE '27447' END AS procedure_code,
   CASE WHEN l_orderkey % 101 = 0 THEN 'bad-date'
-       ELSE CAST(CAST(o_orderdate AS DATE) AS STRING) END AS service_date,
+       WHEN l_orderkey % 103 = 1 THEN substr(day, 6, 2) || '/' || substr(day, 9, 2) || '/' || substr(day, 1, 4)
+       WHEN l_orderkey % 103 = 2 THEN substr(day, 9, 2) || '-' ||
+            substr('JANFEBMARAPRMAYJUNJULAUGSEPOCTNOVDEC', CAST(substr(day, 6, 2) AS INT) * 3 - 2, 3) || '-' || substr(day, 1, 4)
+       ELSE day END AS service_date,
   CASE WHEN l_linestatus = 'F' THEN '24' ELSE '11' END AS place_of_service,
   CASE WHEN l_suppkey % 50 = 7 THEN NULL ELSE l_suppkey END AS rendering_npi,
   CASE WHEN l_partkey % 7 = 0 THEN NULL
@@ -47,13 +55,23 @@ SELECT o_custkey AS patient_id, l_orderkey * 10 + l_linenumber AS medical_event_
        WHEN l_linestatus = 'F' THEN '|59|HE|' ELSE '|59|' END AS modifiers,
   l_partkey % 30 AS kh_plan_id,
   (l_linestatus = 'F' AND l_returnflag = 'R') AS is_rejected
-FROM lineitem JOIN orders ON l_orderkey = o_orderkey"""),
+FROM lineitem JOIN (SELECT o_orderkey, o_custkey, CAST(CAST(o_orderdate AS DATE) AS STRING) AS day FROM orders)
+  ON l_orderkey = o_orderkey"""),
     ("pharmacy_events", """
 SELECT o_custkey AS patient_id, l_orderkey * 10 + l_linenumber AS pharmacy_event_id,
   CAST(l_shipdate AS DATE) AS fill_date,
-  CASE WHEN l_suppkey % 10 = 3 THEN NULL ELSE l_suppkey END AS prescriber_npi
-FROM lineitem JOIN orders ON l_orderkey = o_orderkey
-WHERE l_quantity = 50 AND l_linenumber = 7"""),
+  CASE WHEN o_custkey % 10 = 3 AND l_shipdate >= DATE '1998-01-01' THEN NULL
+       ELSE o_custkey * 10 + l_linenumber END AS prescriber_npi
+FROM lineitem JOIN orders ON l_orderkey = o_orderkey"""),
+    ("prescribers", """
+SELECT c_custkey * 10 + k AS npi, c_name || ' ' || CAST(k AS STRING) AS first_name,
+  CASE c_custkey % 3 WHEN 0 THEN 'ORTHO' WHEN 1 THEN 'NEURO' ELSE 'PAIN' END AS primary_specialty,
+  n_name AS provider_state, CAST(10000 + c_custkey % 900 AS STRING) AS provider_zip
+FROM customer JOIN nation ON c_nationkey = n_nationkey
+CROSS JOIN (SELECT 1 AS k UNION ALL SELECT 2 UNION ALL SELECT 3 UNION ALL SELECT 4 UNION ALL SELECT 5
+            UNION ALL SELECT 6 UNION ALL SELECT 7)
+UNION ALL
+SELECT CAST(NULL AS BIGINT), 'Unlisted', 'UNKNOWN', CAST(NULL AS STRING), CAST(NULL AS STRING)"""),
     ("procedure_adoption", """
 SELECT mx.patient_id, mx.medical_event_id, mx.procedure_code, mx.service_date, mx.place_of_service,
   mx.rendering_npi, mx.diagnosis_codes, pr.first_name, pr.primary_specialty, pr.provider_state,
@@ -71,8 +89,8 @@ SELECT patient_id, medical_event_id, procedure_code, service_date, place_of_serv
 FROM procedure_adoption"""),
     ("stg_procedure_events", """
 SELECT *,
-  TRY_CAST(service_date AS DATE) AS service_date_parsed,
-  CAST(date_trunc('month', TRY_CAST(service_date AS DATE)) AS DATE) AS procedure_month,
+  {DETECTED} AS service_date_parsed,
+  CAST(date_trunc('month', {DETECTED}) AS DATE) AS procedure_month,
   CAST(2025 - year(TRY_CAST(patient_yob AS DATE)) AS INTEGER) AS patient_age,
   CASE WHEN procedure_code = 'S2900' THEN true ELSE false END AS is_robotic
 FROM base_procedure_events"""),
@@ -98,7 +116,7 @@ SELECT * FROM pharmacy_events WHERE fill_date >= DATE '1998-01-01' AND fill_date
     ("cohort_ids", """
 SELECT DISTINCT patient_id FROM medical_events
 WHERE procedure_code = '22612'
-  AND TRY_CAST(service_date AS DATE) BETWEEN DATE '1998-01-01' AND DATE '1998-01-31'
+  AND {DETECTED} BETWEEN DATE '1998-01-01' AND DATE '1998-01-31'
   AND NOT is_rejected"""),
 ]
 
@@ -106,6 +124,7 @@ WHERE procedure_code = '22612'
 def with_views(body: str) -> str:
     """Prefix ``body`` with every binding view as a CTE (unused ones are free)."""
     ctes = ",\n".join(f"{name} AS ({sql.strip()}\n)" for name, sql in BINDING_VIEWS)
+    ctes = ctes.replace("{DETECTED}", DETECTED)
     return f"WITH {ctes}\n{body.strip()}"
 
 
@@ -170,10 +189,7 @@ SELECT procedure_code, is_robotic, count(*) AS event_count FROM stg_procedure_ev
     "procedure_labels": """
 SELECT medical_event_id, patient_id, procedure_code,
   CASE procedure_code
-    WHEN '22612' THEN '22612 – Lumbar spine fusion (posterior)'
-    WHEN '22630' THEN '22630 – Interbody technique (laminectomy/discectomy)'
-    WHEN '22633' THEN '22633 – Combined lumbar fusion'
-    WHEN 'S2900' THEN 'S2900 – Robotic surgical system (add-on)'
+{LABELS}
   END AS procedure_label
 FROM app_targets""",
     "filter_code_month": f"SELECT {APP_COLUMNS} FROM app_filtered",
@@ -224,7 +240,7 @@ SELECT prescriber_npi FROM rx_earlier EXCEPT SELECT prescriber_npi FROM rx_later
     "new_prescribers_enriched": """
 SELECT u.prescriber_npi, p.npi, p.first_name, p.primary_specialty, p.provider_state, p.provider_zip
 FROM (SELECT prescriber_npi FROM rx_later EXCEPT SELECT prescriber_npi FROM rx_earlier) u
-JOIN providers p ON u.prescriber_npi IS NOT DISTINCT FROM p.npi""",
+JOIN prescribers p ON u.prescriber_npi IS NOT DISTINCT FROM p.npi""",
     "events_with_modifier": f"SELECT {ME_ALL} FROM medical_events WHERE upper(modifiers) IS NOT NULL",
     "publish_readback": f"SELECT {ME_ALL} FROM medical_events WHERE upper(modifiers) IS NOT NULL",
     "modifier_refresh_stream": f"SELECT {ME_ALL} FROM medical_events WHERE upper(modifiers) IS NOT NULL",
@@ -274,4 +290,5 @@ UNION ALL SELECT 'plan', count(DISTINCT kh_plan_id)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {key: with_views(body) for key, body in _BODIES.items()}
+    labels = "\n".join(f"    WHEN '{code}' THEN '{label}'" for code, label in CODE_LABELS.items())
+    return {key: with_views(body.replace("{LABELS}", labels)) for key, body in _BODIES.items()}

@@ -7,8 +7,7 @@ These are the flows of the reference re-expressed as Spark jobs:
 * ``run_cohort``: cohort ids -> one written table per subject area;
 * ``run_new_prescribers``: EXCEPT of two periods -> enrichment -> publish.
 
-Lineage is cut only with reliable means: ``checkpoint()`` into the shared
-folder named by ``spark.checkpoint.dir``, or a table written there.
+Lineage is cut only by tables written in the shared folder.
 Independent writes are submitted as concurrent jobs so the cluster is not idle
 while one output's last tasks finish.
 """
@@ -28,13 +27,19 @@ from claimspark.operators import procedures as P
 from claimspark.operators import providers as V
 from claimspark.operators.extract import procedure_adoption_from
 from claimspark.operators.joins import semi_join
+from claimspark.sources.catalog import DatasetCatalog, scan
+
+
+# A workflow owns the folder that it writes to: run again after a failure, it
+# replaces what the failed run has left there.
+RUN_MODE = "overwrite"
 
 
 def write_all(tables: Mapping[str, DataFrame], paths: Mapping[str, str],
-              fmt: str = "parquet", max_parallel: int = 8) -> dict[str, str]:
+              fmt: str = "parquet", max_parallel: int = 8, mode: str = RUN_MODE) -> dict[str, str]:
     """Write several frames as concurrent Spark jobs; name -> path."""
     def one(name: str) -> tuple[str, str]:
-        tables[name].write.mode("errorifexists").format(fmt).save(paths[name])
+        tables[name].write.mode(mode).format(fmt).save(paths[name])
         return name, paths[name]
 
     with ThreadPoolExecutor(max_workers=max(1, min(max_parallel, len(tables)))) as pool:
@@ -70,7 +75,7 @@ def run_cohort(spark: SparkSession, subjects: Mapping[str, DataFrame], cohort: C
         cohort_medical = semi_join(subjects[C.MEDICAL], ids, ["patient_id"])
     else:
         semi_join(subjects[C.MEDICAL], ids, ["patient_id"]) \
-            .write.mode("errorifexists").format(fmt).save(med_path)
+            .write.mode(RUN_MODE).format(fmt).save(med_path)
         cohort_medical = spark.read.schema(subjects[C.MEDICAL].schema).format(fmt).load(med_path)
 
     rest = {}
@@ -94,7 +99,7 @@ def run_procedure_models(tables, as_of: date | None, root: str,
     staging table and are written concurrently (dbt: marts are tables)."""
     stg = M.stg_procedure_events(M.base_procedure_events(procedure_adoption_from(tables)), as_of)
     stg_path = f"{root.rstrip('/')}/stg_procedure_events"
-    stg.write.mode("errorifexists").format(fmt).save(stg_path)
+    stg.write.mode(RUN_MODE).format(fmt).save(stg_path)
     spark = stg.sparkSession
     written = spark.read.schema(stg.schema).format(fmt).load(stg_path)
     marts = M.all_marts(written)
@@ -116,7 +121,7 @@ def run_procedure_report(extract: DataFrame, root: str, code: str, month_lo: str
     filtered = P.select_procedures(P.filter_codes(P.prepare(extract, tag, as_of)), code,
                                    month_lo, month_hi, robotic_only)
     path = f"{root.rstrip('/')}/filtered"
-    filtered.write.mode("errorifexists").format(fmt).save(path)
+    filtered.write.mode(RUN_MODE).format(fmt).save(path)
     spark = extract.sparkSession
     page = spark.read.schema(filtered.schema).format(fmt).load(path)
     return {
@@ -128,6 +133,13 @@ def run_procedure_report(extract: DataFrame, root: str, code: str, month_lo: str
     }
 
 
+def run_unique_keys(spark: SparkSession, catalog: DatasetCatalog, table_1: str, table_2: str,
+                    output: str, key: str = "prescriber_npi", path: str | None = None) -> str:
+    """E2 then K3: two datasets by name -> the keys of the first alone, registered as ``output``."""
+    keys = V.unique_keys(scan(spark, catalog, table_1), scan(spark, catalog, table_2), key)
+    return sinks.register_output(keys, output, path=path)
+
+
 def run_new_prescribers(later: DataFrame, earlier: DataFrame, providers: DataFrame,
                         base_name: str, at: datetime | None = None,
                         path: str | None = None) -> str:

@@ -5,7 +5,8 @@ tables in ``sf_dir`` and returns a lazy DataFrame.  Parameters are fixed so
 that the DuckDB oracles in ``claimspark.oracle`` compute the same thing.
 
 Sink queries write to a fresh path below the shared folder
-(``spark.checkpoint.dir``), read the result back and return it.
+(``spark.checkpoint.dir``), read the result back and return it.  Run a query
+inside ``plans.session.scratch_scope`` to have what it wrote removed afterwards.
 """
 
 from __future__ import annotations
@@ -52,39 +53,24 @@ def _tables(spark: SparkSession, sf_dir: str) -> ClaimsTables:
     return claims_tables(spark, sf_dir)
 
 
-def _view(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
-    """A shared intermediate frame (a view), defined once per session.
-
-    Only the plan is kept; nothing is cached, every query still reads the
-    whole tables.
-    """
-    memo = spark.__dict__.setdefault("_claimspark_views", {})
-    key = (sf_dir.rstrip("/"), name)
-    if key not in memo:
-        memo[key] = build()
-    return memo[key]
-
-
 def _extract(spark, sf_dir) -> DataFrame:
-    return _view(spark, sf_dir, "extract", lambda: procedure_adoption_from(_tables(spark, sf_dir)))
+    return procedure_adoption_from(_tables(spark, sf_dir))
 
 
 def _stg(spark, sf_dir) -> DataFrame:
-    return _view(spark, sf_dir, "stg", lambda: M.stg_procedure_events(
-        M.base_procedure_events(_extract(spark, sf_dir)), AS_OF))
+    return M.stg_procedure_events(M.base_procedure_events(_extract(spark, sf_dir)), AS_OF)
 
 
 def _app(spark, sf_dir) -> DataFrame:
-    return _view(spark, sf_dir, "app", lambda: P.prepare(_extract(spark, sf_dir), SOURCE_TAG, AS_OF))
+    return P.prepare(_extract(spark, sf_dir), SOURCE_TAG, AS_OF)
 
 
 def _targets(spark, sf_dir) -> DataFrame:
-    return _view(spark, sf_dir, "targets", lambda: P.filter_codes(_app(spark, sf_dir)))
+    return P.filter_codes(_app(spark, sf_dir))
 
 
-def _filtered(spark, sf_dir, robotic_only: bool = False) -> DataFrame:
-    return P.select_procedures(_targets(spark, sf_dir), SELECTED_CODE, MONTH_LO, MONTH_HI,
-                               robotic_only=robotic_only)
+def _filtered(spark, sf_dir) -> DataFrame:
+    return P.select_procedures(_targets(spark, sf_dir), SELECTED_CODE, MONTH_LO, MONTH_HI)
 
 
 def _events(spark, sf_dir) -> DataFrame:
@@ -119,7 +105,8 @@ def q_scan_table(spark, sf_dir):
 
 
 def q_preview_limit(spark, sf_dir):
-    return preview(_events(spark, sf_dir), 100)
+    # every column is named, since rows repeat and the choice has to agree with the oracle's
+    return preview(_events(spark, sf_dir), 100, MEDICAL_EVENT_COLUMNS)
 
 
 def q_output_row_counts(spark, sf_dir):
@@ -257,7 +244,10 @@ def q_filter_code_month(spark, sf_dir):
 
 
 def q_robotic_procedures(spark, sf_dir):
-    return _filtered(spark, sf_dir, robotic_only=True)
+    t = _tables(spark, sf_dir)
+    events = P.robotic_events(t.medical_events, t.providers, t.plans)
+    targets = P.filter_codes(P.prepare(procedure_adoption_from(t, events), SOURCE_TAG, AS_OF))
+    return P.select_procedures(targets, SELECTED_CODE, MONTH_LO, MONTH_HI)
 
 
 def q_distinct_months(spark, sf_dir):
@@ -310,7 +300,7 @@ def q_unique_hcps_reverse(spark, sf_dir):
 
 def q_new_prescribers_enriched(spark, sf_dir):
     later, earlier = _rx_periods(spark, sf_dir)
-    return V.new_prescribers_enriched(later, earlier, _tables(spark, sf_dir).providers)
+    return V.new_prescribers_enriched(later, earlier, _tables(spark, sf_dir).prescribers)
 
 
 def q_events_with_modifier(spark, sf_dir):
@@ -330,11 +320,11 @@ def q_modifier_refresh_stream(spark, sf_dir):
     from claimspark.sources.catalog import read_parquet
     from claimspark.sources.fixtures import events_from_lines, read_table
     from claimspark.streaming.refresh import (
-        event_stream, refresh_modifier_dataset, run_to_completion,
+        FILES_PER_BATCH, event_stream, refresh_modifier_dataset, run_to_completion,
     )
 
     lines = event_stream(spark, sf_dir, read_parquet(spark, f"{sf_dir}/lineitem.parquet").schema,
-                         file_glob="lineitem.parquet")
+                         file_glob="lineitem.parquet", max_files_per_trigger=FILES_PER_BATCH)
     orders = read_table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
 
     def prepare(stream):

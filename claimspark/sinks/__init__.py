@@ -7,17 +7,30 @@ a lost executor causes a retried task, not a torn table.
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Iterable, Mapping
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 
 from claimspark.functions.names import dataset_suffix
+from claimspark.sources.catalog import DatasetCatalog
+from claimspark.sources.files import CSV_DIALECT
+
+
+# Rows in one CSV file at most: a file whose values may hold line breaks is read
+# by one task, so its size has to stay bounded.  No row is left out.
+CSV_ROWS_PER_FILE = 1_000_000
 
 
 def write_extract_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> str:
-    """K1: write the extract as header CSV (one file per task, no index column)."""
-    df.write.mode(mode).option("header", True).csv(path)
+    """K1: write the extract as header CSV (no index column).
+
+    Values come back as they were: surrounding blanks are kept, quotes are
+    doubled inside a quoted value (as other readers expect) and line breaks stay
+    inside quotes.  CSV has one empty value: an empty text comes back as null.
+    """
+    (df.write.mode(mode).options(**CSV_DIALECT)
+     .option("maxRecordsPerFile", CSV_ROWS_PER_FILE).csv(path))
     return path
 
 
@@ -61,21 +74,17 @@ def export(tables: Mapping[str, DataFrame], root: str, fmt: str = "parquet",
     return out
 
 
+def export_datasets(spark: SparkSession, catalog: DatasetCatalog, names: Iterable[str], root: str,
+                    fmt: str = "parquet", mode: str = "errorifexists") -> dict[str, str]:
+    """K4 by dataset name; an unknown name raises before anything is written."""
+    return export({n: m.read(spark) for n, m in catalog.resolve_many(names).items()}, root, fmt, mode)
+
+
 def cohort_table_name(cohort_id: str, area: str, index: int = 0) -> str:
     """Name of one cohort output, e.g. ``COHORT_RUN_<ID>_0_CLAIMS_MEDICAL_EVENTS``."""
     return f"COHORT_RUN_{cohort_id}_{index}_{area.upper().replace('-', '_')}".upper()
 
 
-def write_cohort(tables: Mapping[str, DataFrame], cohort_id: str, root: str,
-                 fmt: str = "parquet") -> dict[str, str]:
-    """K5: one written table per requested subject area, at ``root/<name>``.
-
-    Returns area -> path.  Area names were checked when ``tables`` was built.
-    """
-    paths = export({cohort_table_name(cohort_id, a): df for a, df in tables.items()}, root, fmt)
-    return dict(zip(tables.keys(), paths.values()))
-
-
 def materialize(df: DataFrame, name: str, kind: str = "view",
                 path: str | None = None, fmt: str = "parquet") -> DataFrame:
     """K6: a model as a (temporary) view or a saved table; returns the read-back."""

@@ -25,22 +25,11 @@ TEST_TABLES = (
 )
 
 
-_SCHEMAS: dict[str, T.StructType] = {}
-
-
-def read_parquet(spark: SparkSession, path: str) -> DataFrame:
-    """``spark.read.parquet`` with the footer schema looked up once per path.
-
-    Inferring a parquet schema runs a small Spark job; a query that reads the
-    same table several times (or many queries in one session) would pay it
-    each time.  The file listing is still done on every read, so new files
-    are seen; only the schema is remembered.
-    """
-    schema = _SCHEMAS.get(path)
-    if schema is None:
-        schema = spark.read.parquet(path).schema
-        _SCHEMAS[path] = schema
-    return spark.read.schema(schema).parquet(path)
+def read_parquet(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
+    """A parquet table as it is now; a caller who knows the schema spares the
+    small job that infers it."""
+    reader = spark.read if schema is None else spark.read.schema(schema)
+    return reader.parquet(path)
 
 
 @dataclass(frozen=True)

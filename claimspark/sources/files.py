@@ -27,13 +27,23 @@ EXTRACT_SCHEMA = T.StructType([
 ])
 
 
+# The dialect of both sides: quotes are doubled, blanks are data.
+CSV_DIALECT = {
+    "header": "true", "quote": '"', "escape": '"',
+    "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false",
+}
+
+
 def read_extract_csv(spark: SparkSession, path: str,
                      schema: T.StructType = EXTRACT_SCHEMA) -> DataFrame:
     """S3: read a header CSV with a fixed schema (no inference pass).
 
     FAILFAST makes a malformed row an error instead of a silent null row.
+    Values may hold line breaks (``multiLine``), so a file is one split; the
+    writer bounds the rows of a file.  An empty field is null.
     """
     return (spark.read.schema(schema)
-            .option("header", True)
+            .options(**CSV_DIALECT)
+            .option("multiLine", True)
             .option("mode", "FAILFAST")
             .csv(path))

@@ -40,6 +40,8 @@ PROCEDURE_BY_LINE = [
 PROCEDURE_OTHER_LINES = "27447"
 SPECIALTY_BY_MOD3 = [(0, "ORTHO"), (1, "NEURO")]
 SPECIALTY_OTHER = "PAIN"
+PRESCRIBERS_PER_PRACTICE = 7
+MONTH_NAMES = "JANFEBMARAPRMAYJUNJULAUGSEPOCTNOVDEC"
 
 
 def _lines_with_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,7 +65,11 @@ def medical_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 def events_from_lines(j: DataFrame) -> DataFrame:
     """The medical-event projection of order lines joined to their orders
     (works on a batch or a streaming frame)."""
-    date_text = F.col("o_orderdate").cast("date").cast("string")
+    iso = F.col("o_orderdate").cast("date").cast("string")
+    year, month, day = F.substring(iso, 1, 4), F.substring(iso, 6, 2), F.substring(iso, 9, 2)
+    name = F.substring(F.lit(MONTH_NAMES), month.cast("int") * 3 - 2, F.lit(3))
+    date_text = (F.when(F.col("l_orderkey") % 103 == 1, F.concat_ws("/", month, day, year))
+                 .when(F.col("l_orderkey") % 103 == 2, F.concat_ws("-", day, name, year)).otherwise(iso))
     return j.select(
         F.col("o_custkey").alias("patient_id"),
         (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("medical_event_id"),
@@ -88,18 +94,45 @@ def events_from_lines(j: DataFrame) -> DataFrame:
 
 
 def pharmacy_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sparse fills (so two yearly snapshots differ); 1 in 10 prescribers null."""
-    li = read_table(spark, sf_dir, "lineitem").filter(
-        (F.col("l_quantity") == 50) & (F.col("l_linenumber") == 7)
-    )
+    """One fill per order line.  Customers stand in for practices of seven
+    prescribers (a sparse key, so two yearly snapshots differ); from 1998 on, one
+    practice in ten does not record its prescribers."""
+    li = read_table(spark, sf_dir, "lineitem")
     orders = read_table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
-    j = li.join(orders, li["l_orderkey"] == orders["o_orderkey"], "inner")
+    j = li.join(orders.hint("merge"), li["l_orderkey"] == orders["o_orderkey"], "inner")
+    unknown = (F.col("o_custkey") % 10 == 3) & (F.col("l_shipdate") >= F.lit("1998-01-01").cast("date"))
     return j.select(
         F.col("o_custkey").alias("patient_id"),
         (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("pharmacy_event_id"),
         F.col("l_shipdate").cast("date").alias("fill_date"),
-        F.when(F.col("l_suppkey") % 10 == 3, F.lit(None).cast("bigint"))
-        .otherwise(F.col("l_suppkey")).alias("prescriber_npi"),
+        F.when(unknown, F.lit(None).cast("bigint"))
+        .otherwise(F.col("o_custkey") * 10 + F.col("l_linenumber")).alias("prescriber_npi"),
+    )
+
+
+def prescribers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The directory of the prescribers of ``pharmacy_events``, plus one with a null NPI."""
+    c = read_table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey")
+    c = c.withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(PRESCRIBERS_PER_PRACTICE))))
+    n = read_table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
+    listed = c.join(n, c["c_nationkey"] == n["n_nationkey"], "inner").select(
+        (F.col("c_custkey") * 10 + F.col("k")).alias("npi"),
+        F.concat_ws(" ", "c_name", "k").alias("first_name"),
+        _case(F.col("c_custkey") % 3, SPECIALTY_BY_MOD3, SPECIALTY_OTHER).alias("primary_specialty"),
+        F.col("n_name").alias("provider_state"),
+        (F.lit(10000) + F.col("c_custkey") % 900).cast("string").alias("provider_zip"),
+    )
+    return listed.unionByName(_unlisted(spark))
+
+
+def _unlisted(spark: SparkSession) -> DataFrame:
+    """The directory row with a null key."""
+    return spark.range(1).select(
+        F.lit(None).cast("bigint").alias("npi"),
+        F.lit("Unlisted").alias("first_name"),
+        F.lit("UNKNOWN").alias("primary_specialty"),
+        F.lit(None).cast("string").alias("provider_state"),
+        F.lit(None).cast("string").alias("provider_zip"),
     )
 
 
@@ -114,14 +147,7 @@ def providers(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("n_name").alias("provider_state"),
         (F.lit(10000) + F.col("s_suppkey") % 900).cast("string").alias("provider_zip"),
     )
-    unlisted = spark.range(1).select(
-        F.lit(None).cast("bigint").alias("npi"),
-        F.lit("Unlisted").alias("first_name"),
-        F.lit("UNKNOWN").alias("primary_specialty"),
-        F.lit(None).cast("string").alias("provider_state"),
-        F.lit(None).cast("string").alias("provider_zip"),
-    )
-    return listed.unionByName(unlisted)
+    return listed.unionByName(_unlisted(spark))
 
 
 def demographics(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -170,6 +196,7 @@ class ClaimsTables:
         "medical_events": medical_events,
         "pharmacy_events": pharmacy_events,
         "providers": providers,
+        "prescribers": prescribers,
         "demographics": demographics,
         "geography": geography,
         "plans": plans,
@@ -188,20 +215,13 @@ class ClaimsTables:
     medical_events = property(lambda self: self._get("medical_events"))
     pharmacy_events = property(lambda self: self._get("pharmacy_events"))
     providers = property(lambda self: self._get("providers"))
+    prescribers = property(lambda self: self._get("prescribers"))
     demographics = property(lambda self: self._get("demographics"))
     geography = property(lambda self: self._get("geography"))
     plans = property(lambda self: self._get("plans"))
 
 
 def claims_tables(spark: SparkSession, sf_dir: str) -> ClaimsTables:
-    """The subject tables over ``sf_dir``, defined once per session.
-
-    Defining a DataFrame costs driver time (each transformation is analysed),
-    so like any long-lived Spark job the frames are defined once and reused by
-    every query of the session.  Only plans are kept, never data.
-    """
-    memo = spark.__dict__.setdefault("_claimspark_tables", {})
-    key = sf_dir.rstrip("/")
-    if key not in memo:
-        memo[key] = ClaimsTables(spark, key)
-    return memo[key]
+    """The subject tables over ``sf_dir``, defined anew: schemas and file
+    listings are those of the moment, never of an earlier query."""
+    return ClaimsTables(spark, sf_dir.rstrip("/"))

@@ -24,11 +24,17 @@ from pyspark.sql.streaming import StreamingQuery
 from claimspark.operators.providers import events_with_modifier
 
 
-def run_to_completion(query: StreamingQuery, timeout_s: float = 3600.0) -> StreamingQuery:
-    """Wait for an ``availableNow`` run to finish; a run still active after
-    ``timeout_s`` is stopped and reported (its checkpoint lets the next run
-    resume exactly where it stopped)."""
-    done = query.awaitTermination(timeout_s)
+# New files in one micro-batch of a refresh; the backlog takes as many batches as it needs.
+FILES_PER_BATCH = 1000
+
+
+def run_to_completion(query: StreamingQuery, timeout_s: float | None = None) -> StreamingQuery:
+    """Wait for an ``availableNow`` run to finish, however long it takes; only a
+    caller who gives ``timeout_s`` has a run that is still active then stopped
+    and reported (its checkpoint lets the next run resume where it stopped)."""
+    done = query.awaitTermination(timeout_s) if timeout_s is not None else query.awaitTermination()
+    if timeout_s is None:
+        done = True
     if not done and query.isActive:
         query.stop()
         raise TimeoutError(f"streaming refresh {query.id} did not finish in {timeout_s} s")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from datetime import date
+from datetime import date, datetime
 
 import pytest
 from pyspark.sql import functions as F
@@ -12,6 +12,7 @@ from claimspark.functions.dates import age_years, month_text, parse_date_lenient
 from claimspark.functions.flags import has_token, has_value_upper, is_robotic
 from claimspark.functions.labels import CODE_LABELS, code_for_label, label_col
 from claimspark.functions.names import dataset_suffix, table_type, table_type_col
+from claimspark.operators import cohorts as C
 from claimspark.operators import procedures as P
 from claimspark.operators import providers as V
 from claimspark.operators.cohorts import time_filter
@@ -46,6 +47,39 @@ def test_n2_strict_and_lenient_rules_differ(spark):
     assert r.stg == date(2024, 1, 3)
 
 
+def test_x1_detects_three_formats(spark):
+    texts = ["01/31/2024", "31-JAN-2024", "31-jan-2024", "1-Feb-2024", "2/3/2024", "2024-01-31 10:11:12", "2024", "31/01/2024",
+             "20240131", "31-XXX-2024", "13-2024", " 2024-01-31 "]
+    got = [r.d for r in one_col(spark, texts).select(parse_date_lenient("c").alias("d")).collect()]
+    jan, feb = date(2024, 1, 31), date(2024, 2, 1)
+    assert got == [jan, jan, jan, feb, date(2024, 2, 3), jan, None, None, None, None, None, jan]
+    strict = [r.d for r in one_col(spark, texts[:3]).select(parse_date_strict("c").alias("d")).collect()]
+    assert strict == [None, None, None]
+
+
+def test_null_patient_is_no_cohort_member(spark):
+    df = spark.createDataFrame([(1, "22612", False), (None, "22612", False), (1, "22612", None)],
+                               "patient_id long, procedure_code string, is_rejected boolean")
+    cohort = C.Cohort(rule=F.col("procedure_code") == "22612")
+    assert [r.patient_id for r in C.cohort_patients(df, cohort).collect()] == [1]
+
+
+def test_output_order_by_month_and_by_volume(spark):
+    rows = [("2024-02", "NY", 1), ("2024-01", "NY", 1), (None, "CA", 1), ("2024-01", None, 1), ("2024-01", "CA", 1), ("2024-01", "CA", 1)]
+    df = spark.createDataFrame([(m, s, "P", n, i) for i, (m, s, n) in enumerate(rows)],
+                               "procedure_month string, provider_state string, payer_name string, rendering_npi long, medical_event_id long")
+    monthly = [(r.procedure_month, r.provider_state) for r in P.monthly_counts(df, "provider_state").collect()]
+    assert monthly == [(None, "CA"), ("2024-01", None), ("2024-01", "CA"), ("2024-01", "NY"), ("2024-02", "NY")]
+    summary = [(r.procedure_volume, r.provider_state) for r in P.territory_summary(df).collect()]
+    assert summary == [(3, "CA"), (2, "NY"), (1, None)]
+    mix = [(r.procedure_volume, r.provider_state) for r in P.payer_mix_by_state(df).collect()]
+    assert mix == summary
+
+
+def test_x11_name_suffix():
+    assert dataset_suffix(datetime(2024, 5, 6, 7, 8, 9)) == "20240506_070809"
+
+
 def test_n3_robotic_flag_never_null(spark):
     df = one_col(spark, ["S2900", "22612", None])
     assert [r.f for r in df.select(is_robotic("c").alias("f")).collect()] == [True, False, False]
@@ -255,7 +289,8 @@ def test_p2_p3_models_on_hand_rows(spark):
 
 def test_preview_orders_and_bounds(spark):
     df = spark.createDataFrame([(3, "c"), (1, "a"), (2, None)], "k long, v string")
-    assert [r.k for r in preview(df, 2).collect()] == [1, 2]
+    assert [r.k for r in preview(df, 2, ["k"]).collect()] == [1, 2]
+    assert preview(df, 2).count() == 2
     with pytest.raises(ValueError):
         preview(df, -1)
 
@@ -264,5 +299,5 @@ def test_bounded_read_sizes(spark):
     from claimspark.operators.limits import HEAD_ROWS, PULL_ROWS, SHORT_HEAD_ROWS
     df = spark.range(2000)
     assert preview(df, PULL_ROWS).count() == 1000
-    assert [r.id for r in preview(df, SHORT_HEAD_ROWS).collect()] == [0, 1, 2, 3, 4]
+    assert [r.id for r in preview(df, SHORT_HEAD_ROWS, ["id"]).collect()] == [0, 1, 2, 3, 4]
     assert preview(df, HEAD_ROWS, [F.desc("id")]).first().id == 1999

@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 from claimspark import sinks
 from claimspark.operators import cohorts as C
 from claimspark.plans.session import scratch_path, shared_root
-from claimspark.plans.workflows import run_procedure_models
+from claimspark.plans.workflows import run_cohort, run_procedure_models, run_unique_keys
 from claimspark.sources.catalog import (
-    DatasetCatalog, Manifestation, load_outputs, row_counts, scan, sf_catalog,
+    DatasetCatalog, Manifestation, load_outputs, read_parquet, row_counts, scan, sf_catalog,
 )
 from claimspark.sources.files import EXTRACT_SCHEMA, read_extract_csv
 from tests.conftest import SF_SMALL
@@ -73,6 +73,16 @@ def test_csv_extract_keeps_code_text(spark):
     assert back.diagnosis_codes is None and back.patient_gender is None
 
 
+def test_csv_keeps_every_text(spark):
+    path = scratch_path(spark, "csv")
+    odd = [" F ", "a\nb", 'say "x"', '"', "back\\slash", "\\", "\\\"", "a,b", "", None, "\ttab", "é", " \r\n ", "'", "\\N", "null"]
+    row = (1, 2, "022612", "2024-01-01", "11", 3, None, "A", "B", "C", "00501", "P", 4, "R", "1980-01-01")
+    df = spark.createDataFrame([(i, *row[1:], t) for i, t in enumerate(odd)], EXTRACT_SCHEMA).repartition(3)
+    sinks.write_extract_csv(df, path)
+    back = {r.patient_id: r.patient_gender for r in read_extract_csv(spark, path).collect()}
+    assert back == {i: t or None for i, t in enumerate(odd)}  # an empty text comes back as null
+
+
 def test_export_and_load_outputs(spark):
     root = scratch_path(spark, "exp")
     paths = sinks.export({"A_0_CLAIMS_PLANS": spark.range(2), "A_0_CLAIMS_MEDICAL_EVENTS": spark.range(3)},
@@ -182,21 +192,50 @@ def test_new_prescribers_workflow(spark, tables):
     from claimspark.plans.workflows import run_new_prescribers
     from claimspark.queries import _rx_periods
     later, earlier = _rx_periods(spark, SF_SMALL)
-    name = run_new_prescribers(later, earlier, tables.providers, "new_hcps_",
+    name = run_new_prescribers(later, earlier, tables.prescribers, "new_hcps_",
                                datetime(2024, 1, 2, 3, 4, 5), path=scratch_path(spark, "newhcp"))
     assert name == "new_hcps_20240102_030405"
-    assert spark.table(name).count() == 6
-
-
-def test_write_cohort_sink(spark, tables):
-    cohort = C.Cohort(rule=F.col("procedure_code") == "22612",
-                      time_ranges=[("1998-01-01", "1998-01-31")],
-                      outputs=(C.DEMOGRAPHICS, C.GEOGRAPHY))
-    frames = C.cohort_tables(C.area_tables(tables), cohort)
-    paths = sinks.write_cohort(frames, "K5", scratch_path(spark, "k5"))
-    assert set(paths) == {C.DEMOGRAPHICS, C.GEOGRAPHY}
-    assert paths[C.DEMOGRAPHICS].endswith("COHORT_RUN_K5_0_CLAIMS_PATIENT_DEMOGRAPHICS")
-    assert spark.read.parquet(paths[C.DEMOGRAPHICS]).count() == 10
+    plain = {r.prescriber_npi for r in later.collect()} - {r.prescriber_npi for r in earlier.collect()}
+    assert {r.prescriber_npi for r in spark.table(name).collect()} == plain and len(plain) > 5
+
+
+def test_cohort_run_can_be_repeated(spark, tables):
+    cohort = C.Cohort(rule=F.col("procedure_code") == "22612", time_ranges=[("1998-01-01", "1998-01-31")],
+                      outputs=(C.MEDICAL, C.DEMOGRAPHICS, C.GEOGRAPHY))
+    root = scratch_path(spark, "k5")
+    # what a failed run leaves: one of its outputs, with other rows
+    spark.range(3).write.parquet(f"{root}/COHORT_RUN_K5_0_CLAIMS_PATIENT_DEMOGRAPHICS")
+    first = run_cohort(spark, C.area_tables(tables), cohort, "K5", root)
+    n = {a: df.count() for a, df in first.items()}
+    again = run_cohort(spark, C.area_tables(tables), cohort, "K5", root)
+    assert {a: df.count() for a, df in again.items()} == n and n[C.DEMOGRAPHICS] == 10
+
+
+def test_a_rewritten_table_is_read_as_it_is(spark):
+    path = scratch_path(spark, "rewritten")
+    spark.range(2).write.parquet(path)
+    assert read_parquet(spark, path).columns == ["id"]
+    spark.range(2).selectExpr("id", "'x' AS added").write.mode("overwrite").parquet(path)
+    assert read_parquet(spark, path).columns == ["id", "added"]
+    spark.range(2).selectExpr("id AS renamed").write.mode("overwrite").parquet(path)
+    assert sorted(r.renamed for r in read_parquet(spark, path).collect()) == [0, 1]
+    spark.range(2).selectExpr("cast(id AS string) AS renamed").write.mode("overwrite").parquet(path)
+    assert read_parquet(spark, path).dtypes == [("renamed", "string")]
+    spark.range(5).selectExpr("cast(id AS string) AS renamed").write.mode("append").parquet(path)
+    assert read_parquet(spark, path).count() == 7
+
+
+def test_datasets_by_name(spark):
+    root, catalog = scratch_path(spark, "named"), DatasetCatalog()
+    for name, keys in (("later", [1, 2, None]), ("earlier", [2])):
+        spark.createDataFrame([(k,) for k in keys], "prescriber_npi long").write.parquet(f"{root}/{name}")
+        catalog.register(name, Manifestation(f"{root}/{name}", "parquet"))
+    out = sinks.export_datasets(spark, catalog, ["later", "earlier"], f"{root}/out")
+    assert {n: spark.read.parquet(p).count() for n, p in out.items()} == {"later": 3, "earlier": 1}
+    with pytest.raises(KeyError):
+        sinks.export_datasets(spark, catalog, ["later", "unknown"], f"{root}/none")
+    name = run_unique_keys(spark, catalog, "later", "earlier", "unique_by_name_test", path=f"{root}/unique")
+    assert {r.prescriber_npi for r in spark.table(name).collect()} == {1, None}
 
 
 def test_cohort_reads_the_requested_release(spark, tables):

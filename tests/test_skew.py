@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import random
+
+import pytest
 from pyspark.sql import functions as F
 
 from claimspark.operators.extract import procedure_adoption
@@ -25,18 +28,26 @@ def _skewed(spark, n=3000, hot_share=0.4):
     return big, small
 
 
-def test_hot_keys_found_and_bounded(spark):
+def test_hot_keys_found(spark):
     big, _ = _skewed(spark)
-    hk = hot_keys(big, ["patient_id"], rows_per_split=100, max_keys=5).collect()
+    hk = hot_keys(big, ["patient_id"], rows_per_split=100).collect()
     assert len(hk) == 1 and hk[0].patient_id == 1 and hk[0]["__salts"] == 12
-    assert len(hot_keys(big, ["patient_id"], rows_per_split=1, max_keys=5).collect()) == 5
+
+
+def test_every_hot_key_is_found_and_split(spark):
+    big, small = _skewed(spark)
+    hot = hot_keys(big, ["patient_id"], rows_per_split=10)
+    assert hot.count() == big.groupBy("patient_id").count().filter("count >= 10").count() > 90
+    salted = salted_join(big, small, ["patient_id"], ["medical_event_id", "rendering_npi"], hot)
+    plain = big.join(small, "patient_id")
+    assert salted.select(*plain.columns).exceptAll(plain).count() == 0 and salted.count() == plain.count()
 
 
 def test_salted_join_equals_plain_join(spark):
     big, small = _skewed(spark)
     plain = big.join(small, "patient_id", "inner")
-    salted = salted_join(big, small, ["patient_id"],
-                         ["medical_event_id", "rendering_npi"], rows_per_split=100)
+    salted = salted_join(big, small, ["patient_id"], ["medical_event_id", "rendering_npi"],
+                         hot_keys(big, ["patient_id"], rows_per_split=100))
     cols = plain.columns
     assert salted.select(*cols).exceptAll(plain).count() == 0
     assert plain.exceptAll(salted.select(*cols)).count() == 0
@@ -55,46 +66,6 @@ def test_hot_key_is_spread_over_pieces(spark):
     assert max(r["count"] for r in pieces) < 400
 
 
-def test_star_join_with_a_hot_patient(spark):
-    events = spark.range(900).select(
-        F.when(F.col("id") < 400, F.lit(1)).otherwise(F.col("id") % 5 + 2).cast("long").alias("patient_id"),
-        F.col("id").alias("medical_event_id"), F.lit("22612").alias("procedure_code"),
-        F.lit("2024-01-01").alias("service_date"), F.lit("11").alias("place_of_service"),
-        (F.col("id") % 3).alias("rendering_npi"), F.lit(None).cast("string").alias("diagnosis_codes"),
-        (F.col("id") % 2).alias("kh_plan_id"))
-    providers = spark.range(3).select(F.col("id").alias("npi"), F.lit("A").alias("first_name"),
-                                      F.lit("S").alias("primary_specialty"),
-                                      F.lit("CA").alias("provider_state"), F.lit("9").alias("provider_zip"))
-    demo = spark.range(1, 8).select(F.col("id").alias("patient_id"), F.lit("1980-01-01").alias("patient_yob"),
-                                    F.lit("F").alias("patient_gender"))
-    geo = spark.range(1, 8).select(F.col("id").alias("patient_id"), F.lit(1).alias("geo_id"))
-    geo = geo.unionByName(spark.range(1).select(F.lit(1).cast("long").alias("patient_id"),
-                                                F.lit(2).alias("geo_id")))
-    plans = spark.range(2).select(F.col("id").alias("kh_plan_id"), F.lit("P").alias("payer_name"),
-                                  F.lit("R").alias("parent_name"))
-    split = procedure_adoption(events, providers, demo, geo, plans, rows_per_split=50)
-    whole = procedure_adoption(events, providers, demo, geo, plans, rows_per_split=10**9)
-    assert split.count() == whole.count() == 400 * 2 + 500
-    assert split.exceptAll(whole).count() == 0 and whole.exceptAll(split).count() == 0
-
-
-def test_robotic_semi_join_with_a_hot_visit(spark):
-    from claimspark.operators.procedures import keep_robotic_visits
-    df = spark.range(1000).select(
-        F.when(F.col("id") < 400, F.lit(1)).otherwise(F.col("id") % 30 + 2).cast("long").alias("patient_id"),
-        F.when(F.col("id") < 400, F.lit("2024-01-01")).otherwise(
-            F.concat(F.lit("2024-01-"), (F.col("id") % 3 + 10).cast("string"))).alias("service_date"),
-        F.when(F.col("id") % 10 == 0, F.lit("S2900")).otherwise(F.lit("22612")).alias("procedure_code"),
-        (F.col("id") % 50).alias("medical_event_id"),
-        (F.col("id") % 7).alias("rendering_npi"),
-    )
-    split = keep_robotic_visits(df, rows_per_split=40)
-    whole = keep_robotic_visits(df, rows_per_split=10**9)
-    assert split.columns == df.columns
-    assert split.count() == whole.count()
-    assert split.exceptAll(whole).count() == 0 and whole.exceptAll(split).count() == 0
-
-
 SKEW_CONF = {
     "spark.sql.autoBroadcastJoinThreshold": "-1",
     "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
@@ -151,48 +122,59 @@ def test_aqe_splits_a_hot_patient_in_the_cohort_semi_join(spark):
         assert "skew=true" in final
 
 
-def test_aqe_cannot_split_a_join_on_a_co_partitioned_dimension(spark):
-    """Why the star join is salted: when the dimension side is itself the
-    output of a shuffle on the same key, the fact join shares its stage and
-    adaptive execution leaves the hot patient's partition whole."""
-    from claimspark.plans.inspect import plan_text
-
-    with _conf(spark, SKEW_CONF):
-        events = _hot_events(spark)
-        demo = spark.range(1, 600).select(F.col("id").alias("patient_id"), F.lit("F").alias("g"))
-        geo = spark.range(1, 600).select(F.col("id").alias("patient_id"), F.lit(1).alias("geo"))
-        dim = demo.join(geo, "patient_id")
-        df = events.join(dim, "patient_id")
-        df.collect()
-        final = plan_text(df).split("== Initial Plan ==")[0]
-        assert "isFinalPlan=true" in plan_text(df)
-        assert "skew=true" not in final
+def _star(spark, hot_column):
+    """60,000 events of which 25,000 have one value in ``hot_column``, and their dimensions."""
+    hot = F.col("id") < 25000
+    patient = F.when(hot, F.lit(1)).otherwise(F.col("id") % 300 + 1) if hot_column == "patient_id" else F.col("id") % 300 + 1
+    npi = F.when(hot, F.lit(7)).otherwise(F.col("id") % 400) if hot_column == "rendering_npi" else F.col("id") % 400
+    events = spark.range(60000).select(
+        patient.cast("long").alias("patient_id"), F.col("id").alias("medical_event_id"),
+        F.lit("22612").alias("procedure_code"), F.lit("2024-01-01").alias("service_date"),
+        F.lit("11").alias("place_of_service"), npi.cast("long").alias("rendering_npi"),
+        F.lit(None).cast("string").alias("diagnosis_codes"), (F.col("id") % 3).alias("kh_plan_id"))
+    providers = spark.range(400).select(
+        F.col("id").alias("npi"), F.lit("A").alias("first_name"), F.lit("S").alias("primary_specialty"),
+        F.lit("CA").alias("provider_state"), F.lit("9").alias("provider_zip"))
+    demo = spark.range(1, 301).select(F.col("id").alias("patient_id"), F.lit("1980-01-01").alias("patient_yob"),
+                                      F.lit("F").alias("patient_gender"))
+    geo = spark.range(1, 301).select(F.col("id").alias("patient_id"), F.lit(1).alias("geo_id"))
+    plans = spark.range(3).select(F.col("id").alias("kh_plan_id"), F.lit("P").alias("payer_name"),
+                                  F.lit("R").alias("parent_name"))
+    return events, providers, demo, geo, plans
 
 
-def test_aqe_splits_a_hot_provider_in_the_star_join(spark):
-    """The provider join has two shuffle-stage inputs, so a provider holding
-    a large share of all events is split by adaptive execution when the
-    provider table is too large to broadcast."""
+@pytest.mark.parametrize("column", ["patient_id", "rendering_npi"])
+def test_aqe_splits_a_hot_key_in_the_star_join(spark, column):
+    """Both inputs of the patient and of the provider join are shuffles of
+    their own, so a key with a large share of all events is split."""
     from claimspark.plans.inspect import plan_text
 
     with _conf(spark, SKEW_CONF):
-        events = spark.range(60000).select(
-            (F.col("id") % 300 + 1).alias("patient_id"), F.col("id").alias("medical_event_id"),
-            F.lit("22612").alias("procedure_code"), F.lit("2024-01-01").alias("service_date"),
-            F.lit("11").alias("place_of_service"),
-            F.when(F.col("id") < 25000, F.lit(7)).otherwise(F.col("id") % 400).cast("long")
-            .alias("rendering_npi"),
-            F.lit(None).cast("string").alias("diagnosis_codes"), (F.col("id") % 3).alias("kh_plan_id"))
-        providers = spark.range(400).select(
-            F.col("id").alias("npi"), F.lit("A").alias("first_name"), F.lit("S").alias("primary_specialty"),
-            F.lit("CA").alias("provider_state"), F.lit("9").alias("provider_zip"))
-        demo = spark.range(1, 301).select(F.col("id").alias("patient_id"),
-                                          F.lit("1980-01-01").alias("patient_yob"),
-                                          F.lit("F").alias("patient_gender"))
-        geo = spark.range(1, 301).select(F.col("id").alias("patient_id"), F.lit(1).alias("geo_id"))
-        plans = spark.range(3).select(F.col("id").alias("kh_plan_id"), F.lit("P").alias("payer_name"),
-                                      F.lit("R").alias("parent_name"))
-        df = procedure_adoption(events, providers, demo, geo, plans)
+        df = procedure_adoption(*_star(spark, column))
         assert len(df.collect()) == 60000
         final = plan_text(df).split("== Initial Plan ==")[0]
         assert "skew=true" in final
+
+
+def test_robotic_events_equal_a_plain_semi_join(spark):
+    """Visits from the robotic events alone keep the rows that the app's own
+    self-semi-join of the finished extract keeps, under the geography fan-out."""
+    from claimspark.operators import procedures as P
+    from claimspark.operators.extract import procedure_adoption as star
+
+    rng = random.Random(4)
+    for _ in range(4):
+        events = spark.createDataFrame(
+            [(rng.choice([None, 1, 2, 3, 4, 5]), i, rng.choice(["S2900", "22612", "22630", None]), rng.choice(["d1", "d2", None]), "11",
+              rng.choice([None, 7, 8, 9]), None, rng.choice([0, 1, 2, None])) for i in range(120)],
+            "patient_id long, medical_event_id long, procedure_code string, service_date string, place_of_service string, "
+            "rendering_npi long, diagnosis_codes string, kh_plan_id long")
+        providers = spark.createDataFrame([(7, "A", "S", "CA", "9"), (8, "B", "S", "CA", "9")],
+                                          "npi long, first_name string, primary_specialty string, provider_state string, provider_zip string")
+        demo = spark.createDataFrame([(p, "1980-01-01", "F") for p in (1, 2, 3, 4)], "patient_id long, patient_yob string, patient_gender string")
+        geo = spark.createDataFrame([(1, 1), (2, 1), (2, 2), (3, 1), (5, 1)], "patient_id long, geo_id long")
+        plans = spark.createDataFrame([(0, "P", "R"), (1, "Q", "R")], "kh_plan_id long, payer_name string, parent_name string")
+        whole = star(events, providers, demo, geo, plans)
+        want = P.keep_robotic_visits(whole)
+        got = star(P.robotic_events(events, providers, plans), providers, demo, geo, plans)
+        assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0

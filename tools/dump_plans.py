@@ -30,19 +30,17 @@ GUIDE = """How to read these plans at scale:
   as sort-merge joins here. At run time AQE measures the shuffle output and turns them into broadcast
   joins when the measured size is under the threshold.
 - **Star join** (`procedure_adoption` and everything built on it): plans and providers are broadcast
-  when small; the event table is shuffled once on `patient_id` against the patient dimension
-  (demographics ⋈ geography). That join is salted: the `TakeOrderedAndProject` below a
-  `BroadcastExchange` is the bounded hot-patient table (a partial/final aggregate of the event keys,
-  at most 10,000 rows). The `Generate` on the dimension side replicates hot patients' rows once per
-  piece.
+  when small; the event table is read once and shuffled once on `patient_id` against the patient
+  dimension (demographics ⋈ geography), which is written first and read back. Both inputs are then
+  shuffles of their own, which AQE can split on a hot patient.
 - **Aggregates** always show `HashAggregate` → `Exchange` → `HashAggregate`: a partial aggregate per
   task runs before every shuffle.
 - **Top-k and previews** end in `TakeOrderedAndProject`: a per-task top-k plus a small merge, no
   global sort.
 - **EXCEPT** (`new_prescribers`, `unique_hcps_reverse`): each side is de-duplicated before its
   first exchange. The null-safe anti-join then runs on `(coalesce(k, 0), isnull(k))`.
-- **Robotic visits** (`robotic_procedures`): one aggregate per (patient, date) yields both the
-  robotic keys and the hot-visit table. The semi-join is salted like the star join.
+- **Robotic visits** (`robotic_procedures`): the visit keys come from the robotic events alone and
+  are written first; the raw events are semi-joined with them before the star join.
 - **Cohort queries** write the id set first, so their semi-joins read it back from files. Both
   inputs are then shuffle stages, which AQE can split on a hot patient. The trees shown are the
   read-back plans.
