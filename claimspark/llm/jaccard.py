@@ -19,9 +19,12 @@ of those, so its pairs are not listed at once:
   compared.  Only pairs whose two ends are already joined are left out, so the
   groups are exact.
 
-Frequencies only shape the order; they are counted over all documents, from
-shingles that repeat within some chunk of them.  The most frequent
-``MAX_FREQUENT`` (at most) are given to the tasks, the rest count as rare.
+Frequencies shape the order and nothing else, so they may be a little too high:
+every shingle of every class is counted, by 32 bits of its hash within one of
+as many buckets as there are shuffle partitions.  Tasks get the shingles of each
+frequency class as Bloom filters of bounded size; where the lowest class does
+not fit, it counts as unique.  While it fits, shingles outside every filter are
+in one class alone and need no shuffle.
 
 Null and empty texts have an empty set and are linked with nothing; a text of
 fewer words than a shingle is one shingle; repeated rows are equal sets; other
@@ -45,8 +48,9 @@ from claimspark.llm.scan import (
 from claimspark.plans.session import save
 
 SHINGLE, PERCENT = 5, 75
-MAX_FREQUENT = 1 << 20
-LIGHT_FRAGMENTS = 4  # of the shingles that count as rare, by the top bits of the hash; frequent ones are one more
+LEVELS = (2, 16, 256)     # frequencies at which a class of the order begins
+MAX_FILTERED = 1 << 23    # shingles in a Bloom filter at most
+FRAGMENTS = 4             # of the unique shingles, by the top bits of the hash; every other class is one more
 
 
 def min_overlap(n, percent: int = PERCENT):
@@ -86,88 +90,125 @@ def _distinct(shingles: np.ndarray, counts: np.ndarray, keys: np.ndarray, seen:
     return shingles[np.repeat(fresh, counts)], counts[fresh], keys[fresh]
 
 
+def _row_hash(doc_id: pa.Array, text_hash: pa.Array) -> np.ndarray:
+    ids = doc_id.fill_null(-1).to_numpy(zero_copy_only=False).view(np.uint64)
+    return mix(mix(ids + np.uint64(1)) ^ text_hash.to_numpy(zero_copy_only=False).view(np.uint64))
+
+
 def _describe(shingle: int):
-    """Rows of two kinds: each document's set, and shingles that repeat within a chunk."""
+    """Each document's set: its size and its key."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set = set()
         for batch in batches:
             for lo, hi, data, off in text_chunks(batch.column(1)):
-                shingles, counts, keys = _sets(data, off, shingle)
-                n = hi - lo
+                _, counts, keys = _sets(data, off, shingle)
+                doc_id, text_hash = batch.column(0).slice(lo, hi - lo), batch.column(2).slice(lo, hi - lo)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(lo, n), batch.column(2).slice(lo, n), pa.array(counts),
-                     pa.array(keys.view(np.int64), mask=counts == 0), pa.nulls(n, pa.int64())],
-                    ["doc_id", "text_hash", "n", "key", "shingle"])
-                own, _, _ = _distinct(shingles, counts, keys, seen)
-                h, times = np.unique(own, return_counts=True)
-                h, times = h[times > 1], times[times > 1]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.nulls(len(h), pa.int64()), pa.nulls(len(h), pa.int64()), pa.array(times), pa.nulls(len(h), pa.int64()), signed(h)],
-                    ["doc_id", "text_hash", "n", "key", "shingle"])
+                    [doc_id, text_hash, pa.array(counts), pa.array(keys.view(np.int64), mask=counts == 0),
+                     signed(_row_hash(doc_id, text_hash))], ["doc_id", "text_hash", "n", "key", "row"])
     return run
 
 
-def _classes(shingles: np.ndarray, frequent: np.ndarray, level: np.ndarray) -> np.ndarray:
-    out = np.zeros(len(shingles), np.uint8)
-    if len(frequent):
-        at = np.minimum(np.searchsorted(frequent, shingles), len(frequent) - 1)
-        same = frequent[at] == shingles
-        out[same] = level[at[same]]
-    return out
+def _class_sets(batches: Iterator[pa.RecordBatch], shingle: int, chosen: Bloom, wanted: Bloom | None = None):
+    """The sets of the documents that stand for their classes, each once per task."""
+    seen: set = set()
+    for batch in batches:
+        for lo, hi, data, off in text_chunks(batch.column(1)):
+            n = hi - lo
+            own = chosen.has(_row_hash(batch.column(0).slice(lo, n), batch.column(2).slice(lo, n)))
+            shingles, counts, keys = _sets(data, off, shingle)
+            if wanted is not None:
+                own &= wanted.has(keys)
+            yield _distinct(shingles[np.repeat(own, counts)], counts[own], keys[own], seen)
+
 
+def _short(shingles: np.ndarray, buckets: int) -> np.ndarray:
+    """A bucket and 32 more bits of each hash."""
+    b = np.uint64(buckets)
+    return (shingles % b) << np.uint64(32) | ((shingles // b) & np.uint64(0xFFFFFFFF))
 
-def _prefixes(shingle: int, percent: int, frequent: np.ndarray, level: np.ndarray):
+
+def _deal(shingle: int, chosen: Bloom, buckets: int):
+    """The short hashes of a chunk, one row for each bucket."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set = set()
-        for batch in batches:
-            for _, _, data, off in text_chunks(batch.column(0)):
-                shingles, counts, keys = _distinct(*_sets(data, off, shingle), seen)
-                doc = np.repeat(np.arange(len(counts)), counts)
-                order = np.argsort(doc * 256 + _classes(shingles, frequent, level), kind="stable")
-                first = np.cumsum(counts) - counts
-                place = np.arange(len(shingles)) - first[doc]
-                front = place <= (counts - min_overlap(counts, percent))[doc]
-                yield pa.RecordBatch.from_arrays(
-                    [signed(shingles[order][front]), signed(keys[doc[front]]), pa.array(counts[doc[front]].astype(np.int32)),
-                     pa.array(place[front].astype(np.int32))], ["shingle", "key", "n", "place"])
+        for shingles, _, _ in _class_sets(batches, shingle, chosen):
+            h = np.sort(_short(shingles, buckets))
+            cut = np.searchsorted(h >> np.uint64(32), np.arange(buckets + 1, dtype=np.uint64))
+            low = h.astype(np.uint32)
+            some = np.flatnonzero(np.diff(cut))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(some.astype(np.int32)), pa.array([low[cut[k]:cut[k + 1]].tobytes() for k in some], pa.binary())],
+                ["bucket", "hashes"])
     return run
 
 
-def _segments(shingle: int, wanted: Bloom, frequent: np.ndarray, level: np.ndarray):
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The short hashes that occur twice or more in the buckets of a task, and how often."""
+    met: dict[int, list] = {}
+    for batch in batches:
+        for bucket, hashes in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            met.setdefault(bucket, []).append(np.frombuffer(hashes, np.uint32))
+    for bucket in list(met):
+        h, n = np.unique(np.concatenate(met.pop(bucket)), return_counts=True)
+        h, n = h[n > 1].astype(np.uint64), n[n > 1]
+        yield pa.RecordBatch.from_arrays([signed(mix(np.uint64(bucket) << np.uint64(32) | h)), pa.array(n)], ["short", "n"])
+
+
+class Order:
+    """The classes of the global order: Bloom filters of the short hashes from each frequency on."""
+
+    def __init__(self, counts: DataFrame, buckets: int):
+        self.buckets = buckets
+        ends = [F.count(F.when(F.col("n") >= k, 1)).alias(str(k)) for k in LEVELS]
+        sizes = counts.agg(*ends).first()
+        self.levels = [k for k in LEVELS if sizes[str(k)] <= MAX_FILTERED]
+        self.filters = [Bloom.of(counts.filter(F.col("n") >= k).select("short"), "short") for k in self.levels]
+
+    @property
+    def unique_known(self) -> bool:
+        """Whether class 0 holds shingles of one class of documents alone."""
+        return bool(self.levels) and self.levels[0] == 2
+
+    def classes(self, shingles: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(shingles), np.uint8)
+        at = np.arange(len(shingles))
+        h = mix(_short(shingles, self.buckets))
+        for f in self.filters:
+            at = at[f.has(h[at])]
+            out[at] += 1
+        return out
+
+
+def _prefixes(shingle: int, percent: int, chosen: Bloom, order: Order):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set = set()
-        for batch in batches:
-            for _, _, data, off in text_chunks(batch.column(0)):
-                shingles, counts, keys = _sets(data, off, shingle)
-                shingles = shingles[np.repeat(wanted.has(keys), counts)]
-                counts, keys = counts[wanted.has(keys)], keys[wanted.has(keys)]
-                shingles, counts, keys = _distinct(shingles, counts, keys, seen)
-                doc = np.repeat(np.arange(len(counts)), counts)
-                light = (shingles >> np.uint64(62)).astype(np.int64) % LIGHT_FRAGMENTS
-                fragment = np.where(_classes(shingles, frequent, level) > 0, LIGHT_FRAGMENTS, light)
-                cell = doc * (LIGHT_FRAGMENTS + 1) + fragment
-                order = np.argsort(cell, kind="stable")
-                cells, sizes = np.unique(cell, return_counts=True)
-                yield pa.RecordBatch.from_arrays(
-                    [signed(keys[cells // (LIGHT_FRAGMENTS + 1)]), pa.array((cells % (LIGHT_FRAGMENTS + 1)).astype(np.int32)),
-                     lists(signed(shingles[order]), sizes)], ["key", "fragment", "shingles"])
+        for shingles, counts, keys in _class_sets(batches, shingle, chosen):
+            doc = np.repeat(np.arange(len(counts)), counts)
+            classes = order.classes(shingles)
+            by = np.argsort(doc * 8 + classes, kind="stable")
+            place = np.arange(len(shingles)) - (np.cumsum(counts) - counts)[doc]
+            front = place <= (counts - min_overlap(counts, percent))[doc]
+            if order.unique_known:
+                front &= classes[by] > 0
+            yield pa.RecordBatch.from_arrays(
+                [signed(shingles[by][front]), signed(keys[doc[front]]), pa.array(counts[doc[front]].astype(np.int32)),
+                 pa.array(place[front].astype(np.int32))], ["shingle", "key", "n", "place"])
     return run
 
 
-def _frequent(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """The most frequent shingles, ascending by hash, and their classes: at most ``MAX_FREQUENT``."""
-    counts = counts.select("shingle", (F.floor(F.log2("n")) + 0).cast("int").alias("level"))
-    sizes = {r.level: r["count"] for r in counts.groupBy("level").count().collect()}
-    total, lowest = 0, 64
-    for k in sorted(sizes, reverse=True):
-        total += sizes[k]
-        if total > MAX_FREQUENT:
-            break
-        lowest = k
-    rows = counts.filter(F.col("level") >= lowest).toArrow()
-    h = rows.column("shingle").to_numpy().view(np.uint64)
-    order = np.argsort(h)
-    return h[order], rows.column("level").to_numpy()[order].astype(np.uint8)
+def _segments(shingle: int, chosen: Bloom, wanted: Bloom, order: Order):
+    parts = FRAGMENTS + len(LEVELS)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for shingles, counts, keys in _class_sets(batches, shingle, chosen, wanted):
+            doc = np.repeat(np.arange(len(counts)), counts)
+            classes = order.classes(shingles).astype(np.int64)
+            light = (shingles >> np.uint64(62)).astype(np.int64) % FRAGMENTS
+            cell = doc * parts + np.where(classes > 0, FRAGMENTS - 1 + classes, light)
+            by = np.argsort(cell, kind="stable")
+            cells, sizes = np.unique(cell, return_counts=True)
+            yield pa.RecordBatch.from_arrays(
+                [signed(keys[cells // parts]), pa.array((cells % parts).astype(np.int32)),
+                 lists(signed(shingles[by]), sizes)], ["key", "fragment", "shingles"])
+    return run
 
 
 def _room(n, place, m, spot, percent: int):
@@ -181,7 +222,9 @@ def _overlaps(pairs: DataFrame, segments: DataFrame, percent: int) -> DataFrame:
     left = segments.select(F.col("key").alias("a"), "fragment", F.col("shingles").alias("x"))
     right = segments.select(F.col("key").alias("b"), "fragment", F.col("shingles").alias("y"))
     counted = (pairs.join(left, "a").join(right, ["b", "fragment"])
-               .select("a", "b", "n", "m", F.size(F.array_intersect("x", "y")).alias("common")))
+               .select("a", "b", "n", "m", "fragment", F.size(F.array_intersect("x", "y")).alias("common")))
+    # a class whose document stands more than once in the table has equal segments: count one
+    counted = counted.groupBy("a", "b", "n", "m", "fragment").agg(F.max("common").alias("common"))
     summed = counted.groupBy("a", "b", "n", "m").agg(F.sum("common").alias("common"))
     return summed.filter(100 * F.col("common") >= percent * (F.col("n") + F.col("m") - F.col("common"))).select("a", "b")
 
@@ -224,21 +267,23 @@ def similar_groups(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCE
     ``percent`` hundredths of common shingles; component is a key of the same
     group that also tells documents of one doc_id apart (null: an empty set).
     """
-    docs = doc_columns(docs)
-    described = save(docs.withColumn("text_hash", F.xxhash64("text")).mapInArrow(
-        _describe(shingle), "doc_id long, text_hash long, n long, key long, shingle long"), "sets")
-    frequent, level = _frequent(described.filter("shingle is not null").groupBy("shingle").agg(F.sum("n").alias("n")))
-
-    texts = docs.select("text")
-    fronts = texts.mapInArrow(_prefixes(shingle, percent, frequent, level), "shingle long, key long, n int, place int")
+    docs = doc_columns(docs).withColumn("text_hash", F.xxhash64("text"))
+    buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    described = save(docs.mapInArrow(_describe(shingle), "doc_id long, text_hash long, n long, key long, row long"), "sets")
+    chosen = described.filter("key is not null").groupBy("key").agg(F.min("row").alias("row")).select("row")
+    chosen = Bloom.of(save(chosen, "chosen"), "row")
+
+    dealt = docs.mapInArrow(_deal(shingle, chosen, buckets), "bucket int, hashes binary").repartition(buckets, "bucket")
+    order = Order(save(dealt.mapInArrow(_count, "short long, n long"), "repeated"), buckets)
+    fronts = docs.mapInArrow(_prefixes(shingle, percent, chosen, order), "shingle long, key long, n int, place int")
     by_shingle = Window.partitionBy("shingle")
     posts = (fronts.withColumn("shared", F.min("key").over(by_shingle) != F.max("key").over(by_shingle))
              .filter("shared").drop("shared").distinct())
     posts = save(posts, "posts")
     keys = posts.groupBy("key").agg((F.count(F.lit(1)) / F.max("n")).alias("typical"))
-    segments = texts.mapInArrow(_segments(shingle, Bloom.of(keys.select("key"), "key"), frequent, level),
-                                "key long, fragment int, shingles array<long>")
-    segments = save(segments.groupBy("key", "fragment").agg(F.first("shingles").alias("shingles")), "segments")
+    wanted = Bloom.of(posts.select("key").distinct(), "key")
+    segments = save(docs.mapInArrow(_segments(shingle, chosen, wanted, order),
+                                    "key long, fragment int, shingles array<long>"), "segments")
 
     posts = save(posts.join(keys, "key"), "posts").withColumn("group", F.col("key"))
     links, groups = None, None
@@ -253,7 +298,7 @@ def similar_groups(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCE
             posts = save(joined.withColumn("open", F.min("group").over(by_shingle) != F.max("group").over(by_shingle))
                          .filter("open").drop("open"), "open-posts")
 
-    rows = described.filter("shingle is null").select("doc_id", "text_hash", "n", "key")
+    rows = described.select("doc_id", "text_hash", "n", "key")
     rows = rows.join(groups.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
     smallest = save(rows.filter("root is not null").groupBy("root").agg(F.min("doc_id").alias("component_id")), "smallest")
     return rows.join(smallest, "root", "left").select(
