@@ -9,7 +9,8 @@ per pair, which gives the exact similarity.
 
 Candidates come from the front of the order.  Two sets that are similar enough
 share a shingle among the first |x| - min_overlap(|x|) + 1 of each, at places
-that leave room for the overlap they need.  A group of near copies shares many
+that leave room for the overlap they need, and their fronts have as much in
+common as the rest cannot make up for.  A group of near copies shares many
 of those, so its pairs are not listed at once:
 
 * documents with equal sets become one class first;
@@ -213,8 +214,26 @@ def _segments(shingle: int, chosen: Bloom, wanted: Bloom, order: Order):
 
 def _room(n, place, m, spot, percent: int):
     """Whether two sets with a first common shingle at these places can overlap enough."""
-    need = F.ceil(F.lit(percent) * (n + m) / F.lit(100 + percent))
-    return F.least(n - place, m - spot) >= need
+    return F.least(n - place, m - spot) >= _need(n, m, percent)
+
+
+def _need(n, m, percent: int):
+    """Common shingles that two sets of these sizes need."""
+    return F.ceil(F.lit(percent) * (n + m) / F.lit(100 + percent))
+
+
+def _promising(pairs: DataFrame, fronts: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose fronts, the first fragment, have enough in common.
+
+    What is common beyond the fronts lies behind the front of the set whose
+    front ends first, so it is no more than the rest of the larger set.
+    """
+    left = fronts.select(F.col("key").alias("a"), F.col("front").alias("x"))
+    right = fronts.select(F.col("key").alias("b"), F.col("front").alias("y"))
+    n, m = F.col("n"), F.col("m")
+    rest = F.floor((F.lit(percent) * F.greatest(n, m) + 99) / 100) - 1
+    met = pairs.join(left, "a").join(right, "b")
+    return met.filter(F.size(F.array_intersect("x", "y")) + rest >= _need(n, m, percent)).select("a", "n", "b", "m")
 
 
 def _overlaps(pairs: DataFrame, segments: DataFrame, percent: int) -> DataFrame:
@@ -280,6 +299,7 @@ def similar_groups(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCE
     posts = (fronts.withColumn("shared", F.min("key").over(by_shingle) != F.max("key").over(by_shingle))
              .filter("shared").drop("shared").distinct())
     posts = save(posts, "posts")
+    fronts = save(posts.groupBy("key").agg(F.collect_list("shingle").alias("front")), "fronts")
     keys = posts.groupBy("key").agg((F.count(F.lit(1)) / F.max("n")).alias("typical"))
     wanted = Bloom.of(posts.select("key").distinct(), "key")
     segments = save(docs.mapInArrow(_segments(shingle, chosen, wanted, order),
@@ -289,6 +309,7 @@ def similar_groups(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCE
     links, groups = None, None
     for seed in (0, 1, None):
         pairs = _rest_pairs(posts, percent) if seed is None else _near_pairs(posts, percent, seed)
+        pairs = save(_promising(pairs, fronts, percent), "pairs")
         found = save(_overlaps(pairs, segments, percent), "links")
         links = found if links is None else links.union(found)
         groups = save(components(links), "groups")
