@@ -34,7 +34,7 @@ STOP_WORDS = (
 RATIOS = (
     ("word_chars", "n_words", 200, 1500),   # mean word length
     ("n_symbols", "n_words", 0, 10),        # symbols per word
-    ("n_dup_lines", "n_lines", 0, 30),      # lines equal to an earlier line
+    ("n_dup_lines", "n_lines", 0, 50),      # lines equal to an earlier line
     ("n_ellipsis_lines", "n_lines", 0, 30),
     ("n_bullet_lines", "n_lines", 0, 90),
 )
