@@ -2,8 +2,8 @@
 
 Format.  A folder holds ``part-NNNNN.arrow`` files (Arrow IPC files) and
 ``index`` (Parquet).  A file's record batches have two fixed-size-list columns
-of ``sequence`` items: ``tokens`` (uint32) and ``mask`` (uint8, 1 for a real
-id).  The ids of a file's documents, each with the end id 0 appended, run
+of ``SEQUENCE`` items: ``tokens`` (uint16 if the vocabulary fits, else uint32)
+and ``mask`` (one bit each, set for a real id).  The ids of a file's documents, each with the end id 0 appended, run
 through its sequences without a break; only the last sequence is filled up, with
 mask 0.  Sequence k of a file is therefore at a fixed place and can be sliced
 from a memory map without a copy.  The index has one row per document: its
@@ -45,8 +45,7 @@ BATCH = 128          # sequences in a record batch
 END_ID = 0
 MEMO = 400_000       # pre-tokens that a task keeps at most
 
-TOKENS = pa.list_(pa.field("item", pa.uint32(), False), SEQUENCE)
-MASK = pa.list_(pa.field("item", pa.uint8(), False), SEQUENCE)
+MASK = pa.list_(pa.field("item", pa.bool_(), False), SEQUENCE)
 
 
 def tokenizer_kinds(path: str) -> bytes:
@@ -71,12 +70,13 @@ class PieceEncoder:
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True
         self.kinds = unpack_kinds(kinds)
+        self.width = np.uint16 if self.library.get_vocab_size() <= 1 << 16 else np.uint32
         self._forget()
 
     def _forget(self):
         self.keys = np.empty(0, np.uint64)
         self.begin = self.size = np.empty(0, np.int64)
-        self.ids = np.empty(0, np.uint32)
+        self.ids = np.empty(0, self.width)
 
     def _learn(self, pieces: list[bytes], h: np.ndarray):
         got = [e.ids for e in self.library.encode_batch_fast([p.decode("utf-8") for p in pieces], add_special_tokens=False)]
@@ -84,7 +84,7 @@ class PieceEncoder:
         keys, begin = np.concatenate([self.keys, h]), np.concatenate([self.begin, len(self.ids) + np.cumsum(size) - size])
         order = np.argsort(keys, kind="stable")
         self.keys, self.begin, self.size = keys[order], begin[order], np.concatenate([self.size, size])[order]
-        self.ids = np.concatenate([self.ids, np.array([x for ids in got for x in ids], np.uint32)])
+        self.ids = np.concatenate([self.ids, np.array([x for ids in got for x in ids], self.width)])
 
     def encode(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(all ids with an end id after each text, the number of ids of each text)."""
@@ -104,7 +104,7 @@ class PieceEncoder:
         size = self.size[at][place]
         ids = ragged(self.ids, self.begin[at][place], size)
         sums = np.concatenate([[0], np.cumsum(size)])[first]
-        return np.insert(ids, sums[1:], np.uint32(END_ID)), np.diff(sums) + 1
+        return np.insert(ids, sums[1:], self.width(END_ID)), np.diff(sums) + 1
 
 
 def _open(folder: str):
@@ -116,12 +116,13 @@ def _open(folder: str):
 
 def _batch(ids: np.ndarray) -> pa.RecordBatch:
     n = -(-len(ids) // SEQUENCE)
-    tokens, mask = np.zeros(n * SEQUENCE, np.uint32), np.zeros(n * SEQUENCE, np.uint8)
+    tokens, mask = np.zeros(n * SEQUENCE, ids.dtype), np.zeros(n * SEQUENCE, bool)
     tokens[:len(ids)] = ids
-    mask[:len(ids)] = 1
+    mask[:len(ids)] = True
+    kind = pa.list_(pa.field("item", pa.from_numpy_dtype(ids.dtype), False), SEQUENCE)
     return pa.RecordBatch.from_arrays(
-        [pa.FixedSizeListArray.from_arrays(pa.array(tokens), type=TOKENS), pa.FixedSizeListArray.from_arrays(pa.array(mask), type=MASK)],
-        schema=pa.schema([pa.field("tokens", TOKENS, False), pa.field("mask", MASK, False)]))
+        [pa.FixedSizeListArray.from_arrays(pa.array(tokens), type=kind), pa.FixedSizeListArray.from_arrays(pa.array(mask), type=MASK)],
+        schema=pa.schema([pa.field("tokens", kind, False), pa.field("mask", MASK, False)]))
 
 
 def _write(path: str, kinds: bytes, folder: str):
@@ -129,11 +130,12 @@ def _write(path: str, kinds: bytes, folder: str):
         part = TaskContext.get().partitionId()
         fs, top = _open(folder)
         draft, encoder, sink, writer = f"{top}/.part-{part:05d}-{uuid.uuid4().hex}", None, None, None
-        left, done = np.empty(0, np.uint32), 0
+        left, done = np.empty(0, np.uint16), 0
         for batch in batches:
             for lo, hi, data, off in text_chunks(batch.column(1)):
                 if writer is None:
                     encoder = PieceEncoder(path, kinds)
+                    left = left.astype(encoder.width)
                     fs.create_dir(top, recursive=True)
                     sink = fs.open_output_stream(draft)
                     writer = pa.ipc.new_file(sink, _batch(left).schema)
@@ -186,10 +188,10 @@ class TokenFile:
             self.held = (k, self.reader.get_batch(k))
         return self.held[1]
 
-    def sequence(self, k: int) -> tuple[np.ndarray, np.ndarray]:
+    def sequence(self, k: int) -> tuple[pa.Array, pa.Array]:
         """The ids and the mask of sequence k."""
         batch, row = self.batch(k // BATCH), k % BATCH
-        return tuple(batch.column(c).slice(row, 1).flatten().to_numpy() for c in (0, 1))
+        return tuple(batch.column(c).slice(row, 1).flatten() for c in (0, 1))
 
     def ids(self, first: int, n: int) -> np.ndarray:
         """n ids from the first on."""
@@ -209,7 +211,7 @@ def _read(folder: str):
             for k in range(len(part)):
                 if part[k] != now:
                     now, file = part[k], TokenFile(folder, int(part[k]))
-                sums.append(zlib.crc32(file.ids(int(first[k]), int(size[k])).astype("<u4", copy=False)))
+                sums.append(zlib.crc32(file.ids(int(first[k]), int(size[k])).astype("<u4")))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sums, pa.int64())], [*batch.schema.names, "ids_crc32"])
     return run
 
