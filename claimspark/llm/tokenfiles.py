@@ -15,7 +15,7 @@ and then renamed, so that a task that runs again leaves one whole file.
 
 Ids come from the tokenizers library.  A byte-level vocabulary treats each
 pre-token on its own, so the library encodes each distinct pre-token once per
-task and the ids are gathered for every place where it stands; the tests hold
+task process (up to a bound) and the ids are gathered for every place where it stands; the tests hold
 this against the library's ids of whole texts.
 
 Null texts count as empty and have the end id alone; special-token strings are
@@ -43,7 +43,7 @@ from claimspark.llm.scan import byte_values, span_hashes, text_chunks
 SEQUENCE = 2048
 BATCH = 128          # sequences in a record batch
 END_ID = 0
-MEMO = 400_000       # pre-tokens that a task keeps at most
+MEMO = 1_500_000     # pre-tokens that a task process keeps at most
 
 MASK = pa.list_(pa.field("item", pa.bool_(), False), SEQUENCE)
 
@@ -107,6 +107,16 @@ class PieceEncoder:
         return np.insert(ids, sums[1:], self.width(END_ID)), np.diff(sums) + 1
 
 
+_ENCODERS: dict[str, PieceEncoder] = {}
+
+
+def _encoder(path: str, kinds: bytes) -> PieceEncoder:
+    """One for the task process: the next task goes on with what this one has met."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = PieceEncoder(path, kinds)
+    return _ENCODERS[path]
+
+
 def _open(folder: str):
     """(file system, path) of a folder named as Spark names it."""
     if folder.startswith("file:") or "://" not in folder:
@@ -134,7 +144,7 @@ def _write(path: str, kinds: bytes, folder: str):
         for batch in batches:
             for lo, hi, data, off in text_chunks(batch.column(1)):
                 if writer is None:
-                    encoder = PieceEncoder(path, kinds)
+                    encoder = _encoder(path, kinds)
                     left = left.astype(encoder.width)
                     fs.create_dir(top, recursive=True)
                     sink = fs.open_output_stream(draft)
