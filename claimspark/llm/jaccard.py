@@ -318,6 +318,8 @@ def similar_groups(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCE
             joined = joined.withColumn("group", F.coalesce("root", "key")).drop("root")
             posts = save(joined.withColumn("open", F.min("group").over(by_shingle) != F.max("group").over(by_shingle))
                          .filter("open").drop("open"), "open-posts")
+            if posts.isEmpty():  # no two groups share a front shingle any more
+                break
 
     rows = described.select("doc_id", "text_hash", "n", "key")
     rows = rows.join(groups.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
