@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from claimspark.llm.common import Bloom, doc_columns
 from claimspark.llm.scan import (
-    CHUNK_BYTES, SPACED_WORDS, byte_values, join_words, owner, signed, span_hashes, spans, text_chunks, window_hashes,
+    CHUNK_BYTES, SPACED_WORDS, byte_values, join_words, mix, owner, signed, span_hashes, spans, text_chunks, window_hashes,
     window_starts,
 )
 from claimspark.plans.session import save
@@ -96,10 +96,12 @@ def _extend(window: int, bloom: Bloom, limit: int):
                 settled = np.arange(len(told)) >= len(alone)
                 d = owner(first, w[told])
                 ids = pa.array(d + lo)
+                # a settled window that tells nobody needs no partner: a hash of its own spreads such rows
+                own = mix(h[told] + np.arange(1, len(told) + 1, dtype=np.uint64))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(h[told].view(np.int64), mask=~tells), doc_id.take(ids), key.take(ids),
-                     pa.array((w[told] - first[d]).astype(np.int32)), pa.array(settled)],
-                    ["win", "doc_id", "key", "pos", "settled"])
+                    [signed(np.where(tells, h[told], own)), doc_id.take(ids), key.take(ids),
+                     pa.array((w[told] - first[d]).astype(np.int32)), pa.array(tells), pa.array(settled)],
+                    ["win", "doc_id", "key", "pos", "tells", "settled"])
     return run
 
 
@@ -136,11 +138,9 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, chunk_bytes: int = C
                .groupBy("anchor").agg(F.sum("n").alias("n")).filter("n > 1").select("anchor"))
     bloom = Bloom.of(save(anchors, "anchors"), "anchor")
     windows = docs.select("doc_id", "key", "text").mapInArrow(
-        _extend(window, bloom, chunk_bytes), "win long, doc_id long, key long, pos int, settled boolean")
-    # a window that is settled and tells nobody needs no partner: spread those rows
-    group = F.coalesce("win", F.xxhash64("doc_id", "key", "pos"))
-    others = F.count("win").over(Window.partitionBy("group"))
-    repeated = windows.withColumn("group", group).withColumn("others", others).filter("settled or others > 1")
+        _extend(window, bloom, chunk_bytes), "win long, doc_id long, key long, pos int, tells boolean, settled boolean")
+    told = F.count(F.when(F.col("tells"), 1)).over(Window.partitionBy("win"))
+    repeated = windows.withColumn("told", told).filter("settled or told > 1")
     places = repeated.groupBy("doc_id", "key").agg(F.collect_set("pos").alias("at"))
     right = places.select(F.col("doc_id").alias("d"), F.col("key").alias("k"), "at")
     met = docs.join(right, docs.doc_id.eqNullSafe(right.d) & (docs.key == right.k), "left")
