@@ -2,7 +2,8 @@
 
 ``parse`` builds the element tree, with void elements, raw-text elements and
 implied end tags (a paragraph ends where a block starts, a list item where the
-next one starts, cells and rows likewise).  ``render`` walks the tree and emits
+next one starts, cells and rows likewise, the head where anything comes that may
+not stand in it).  ``render`` walks the tree and emits
 what a reader would see: blocks on lines of their own, an empty line around
 paragraphs, headings, lists and tables, list marks with their indentation,
 preformatted text as it is, and the cells of a table in aligned columns.
@@ -45,6 +46,7 @@ IMPLIED = {
     **{k: ({"thead", "tbody", "tfoot", "tr", "td", "th", "caption", "colgroup"}, {"table"}) for k in ("thead", "tbody", "tfoot")},
 }
 STOPS_P = frozenset("table td th caption button object".split())
+IN_HEAD = frozenset("base basefont bgsound link meta title noscript noframes style script template html head".split())
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>?|<\?[^>]*>?|</([a-zA-Z][^\s/>]*)[^>]*>?|"
                     r"""<([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""", re.S)
@@ -74,13 +76,24 @@ def parse(page: str) -> Node:
             if stack[k].tag in stops:
                 return None
 
+    def leave_head() -> None:
+        for k in range(1, len(stack)):
+            if stack[k].tag == "head":
+                del stack[k:]
+                return
+
+    def add_text(text: str) -> None:
+        if stack[-1].tag == "head" and _BLANKS.sub("", text):
+            leave_head()
+        stack[-1].children.append(html.unescape(text))
+
     while at < n:
         m = _TOKEN.search(page, at)
         if m is None:
-            stack[-1].children.append(html.unescape(page[at:]))
+            add_text(page[at:])
             break
         if m.start() > at:
-            stack[-1].children.append(html.unescape(page[at:m.start()]))
+            add_text(page[at:m.start()])
         at = m.end()
         end, start = m.group(1), m.group(2)
         if end:
@@ -95,6 +108,8 @@ def parse(page: str) -> Node:
         if not start:
             continue
         tag = start.lower()
+        if (stack[-1].tag == "head" and tag not in IN_HEAD) or (tag == "body" and all(x.tag != "template" for x in stack)):
+            leave_head()
         if tag in ENDS_P:
             close({"p"}, STOPS_P)
         if tag in IMPLIED:

@@ -277,6 +277,9 @@ PAGES = [
     ("<pre>  a\n   b</pre><title>t</title>", "  a\n   b"),
     ("a   b\n c<!-- x --> d", "a b c d"),
     ("<p>unclosed <i>text", "unclosed text"), ("", ""), (None, ""), ("<", "<"), ("a < b", "a < b"), ("<div>" * 3000 + "deep", "deep"),
+    ("<html><head><title>T</title><body><p>text", "text"), ("<html><head><meta charset=x><title>T</title><p>one<p>two", "one\n\ntwo"),
+    ("<head><title>T</title></head><p>text", "text"), ("<title>T</title><head><style>a</style>\n loose <b>text</b>", "loose text"),
+    ("<head><head><noscript><link><body>text", "text"), ("<head><template><p>no</p></template><script>x</script><img alt=pic></html>z", "picz"),
     ("<select><option>x<option>y</select>", "x\ny"), ("<img alt='pic'>z", "picz"), ("<h1>T</h1><p>p</p>", "T\n\np"),
 ]
 
