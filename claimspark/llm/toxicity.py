@@ -6,19 +6,27 @@ dropped letters lower the likeness a little and do not end it.  Punctuation
 inside a word is skipped and single letters that stand apart are put together,
 so spelled-out insults stay words.
 
-Training (``fit``): sentences of labelled documents carry the document's label.
-A toxic document has one sentence at least that makes it so; it stands for the
-document by its most toxic word, first the word that is most typical of toxic
-documents, then in each round the word that the last model scores highest.
-Words of clean documents are the other class, the highest-scoring ones added in
-each round.  The kernel values against the landmark words are whitened by the
-landmarks' own kernel matrix, and a linear squared-hinge SVM is fitted there.
+A second kernel compares two runs of up to ``RUN`` neighbouring words of one
+sentence by the subsequences of two words that they share, weighted alike for
+skipped words: a phrase made of ordinary words can be toxic too.  A sentence
+ends at a full stop, exclamation or question mark before white space.
+
+Training (``fit``): a toxic document has one word or run at least that makes it
+so.  It stands for the document: first what is most typical of toxic documents,
+then in each round what the last model scores highest.  Words and runs of clean
+documents are the other class, the highest-scoring ones added in each round.
+The kernel values against the landmarks are whitened by the landmarks' own
+kernel matrix, and a linear squared-hinge SVM is fitted there, one for words and
+one for runs.  Runs are told apart by the ``MAX_PAIRS`` pairs of words that are
+most typical of toxic documents.
 
 Scoring: since a kernel value against a landmark is a sum over subsequences, the
-machine folds into one weight for each subsequence, so a word costs a few
-table look-ups.  A sentence scores as its highest word and a text as its
-highest sentence; a logistic curve fitted on the training documents turns that
-into 0 to 1.
+machines fold into one weight for each subsequence, so a word costs a few
+table look-ups.  A text scores as its highest word or, if that is more, its
+highest run with a known pair.  Logistic curves turn both into 0 to 1; that of
+words is fitted on the training documents, that of runs on the third of them
+that the machine of runs has not seen, and lowered by ``SURE``, since either
+machine alone can make a text toxic.
 
 Labels are read only for documents whose crc32(doc_id as text) is not divisible
 by five; at most ``MAX_FIT_DOCS`` of each class, and of at most
@@ -47,6 +55,9 @@ MAX_FIT_DOCS, MAX_FIT_BYTES = 4000, 1 << 16
 DECAY = 0.5
 LANDMARKS, ROUNDS, NEGATIVES = 256, 4, 6000
 PIECE, STRIDE = 24, 12  # longer words are read in overlapping pieces
+RUN, GAPS = 8, 3        # words of a run; a pair's words are at most GAPS places apart
+SURE = np.log(9)        # a run makes a text toxic from 0.9 on its own curve on
+MAX_PAIRS, MIN_DOCS = 2000, 3  # a known pair is in MIN_DOCS toxic documents at least
 
 _PAIRS = [(a, b) for a in range(1, 5) for b in range(a + 1, 5)]
 _EDGE, _WHITE = 63, 255
@@ -64,9 +75,15 @@ def _symbols() -> np.ndarray:
 
 
 def _words(data: np.ndarray, off: np.ndarray):
-    """(symbols, starts, ends, first): the words of each text, pieces of long words one by one."""
+    """(symbols, starts, ends, first, sentences): the words of each text, pieces of long words one by one.
+
+    Words of one sentence have the same number, which grows from sentence to sentence.
+    """
     s = _symbols()[data]
     keep = s != 0
+    stop = (data == 0x2E) | (data == 0x21) | (data == 0x3F)
+    stop[:-1] &= s[1:] == _WHITE
+    sentence = np.cumsum(stop, dtype=np.int32)[keep]
     off = np.concatenate([[0], np.cumsum(keep)])[off]
     s = s[keep]
 
@@ -89,7 +106,7 @@ def _words(data: np.ndarray, off: np.ndarray):
         gap[starts[near + 1]] -= 1
         keep = np.cumsum(gap[:-1]) == 0
         off = np.concatenate([[0], np.cumsum(keep)])[off]
-        s = s[keep]
+        s, sentence = s[keep], sentence[keep]
         starts, ends = runs()
     long = np.flatnonzero(ends - starts > PIECE)
     if len(long):
@@ -101,7 +118,8 @@ def _words(data: np.ndarray, off: np.ndarray):
         starts, ends = np.concatenate([starts, extra]), np.concatenate([ends, stop])
         order = np.argsort(starts, kind="stable")
         starts, ends = starts[order], ends[order]
-    return s, starts, ends, np.searchsorted(starts, off)
+    # a text ends a sentence
+    return s, starts, ends, np.searchsorted(starts, off), sentence[starts] + np.searchsorted(off, starts, "right")
 
 
 def _hashes(s: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -127,12 +145,64 @@ def _subsequences(words: list[bytes]):
     return number, code, weight, np.maximum(norm, 1.0)
 
 
+def _pairs(h: np.ndarray, sentence: np.ndarray, gap: int) -> tuple[np.ndarray, np.ndarray]:
+    """(places, codes) of the pairs of words ``gap`` places apart in one sentence."""
+    at = np.flatnonzero(sentence[gap:] == sentence[:-gap])
+    return at, mix(h[at] * np.uint64(0x9E3779B97F4A7C15) + h[at + gap])
+
+
+@dataclass
+class Runs:
+    """The machine of runs: a weight for each known pair of words."""
+
+    codes: np.ndarray    # ascending
+    weights: np.ndarray
+    offset: float = 0.0
+    slope: float = 1.0   # of the logistic curve
+    shift: float = 0.0
+
+    def __post_init__(self):
+        self.maybe = np.zeros(1 << 20, bool)
+        self.maybe[self.codes >> np.uint64(44)] = True
+
+    def known(self, h: np.ndarray, sentence: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        """(places, pair numbers) of the known pairs, for each gap."""
+        out = []
+        for gap in range(1, GAPS + 1):
+            at, code = _pairs(h, sentence, gap)
+            some = np.flatnonzero(self.maybe[code >> np.uint64(44)])
+            at, code = at[some], code[some]
+            place = np.minimum(np.searchsorted(self.codes, code), max(len(self.codes) - 1, 0))
+            same = self.codes[place] == code
+            out.append((at[same], place[same]))
+        return out
+
+    def values(self, known: list, sentence: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(first words, values) of the runs that begin with a known pair."""
+        starts = np.unique(np.concatenate([at for at, _ in known]))
+        stop = np.minimum(starts + RUN, np.searchsorted(sentence, sentence[starts], "right"))
+        total = np.full(len(starts), self.offset)
+        for gap, (at, place) in enumerate(known, 1):
+            sums = np.concatenate([[0.0], np.cumsum(self.weights[place] * DECAY ** (gap - 1))])
+            total += sums[np.searchsorted(at, np.maximum(stop - gap, starts))] - sums[np.searchsorted(at, starts)]
+        return starts, total
+
+    def highest(self, h: np.ndarray, sentence: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """The highest run of each text; -inf without a known pair."""
+        out = np.full(len(first) - 1, -np.inf)
+        if len(h) > 1:
+            starts, value = self.values(self.known(h, sentence), sentence)
+            np.maximum.at(out, np.searchsorted(first, starts, "right") - 1, value)
+        return out
+
+
 @dataclass
 class Model:
     weights: np.ndarray  # of each of 2**18 subsequences
     offset: float
     slope: float         # of the logistic curve
     shift: float
+    runs: Runs | None = None
 
     def words(self, words: list[bytes]) -> np.ndarray:
         """The machine's value for each word."""
@@ -142,19 +212,21 @@ class Model:
         return np.bincount(number, self.weights[code] * weight, minlength=len(words)) / norm + self.offset
 
     def texts(self, data: np.ndarray, off: np.ndarray) -> np.ndarray:
-        """The highest value among each text's words; that of an empty word without any."""
-        s, starts, ends, first = _words(data, off)
+        """The higher of each text's highest word (an empty word without any) and highest run, both on their curves."""
+        s, starts, ends, first, sentence = _words(data, off)
         out = np.full(len(off) - 1, self.offset)
+        h = _hashes(s, starts, ends)
         if len(starts):
-            _, one, place = np.unique(_hashes(s, starts, ends), return_index=True, return_inverse=True)
+            _, one, place = np.unique(h, return_index=True, return_inverse=True)
             raw = s.tobytes()
             value = self.words([raw[a:b] for a, b in zip(starts[one].tolist(), ends[one].tolist())])[place]
             has = np.flatnonzero(np.diff(first))
             out[has] = np.maximum.reduceat(value, first[has])
-        return out
+        out = self.slope * out + self.shift
+        return out if self.runs is None else np.maximum(out, self.runs.slope * self.runs.highest(h, sentence, first) + self.runs.shift)
 
     def score(self, value: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.slope * value + self.shift, -30, 30)))
+        return 1 / (1 + np.exp(-np.clip(value, -30, 30)))
 
 
 def _svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, cost: float = 10.0) -> np.ndarray:
@@ -185,6 +257,72 @@ def _logistic(value: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(w[0]), float(w[1])
 
 
+def _fit_runs(h: np.ndarray, sentence: np.ndarray, first: np.ndarray, toxic: np.ndarray) -> Runs | None:
+    """The machine of runs; none where runs do not tell unseen toxic documents."""
+    n = len(toxic)
+    part = np.array([int(mix(h[first[d]:first[d + 1]].sum(dtype=np.uint64, keepdims=True))[0] % 3) for d in range(n)])
+
+    def codes(d: int) -> np.ndarray:
+        own, its = h[first[d]:first[d + 1]], sentence[first[d]:first[d + 1]]
+        return np.unique(np.concatenate([_pairs(own, its, g)[1] for g in range(1, GAPS + 1)])) if len(own) > GAPS else np.empty(0, np.uint64)
+    learn = [np.flatnonzero((part > 0) & (toxic == k)) for k in (0, 1)]
+    if not len(learn[0]) or not len(learn[1]):
+        return None
+    code, in_toxic = np.unique(np.concatenate([codes(d) for d in learn[1]]), return_counts=True)
+    code, in_toxic = code[in_toxic >= MIN_DOCS], in_toxic[in_toxic >= MIN_DOCS]
+    if not len(code):
+        return None
+    in_clean = np.zeros(len(code), np.int64)
+    for d in learn[0]:
+        own = codes(d)
+        at = np.minimum(np.searchsorted(code, own), len(code) - 1)
+        in_clean[at[code[at] == own]] += 1
+    value = np.log((in_toxic + 0.1) / (len(learn[1]) + 1)) - np.log((in_clean + 0.1) / (len(learn[0]) + 1))
+    best = np.flatnonzero(value > np.log(3))
+    best = np.sort(best[np.argsort(-(value * in_toxic)[best], kind="stable")[:MAX_PAIRS]])
+    if not len(best):
+        return None
+    out = Runs(code[best], value[best])
+    known = out.known(h, sentence)
+    doc_of = lambda places: np.searchsorted(first, places, "right") - 1
+    rng = np.random.default_rng(7)
+    seen, y = np.empty((0, len(best)), np.float32), np.empty(0)
+    for _ in range(ROUNDS):
+        starts, total = out.values(known, sentence)
+        doc = doc_of(starts)
+        order = np.lexsort((-total, doc))
+        one = order[np.append(True, doc[order][1:] != doc[order][:-1])]  # the highest run of each document
+        one = one[part[doc[one]] > 0]
+        stop = np.minimum(starts[one] + RUN, np.searchsorted(sentence, sentence[starts[one]], "right"))
+        x = np.zeros((len(one), len(best)), np.float32)
+        for gap, (at, place) in enumerate(known, 1):
+            run = np.searchsorted(starts[one], at, "right") - 1
+            ok = (run >= 0) & (at + gap < stop[run])
+            np.add.at(x, (run[ok], place[ok]), DECAY ** (gap - 1))
+        label = np.where(toxic[doc[one]] == 1, 1.0, -1.0)
+        seen, y = np.vstack([seen[y < 0], x]), np.concatenate([y[y < 0], label])
+        seen, index = np.unique(np.column_stack([seen, y]).astype(np.float32), axis=0, return_counts=True)
+        seen, y, count = seen[:, :-1], seen[:, -1].astype(float), index
+        if not (y > 0).any():
+            return None
+        if not (y < 0).any():
+            seen, y, count = np.vstack([seen, np.zeros((1, len(best)), np.float32)]), np.append(y, -1.0), np.append(count, 1)
+        marks = np.concatenate([rng.permutation(np.flatnonzero(y == k))[:LANDMARKS // 2] for k in (1, -1)])
+        spectrum, basis = np.linalg.eigh((seen[marks] @ seen[marks].T).astype(float))
+        good = spectrum > 1e-6 * spectrum.max()
+        whiten = basis[:, good] / np.sqrt(spectrum[good])
+        share = np.where(y > 0, count / count[y > 0].sum(), count / count[y < 0].sum()) * len(y) / 2
+        w = _svm((seen @ seen[marks].T) @ whiten, y, share)
+        out = Runs(code[best], seen[marks].T @ (whiten @ w[:-1]), float(w[-1]))
+    highest = out.highest(h, sentence, first)
+    test = np.flatnonzero((part == 0) & np.isfinite(highest))
+    if not len(test) or toxic[test].sum() < MIN_DOCS:
+        return None
+    out.slope, out.shift = _logistic(highest[test], toxic[test])
+    out.shift -= SURE
+    return out if out.slope > 0 else None
+
+
 def fit(texts: pa.Array, toxic: np.ndarray) -> Model:
     """The model of labelled texts (1: toxic)."""
     toxic = np.asarray(toxic, np.int64)
@@ -194,9 +332,15 @@ def fit(texts: pa.Array, toxic: np.ndarray) -> Model:
     names: dict[int, int] = {}
     words: list[bytes] = []
     pair_doc, pair_word = [], []
+    every, told, bounds = [], [], [np.zeros(1, np.int64)]
+    n_words = n_sentences = 0
     for lo, _, data, off in text_chunks(texts):
-        s, starts, ends, first = _words(data, off)
+        s, starts, ends, first, sentence = _words(data, off)
         raw, h = s.tobytes(), _hashes(s, starts, ends)
+        every.append(h)
+        told.append(sentence + n_sentences)
+        bounds.append(first[1:] + n_words)
+        n_words, n_sentences = n_words + len(h), int(told[-1][-1]) + 1 if len(h) else n_sentences
         for d in range(len(off) - 1):
             own, one = np.unique(h[first[d]:first[d + 1]], return_index=True)
             for k, at in zip(own.tolist(), (one + first[d]).tolist()):
@@ -205,6 +349,9 @@ def fit(texts: pa.Array, toxic: np.ndarray) -> Model:
                     words.append(raw[starts[at]:ends[at]])
                 pair_doc.append(lo + d)
                 pair_word.append(names[k])
+    if not words:
+        return fit(pa.array([""]), np.array([0]))
+    runs = _fit_runs(np.concatenate(every), np.concatenate(told), np.concatenate(bounds), toxic)
     doc, word = np.array(pair_doc), np.array(pair_word)
     label = toxic[doc]
     in_toxic = np.bincount(word[label == 1], minlength=len(words))
@@ -262,10 +409,13 @@ def fit(texts: pa.Array, toxic: np.ndarray) -> Model:
         hard = clean[np.argsort(-value[clean], kind="stable")[:NEGATIVES // 3]]
         negative = np.union1d(negative, hard)
     if model is None:
-        return fit(pa.array([""]), np.array([0]))
+        model = fit(pa.array([""]), np.array([0]))
+        model.runs = runs
+        return model
     highest = np.full(len(toxic), model.offset)
     highest[shown] = np.maximum.reduceat(value[word], begin)
     model.slope, model.shift = _logistic(highest, toxic)
+    model.runs = runs
     return model
 
 
@@ -275,8 +425,11 @@ def _fit_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     text, toxic = rows.column("text").combine_chunks(), rows.column("toxic").to_numpy()
     m = fit(text if isinstance(text, pa.Array) else pa.concat_arrays(text.chunks), toxic)
     yield pa.RecordBatch.from_arrays(
-        [pa.array([m.weights.astype(np.float32).tobytes()], pa.binary()), pa.array([[m.offset, m.slope, m.shift]])],
-        ["weights", "rest"])
+        [pa.array([m.weights.astype(np.float32).tobytes()], pa.binary()), pa.array([[m.offset, m.slope, m.shift]]),
+         pa.array([m.runs.codes.tobytes() if m.runs else None], pa.binary()),
+         pa.array([m.runs.weights.astype(float).tobytes() if m.runs else None], pa.binary()),
+         pa.array([[m.runs.offset, m.runs.slope, m.runs.shift] if m.runs else None], pa.list_(pa.float64()))],
+        ["weights", "rest", "codes", "pairs", "runs"])
 
 
 def held_out() -> Column:
@@ -295,14 +448,16 @@ def train(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_FIT_DOCS, max_
     parts = [able.filter(F.col("toxic") == k).orderBy(*order).limit(max_docs) for k in (0, 1)]
     sample = short.join(F.broadcast(parts[0].union(parts[1])), "doc_id")  # at most 2 * max_docs rows
     sample = sample.dropDuplicates(["doc_id"]).select("text", "toxic")
-    row = sample.repartition(1).mapInArrow(_fit_task, "weights binary, rest array<double>").first()
+    row = sample.repartition(1).mapInArrow(
+        _fit_task, "weights binary, rest array<double>, codes binary, pairs binary, runs array<double>").first()
     if row is None:
         return fit(pa.array([], pa.string()), np.array([]))
-    return Model(np.frombuffer(row.weights, np.float32), *row.rest)
+    runs = Runs(np.frombuffer(row.codes, np.uint64), np.frombuffer(row.pairs), *row.runs) if row.runs else None
+    return Model(np.frombuffer(row.weights, np.float32), *row.rest, runs)
 
 
 def _scored(docs: DataFrame, model: Model) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # 1 MB
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # 2 MB
 
     def run(batch: pa.RecordBatch) -> Iterator[tuple[int, list]]:
         for lo, hi, data, off in text_chunks(batch.column(1)):

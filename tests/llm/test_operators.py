@@ -360,6 +360,29 @@ def test_toxicity_learns_and_tolerates_insertions(spark):
     assert odd == {1: 1, 2: 1, 3: 1, 4: 1, 5: 0, 6: 0, 7: 0}
 
 
+def test_toxicity_learns_phrases_of_ordinary_words(spark):
+    import random
+
+    rng = random.Random(12)
+    phrase = "nobody wants you here"
+    ordinary = [a + b for a in ("ra", "no", "ti", "me", "lo", "sa", "ke") for b in ("vu", "pa", "di", "len", "mor")] + phrase.split()
+
+    def sentence(n):
+        return " ".join(rng.choice(ordinary) for _ in range(n))
+    rows = [(i, f"{sentence(20)} {phrase if i % 6 == 0 else sentence(4)} {sentence(9)}. {sentence(12)}.") for i in range(900)]
+    rows = [(i, t) for i, t in rows if i % 6 == 0 or phrase not in t]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1, int(i % 6 == 0)) for i, _ in rows], "doc_id long, quality int, toxic int")
+    model = toxicity.train(docs, labels)
+    held = [r for r in toxicity.toxicity(docs, model).collect() if r.held_out]
+    assert sum(r.predicted == int(r.doc_id % 6 == 0) for r in held) >= 0.97 * len(held)
+    odd = [(1, "Nobody wants YOU here!"), (2, "ravu nobody, really, wants you here tipa"), (3, "nobody. wants. you. here."), (4, "here you are"),
+           (5, "ravu tipa lodi"), (6, "")]
+    out = toxicity.toxicity(spark.createDataFrame(odd, "doc_id long, text string"), model)
+    assert {r.doc_id: r.predicted for r in out.collect()} == {1: 1, 2: 1, 3: 0, 4: 0, 5: 0, 6: 0}
+    assert {r.doc_id for r in toxicity.keep_clean(docs, model).collect() if r.doc_id % 6 == 0} == set()
+
+
 def test_toxicity_without_labels(spark, docs, empty):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     model = toxicity.train(docs, none)
