@@ -17,7 +17,7 @@ from claimspark.llm.decontaminate import decontaminate
 from claimspark.llm.jaccard import similar_groups
 from claimspark.llm.quality import quality
 from claimspark.llm.html import extract
-from claimspark.llm.sharding import shard
+from claimspark.llm.sharding import write_shards, written_shards
 from claimspark.llm.substring import dedup_substrings
 from claimspark.llm.tokenfiles import read_tokens, write_tokens
 from claimspark.plans.session import scratch_path
@@ -44,7 +44,7 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_extendible_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shard(table(spark, sf_dir, "documents"))
+    return written_shards(write_shards(table(spark, sf_dir, "documents"), scratch_path(spark, "shards")))
 
 
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

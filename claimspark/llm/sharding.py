@@ -10,18 +10,21 @@ The bits are those of a hash of doc_id, then of the text, then of a row number:
 repeated doc_ids, and after them repeated rows, are split too, whatever their
 number.  A document over the limit is a shard of its own.
 
+The rows are saved once with their hashes and row numbers, and written from
+there with all their columns, so that nothing links rows by doc_id.
+
 All steps are DataFrame operations.  A null text has 0 bytes; a null doc_id
-hashes as "null"; an empty table has no shards; other columns are ignored.
+hashes as "null"; an empty table has no shards; other columns do not matter.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from claimspark.plans.session import save
+from claimspark.plans.session import save, scratch_path
 
 LIMIT = 1 << 20  # bytes of text in a shard
 STEP = 16
@@ -60,28 +63,40 @@ def directory(sizes: DataFrame, limit: int) -> DataFrame:
     return save(reduce(DataFrame.unionByName, leaves), "directory")
 
 
-def shard(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
-    """doc_id, n_bytes, depth, shard (its prefix), shard_bytes, shard_docs: one row per document."""
-    sizes = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.octet_length(F.col("text").cast("string")), F.lit(0)).cast("long").alias("n_bytes"),
+def _placed(docs: DataFrame, carried: Column, limit: int) -> DataFrame:
+    """carried, n_bytes, prefix, bytes and n_docs: one row per document; what is carried is saved with its row number."""
+    rows = docs.select(
+        carried.alias("carried"), F.coalesce(F.octet_length(F.col("text").cast("string")), F.lit(0)).cast("long").alias("n_bytes"),
         _hash(F.col("doc_id")).alias("h0"), _hash(F.col("text")).alias("h1"), _hash(F.monotonically_increasing_id()).alias("h2"))
-    sizes = save(sizes, "sizes")
-    shards = directory(sizes, limit)
+    path = scratch_path(docs.sparkSession, "rows")
+    rows.write.option("compression", "zstd").parquet(path)
+    rows = docs.sparkSession.read.schema(rows.schema).parquet(path)
+    shards = directory(rows.drop("carried"), limit)
     depths = sorted(r.d for r in shards.select(F.length("prefix").alias("d")).distinct().collect())  # at most 181
     if not depths:
         depths = [0]
     prefixes = F.array(*[F.substring(_path(), 1, d) for d in depths])
-    placed = sizes.select("doc_id", "n_bytes", F.explode(prefixes).alias("prefix")).join(shards, "prefix")
-    return placed.select("doc_id", "n_bytes", F.length("prefix").alias("depth"), F.col("prefix").alias("shard"),
-                         F.col("bytes").alias("shard_bytes"), F.col("n_docs").alias("shard_docs"))
+    return rows.select("carried", "n_bytes", F.explode(prefixes).alias("prefix")).join(shards, "prefix")
 
 
-def write_shards(docs: DataFrame, folder: str, limit: int = LIMIT) -> DataFrame:
-    """Writes the documents below ``folder``, one folder for each shard; returns what is read back.
+def shard(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
+    """doc_id, n_bytes, depth, shard (its prefix), shard_bytes, shard_docs: one row per document."""
+    return _placed(docs, F.col("doc_id").cast("long"), limit).select(
+        F.col("carried").alias("doc_id"), "n_bytes", F.length("prefix").alias("depth"), F.col("prefix").alias("shard"),
+        F.col("bytes").alias("shard_bytes"), F.col("n_docs").alias("shard_docs"))
+
 
-    doc_id has to be unique here, since it links documents and their shards.
-    """
-    placed = shard(docs, limit).select("doc_id", F.concat(F.lit("s"), F.col("shard")).alias("shard"))
-    placed = docs.join(placed, "doc_id").repartition("shard")
-    placed.write.partitionBy("shard").parquet(folder)
+def write_shards(docs: DataFrame, folder: str, limit: int = LIMIT) -> DataFrame:
+    """Writes the rows, with all their columns, below ``folder``, one folder for each shard; returns what is read back."""
+    placed = _placed(docs, F.struct("*"), limit).select("carried.*", F.concat(F.lit("s"), F.col("prefix")).alias("shard"))
+    placed.repartition("shard").write.option("compression", "zstd").partitionBy("shard").parquet(folder)
     return docs.sparkSession.read.schema(placed.schema).parquet(folder)
+
+
+def written_shards(rows: DataFrame) -> DataFrame:
+    """The columns of ``shard``, from the rows that ``write_shards`` has written."""
+    own = Window.partitionBy("shard")
+    sizes = rows.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.octet_length(F.col("text").cast("string")), F.lit(0))
+                        .cast("long").alias("n_bytes"), F.expr("substring(shard, 2)").alias("shard"))
+    return sizes.select("doc_id", "n_bytes", F.length("shard").alias("depth"), "shard", F.sum("n_bytes").over(own).alias("shard_bytes"),
+                        F.count(F.lit(1)).over(own).alias("shard_docs"))

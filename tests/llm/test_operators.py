@@ -124,6 +124,16 @@ def test_shards_of_nothing_and_written_shards(spark, docs, empty):
     assert back.count() == unique.count() and back.select("shard").distinct().count() > 3
 
 
+def test_written_shards_hold_null_and_repeated_ids(spark, docs):
+    rows = docs.unionByName(docs.limit(5)).unionByName(docs.filter("doc_id is null"))
+    rows = spark.createDataFrame(rows.collect(), docs.schema)
+    back = sharding.write_shards(rows, scratch_path(spark, "shards"), 4000)
+    assert got(back, *docs.columns) == got(rows, *docs.columns)
+    out = sharding.written_shards(back)
+    assert got(out, *out.columns) == got(sharding.shard(rows, 4000), *out.columns)
+    assert all(r.shard_bytes <= 4000 or r.shard_docs == 1 for r in out.collect())
+
+
 def test_sharding_runs_no_python(docs):
     plan = sharding.shard(docs, 5000)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
