@@ -37,7 +37,6 @@ from claimspark.plans.session import save
 
 KINDS = ("assign", "access", "hex", "format")
 MAX_FIT = 500
-MIN_TOKEN = 16
 ALPHA = 0.05        # of the Hoeffding bound
 UNSEEN = math.log(1e-4)
 
@@ -46,9 +45,11 @@ _ASSIGN = re.compile(rb"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\
 _ACCESS = re.compile(rb"AKIA[A-Z0-9]+")
 _KEYWORDS = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
 MIN_ASSIGN, MIN_ACCESS, MIN_HEX = 12, 18, 16
+MIN_TOKEN = MIN_ASSIGN  # the shortest labelled value
 
 _HEX = byte_set([*range(0x30, 0x3A), *range(0x61, 0x67)])
 _TOKEN = byte_set([*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *b"+/_=-"])
+_DOTTED = _TOKEN | byte_set(b".")
 
 
 def _symbol_classes() -> np.ndarray:
@@ -90,10 +91,16 @@ def _base(data: np.ndarray, off: np.ndarray) -> list[tuple[int, int, int, int, i
 
 
 def _tokens(data: np.ndarray, off: np.ndarray, found: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(starts, ends, texts) of long tokens that touch no match."""
-    starts, ends, first = spans(data, off, _TOKEN)
+    """(starts, ends, texts) of long tokens that touch no match; dots are part of a token inside it alone."""
+    starts, ends, first = spans(data, off, _DOTTED)
     long = np.flatnonzero(ends - starts >= MIN_TOKEN)
     starts, ends, text = starts[long], ends[long], owner(first, long)
+    parts, stops, _ = spans(data, off, _TOKEN)
+    a, b = np.searchsorted(parts, starts), np.searchsorted(stops, ends, "right") - 1
+    some = np.flatnonzero(a <= b)  # not dots alone
+    starts, ends, text = parts[a[some]], stops[b[some]], text[some]
+    long = np.flatnonzero(ends - starts >= MIN_TOKEN)
+    starts, ends, text = starts[long], ends[long], text[long]
     touched = np.zeros(len(data) + 1, np.int32)
     for _, a, b, _, _ in found:
         touched[a] += 1

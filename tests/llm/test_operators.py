@@ -338,6 +338,27 @@ def test_learned_formats_find_unlabelled_credentials(spark):
     assert sum("format" in out[i] for i in range(len(keys), n)) <= 3
 
 
+def test_short_and_dotted_credentials_are_scored(spark):
+    import random
+
+    rng = random.Random(4)
+
+    def run_of(alphabet, n):
+        return "".join(rng.choice(alphabet) for _ in range(n))
+    short = lambda: run_of("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", rng.randint(12, 15))
+    dotted = lambda: ".".join(run_of("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", 6) for _ in range(3))
+    keys = [f'k{i} token = "{(short, dotted)[i % 2]()}" w' for i in range(300)]
+    plain = [" ".join(run_of("etaoinshrdlu", rng.randint(12, 18)) for _ in range(4)) + "." for _ in range(150)]
+    bare = [f"see {make()}. There" for make in (short, dotted) for _ in range(20)]
+    texts = [*keys, *plain, *bare]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = {r.doc_id: [(s["kind"], texts[r.doc_id][s["start"]:s["end"]]) for s in r.spans] for r in secrets.secrets(df, secrets.train(df)).collect()}
+    n = len(keys) + len(plain)
+    whole = [("format", texts[i].split()[1].rstrip(".")) in out[i] for i in range(n, len(texts))]
+    assert sum(whole[:20]) >= 15 and sum(whole[20:]) >= 15
+    assert sum(bool(out[i]) for i in range(len(keys), n)) <= 3
+
+
 def test_no_secrets_in_nothing(empty):
     scorer = secrets.train(empty)
     assert scorer.ordinary is None and secrets.secrets(empty, scorer).count() == 0
