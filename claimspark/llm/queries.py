@@ -12,11 +12,14 @@ from pyspark.sql import functions as F
 from claimspark.llm import secrets as secret_scan
 from claimspark.llm import toxicity as toxic
 from claimspark.llm.bpe import digests, vocabulary
+from claimspark.llm.centroids import cluster
+from claimspark.llm.chat import pack, read_back
 from claimspark.llm.common import table, tokenizer_file
 from claimspark.llm.decontaminate import decontaminate
 from claimspark.llm.jaccard import similar_groups
-from claimspark.llm.quality import quality
 from claimspark.llm.html import extract
+from claimspark.llm.quality import quality
+from claimspark.llm.resample import resample
 from claimspark.llm.sharding import write_shards, written_shards
 from claimspark.llm.substring import dedup_substrings
 from claimspark.llm.tokenfiles import read_tokens, write_tokens
@@ -77,6 +80,23 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
                       secret_scan.written(F.col("spans")).alias("spans"))
 
 
+def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cluster(table(spark, sf_dir, "embeddings")).drop("centroid")
+
+
+def op12_chat_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vocab = vocabulary(tokenizer_file("byte_bpe_50k.tiktoken"))
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    own = [(-7, turn, role, "</s>[INST] ok [/INST]") for turn, role in enumerate(("user", "assistant"))]
+    rows = rows.unionByName(spark.createDataFrame(own, "conv_id long, turn long, role string, text string"))
+    return read_back(pack(rows, vocab, scratch_path(spark, "chat")), vocab)
+
+
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return out.select("doc_id", "n_features", "weight", "score", "rank")
+
+
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op2_token_files": op2_token_files,
@@ -88,4 +108,7 @@ QUERIES = {
     "op8_html_text": op8_html_text,
     "op9_toxicity": op9_toxicity,
     "op10_secret_scan": op10_secret_scan,
+    "op11_centroid_clustering": op11_centroid_clustering,
+    "op12_chat_tree": op12_chat_tree,
+    "op13_importance_resampling": op13_importance_resampling,
 }
