@@ -33,13 +33,17 @@ def _col(c: Column | str) -> Column:
 def parse_date_lenient(c: Column | str) -> Column:
     """The date of a text in one of the three detected formats; else null.
 
-    The shape picks the format, so a bare year or a number is not a date.
+    The shape picks the format, so a bare year or a number is not a date.  A
+    full ``yyyy-MM-dd`` text is known by its length and two characters; only
+    other texts meet the patterns and the rebuilt month name.
     """
     text = F.trim(_col(c))
+    plain = (F.length(text) == 10) & (F.substring(text, 5, 1) == "-") & (F.substring(text, 8, 1) == "-")
     dash = F.instr(text, "-")
     name = F.concat(F.upper(F.substr(text, dash + 1, F.lit(1))), F.lower(F.substr(text, dash + 2, F.lit(2))))
     english = F.concat(F.substring_index(text, "-", 1), F.lit("-"), name, F.lit("-"), F.substring_index(text, "-", -1))
-    return (F.when(text.rlike(ISO_SHAPE), F.try_to_date(text))
+    return (F.when(plain, F.try_to_date(text))
+            .when(text.rlike(ISO_SHAPE), F.try_to_date(text))
             .when(text.rlike(SLASH_SHAPE), F.try_to_date(text, "M/d/yyyy"))
             .when(text.rlike(MONTH_NAME_SHAPE), F.try_to_date(english, "d-MMM-yyyy")))
 

@@ -21,7 +21,9 @@ is not re-run for every output table and a lost executor does not force it.
 A written table rather than ``checkpoint()``: a checkpoint keeps the hash
 partitioning of the distinct, so the planner would not shuffle the id side
 again, and adaptive skew handling only splits a hot patient's partition when
-both sides of the semi-join are shuffle stages.
+both sides of the semi-join are shuffle stages.  Ids too many to be broadcast
+are also turned into a Bloom filter (``joins.key_filter``) that drops other
+patients' rows right above each subject table's scan, before that shuffle.
 """
 
 from __future__ import annotations
@@ -35,7 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from claimspark.functions.dates import parse_date_lenient
-from claimspark.operators.joins import semi_join
+from claimspark.operators.joins import KeyFilter, key_filter, semi_join
 from claimspark.plans.session import scratch_path
 
 MEDICAL = "claims-medical-events"
@@ -130,13 +132,17 @@ def materialized_patients(events: DataFrame, cohort: Cohort, path: str | None =
     return spark.read.schema(ids.schema).parquet(target)
 
 
-def restrict(area: str, table: DataFrame, ids: DataFrame, cohort_events_df: DataFrame) -> DataFrame:
-    """One subject table cut down to the cohort with a left semi-join."""
+def restrict(area: str, table: DataFrame, ids: DataFrame, cohort_events_df: DataFrame | None,
+             keep: KeyFilter = lambda df: df) -> DataFrame:
+    """One subject table cut down to the cohort with a left semi-join.
+
+    ``keep`` may drop rows of other patients before (``joins.key_filter``).
+    """
     how = SUBJECT_AREAS.get(area)
     if how is None:
         raise ValueError(f"unknown output area {area!r}")
     if how == "patient":
-        return semi_join(table, ids, ["patient_id"])
+        return semi_join(keep(table), ids, ["patient_id"])
     event_col, table_col = how
     keys = cohort_events_df.select(F.col(event_col).alias(table_col)).distinct()
     return semi_join(table, keys, [table_col])
@@ -168,14 +174,15 @@ def cohort_tables(subjects: Mapping[str, DataFrame], cohort: Cohort,
     events = subjects[MEDICAL]
     if ids is None:
         ids = materialized_patients(events, cohort)
-    cohort_medical = semi_join(events, ids, ["patient_id"])
+    keep = key_filter(ids, "patient_id")
+    cohort_medical = restrict(MEDICAL, events, ids, None, keep)
     out: dict[str, DataFrame] = {}
     for area in cohort.outputs:
         if area not in SUBJECT_AREAS:
             raise ValueError(f"unknown output area {area!r}")
         if area not in subjects:
             raise KeyError(f"no table bound for output area {area!r}")
-        out[area] = restrict(area, subjects[area], ids, cohort_medical)
+        out[area] = restrict(area, subjects[area], ids, cohort_medical, keep)
     return out
 
 
@@ -199,3 +206,27 @@ def cohort_entity_counts(events: DataFrame, cohort: Cohort, ids: DataFrame | Non
     if ids is None:
         ids = materialized_patients(events, cohort)
     return entity_counts(semi_join(events, ids, ["patient_id"]), entities, approx)
+
+
+# log2 of the registers of a sketch, and its relative standard error (0.8 %).
+SKETCH_LOG2 = 14
+SKETCH_ERROR = 1.04 / 2 ** (SKETCH_LOG2 / 2)
+
+
+def entity_sketches(cohort_medical: DataFrame, by: Sequence[str], entities: Sequence[str]) -> DataFrame:
+    """A14, mergeable: one HyperLogLog sketch of each entity for each group of ``by``.
+
+    A sketch has a fixed size, so a written table of them answers later counts
+    of any union of its groups without the events.
+    """
+    unknown = [e for e in entities if e not in ENTITY_COLUMNS]
+    if unknown or not entities:
+        raise ValueError(f"entities must be a non-empty subset of {list(ENTITY_COLUMNS)}")
+    return cohort_medical.groupBy(*by).agg(
+        *[F.hll_sketch_agg(ENTITY_COLUMNS[e], F.lit(SKETCH_LOG2)).alias(e) for e in entities])
+
+
+def merged_entity_counts(sketches: DataFrame, entities: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
+    """(by..., entity, entity_count): the sketches of each group of ``by`` merged and estimated."""
+    merged = sketches.groupBy(*by).agg(*[F.hll_sketch_estimate(F.hll_union_agg(e)).alias(e) for e in entities])
+    return merged.unpivot(list(by), list(entities), "entity", "entity_count")

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from claimspark.functions.dates import age_years, month_start, parse_date_lenient
 from claimspark.functions.flags import is_robotic
+from claimspark.plans.session import save
 
 # The base model's 16-column contract (P2), in contract order.
 BASE_COLUMNS = [
@@ -99,3 +100,44 @@ def all_marts(stg: DataFrame) -> dict[str, DataFrame]:
         "mart_diagnosis_pathways": mart_diagnosis_pathways(stg),
         "mart_plans_breakdown": mart_plans_breakdown(stg),
     }
+
+
+def patient_weights(demographics: DataFrame, geography: DataFrame, keys: list[str]) -> DataFrame:
+    """(patient_id, keys..., weight): how often the patient joins repeat an event of a patient."""
+    people = demographics.groupBy("patient_id", *keys).agg(F.count(F.lit(1)).alias("people"))
+    places = geography.groupBy("patient_id").agg(F.count(F.lit(1)).alias("places"))
+    joined = people.join(places, "patient_id")
+    return joined.select("patient_id", *keys, (F.col("people") * F.col("places")).alias("weight"))
+
+
+def _weighted(events: DataFrame, weights: DataFrame, event_keys: list[str], keys: list[str]) -> DataFrame:
+    counted = events.groupBy("patient_id", *event_keys).agg(F.count(F.lit(1)).alias("events"))
+    met = counted.join(weights, "patient_id")
+    return met.groupBy(*keys).agg(F.sum(F.col("events") * F.col("weight")).alias("procedure_volume"))
+
+
+def eager_marts(tables) -> dict[str, DataFrame]:
+    """A1-A3 straight from a ``ClaimsTables`` bundle, aggregated below the patient join.
+
+    A mart only counts, and the patient join only repeats rows (demographics
+    bring the gender, geography nothing).  So events meet the plan and provider
+    dimensions, are counted by patient and event-side keys, and the counts meet
+    one weight per patient (and gender): the product stands for the rows that
+    the star join would have made.  The patient join exchanges one row per
+    patient and group in place of every event, a hot patient's events are
+    counted in their own tasks, and no repeated row exists.  Weights are written
+    once, so adaptive execution can still split the join.
+    """
+    plans = tables.plans.select("kh_plan_id", "payer_name", "parent_name")
+    providers = tables.providers.select(F.col("npi").alias("rendering_npi"), "provider_state")
+    columns = ["patient_id", "procedure_code", "service_date", "diagnosis_codes", "kh_plan_id", "rendering_npi"]
+    events = tables.medical_events.select(*columns).join(plans, "kh_plan_id").join(providers, "rendering_npi")
+    events = events.withColumnsRenamed(EXTRACT_TO_BASE)
+    by_gender = save(patient_weights(tables.demographics, tables.geography, ["patient_gender"]), "patient-weights")
+    weights = by_gender.groupBy("patient_id").agg(F.sum("weight").alias("weight"))
+    months = events.withColumn("procedure_month", month_start(parse_date_lenient("service_date")))
+    return {
+        "mart_procedure_trends": _weighted(months, by_gender, [k for k in TRENDS_KEYS if k != "patient_gender"], TRENDS_KEYS),
+        "mart_diagnosis_pathways": _weighted(events.filter(F.col("diagnosis_code").isNotNull()), weights, DIAGNOSIS_KEYS, DIAGNOSIS_KEYS),
+        "mart_plans_breakdown": _weighted(events, weights, PLANS_KEYS, PLANS_KEYS),
+    }

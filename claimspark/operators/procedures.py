@@ -155,7 +155,11 @@ def monthly_counts(df: DataFrame, dim: str) -> DataFrame:
         raise ValueError(f"group-by must be one of {GROUP_BY_OPTIONS}, not {dim!r}")
     return (df.groupBy("procedure_month", dim)
               .agg(F.count("medical_event_id").alias("procedure_count"))
-              .orderBy(F.asc_nulls_first("procedure_month"), F.asc_nulls_first(dim)))
+              .transform(_monthly_order, dim))
+
+
+def _monthly_order(df: DataFrame, dim: str) -> DataFrame:
+    return df.orderBy(F.asc_nulls_first("procedure_month"), F.asc_nulls_first(dim))
 
 
 def territory_summary(df: DataFrame) -> DataFrame:
@@ -170,6 +174,10 @@ def territory_summary(df: DataFrame) -> DataFrame:
         F.count("rendering_npi").alias("hcp_count"),
         F.countDistinct("rendering_npi").alias("hcp_distinct_count"),
     )
+    return _territory_ratio(agg)
+
+
+def _territory_ratio(agg: DataFrame) -> DataFrame:
     return (agg.withColumn(
                 "avg_procedure_per_hcp",
                 F.try_divide(F.col("procedure_volume").cast("double"), F.col("hcp_count")))
@@ -184,19 +192,76 @@ def _volume_by(df: DataFrame, keys: list[str]) -> DataFrame:
 
 def top_diagnoses(df: DataFrame, k: int = TOP_K) -> DataFrame:
     """A8 + F4 + O3: the ``k`` diagnoses with most events; ties broken by code."""
-    volumes = _volume_by(df, ["diagnosis_codes"]).filter(F.col("diagnosis_codes").isNotNull())
+    return _most_diagnoses(_volume_by(df, ["diagnosis_codes"]), k)
+
+
+def _most_diagnoses(volumes: DataFrame, k: int) -> DataFrame:
+    volumes = volumes.filter(F.col("diagnosis_codes").isNotNull())
     return top_k(volumes, k, [F.desc("procedure_volume"), F.asc("diagnosis_codes")])
 
 
 def top_payers(df: DataFrame, k: int = TOP_K) -> DataFrame:
     """A9 + O3: the ``k`` (payer, parent) pairs with most events; ties by name."""
-    volumes = _volume_by(df, ["payer_name", "parent_name"])
+    return _most_payers(_volume_by(df, ["payer_name", "parent_name"]), k)
+
+
+def _most_payers(volumes: DataFrame, k: int) -> DataFrame:
     return top_k(volumes, k, [F.desc("procedure_volume"),
                               F.asc_nulls_first("payer_name"), F.asc_nulls_first("parent_name")])
 
 
 def payer_mix_by_state(df: DataFrame) -> DataFrame:
     """A10 + O2: events by state and payer, largest first, no limit."""
-    return (_volume_by(df, ["provider_state", "payer_name"])
-            .orderBy(F.desc("procedure_volume"),
-                     F.asc_nulls_first("provider_state"), F.asc_nulls_first("payer_name")))
+    return _mix_order(_volume_by(df, ["provider_state", "payer_name"]))
+
+
+def _mix_order(volumes: DataFrame) -> DataFrame:
+    return volumes.orderBy(F.desc("procedure_volume"),
+                           F.asc_nulls_first("provider_state"), F.asc_nulls_first("payer_name"))
+
+
+def page_aggregates(df: DataFrame, dim: str) -> DataFrame:
+    """Every count that the page needs, by ``GROUPING SETS`` over one pass of the filtered events.
+
+    ``set_id`` is the grouping id of a row's set.  The (state, provider) set
+    stands for the territory summary: its distinct providers are its rows.
+    """
+    if dim not in GROUP_BY_OPTIONS:
+        raise ValueError(f"group-by must be one of {GROUP_BY_OPTIONS}, not {dim!r}")
+    return df.groupingSets([[F.col(c) for c in cols] for cols in _page_sets(dim).values()], *_page_columns(dim)).agg(
+        F.grouping_id().cast("long").alias("set_id"), F.count("medical_event_id").alias("procedure_volume"),
+        F.count("rendering_npi").alias("hcp_count"))
+
+
+def _page_sets(dim: str) -> dict[str, list[str]]:
+    return {
+        "monthly": ["procedure_month", dim],
+        "territory_summary": ["provider_state", "rendering_npi"],
+        "top_diagnoses": ["diagnosis_codes"],
+        "top_payers": ["payer_name", "parent_name"],
+        "payer_mix_by_state": ["provider_state", "payer_name"],
+    }
+
+
+def _page_columns(dim: str) -> list[str]:
+    return list(dict.fromkeys(c for cols in _page_sets(dim).values() for c in cols))
+
+
+def page_frames(aggregates: DataFrame, dim: str, k: int = TOP_K) -> dict[str, DataFrame]:
+    """The page's five frames from its aggregates: the same rows and orders as the single operators give."""
+    columns = _page_columns(dim)
+
+    def rows(name: str) -> DataFrame:
+        inside = _page_sets(dim)[name]
+        set_id = sum(1 << (len(columns) - 1 - i) for i, c in enumerate(columns) if c not in inside)
+        return aggregates.filter(F.col("set_id") == set_id).select(*inside, "procedure_volume", "hcp_count")
+    territory = rows("territory_summary").groupBy("provider_state").agg(
+        F.sum("procedure_volume").alias("procedure_volume"), F.sum("hcp_count").alias("hcp_count"),
+        F.count("rendering_npi").alias("hcp_distinct_count"))
+    return {
+        "monthly": _monthly_order(rows("monthly").select("procedure_month", dim, F.col("procedure_volume").alias("procedure_count")), dim),
+        "territory_summary": _territory_ratio(territory),
+        "top_diagnoses": _most_diagnoses(rows("top_diagnoses").drop("hcp_count"), k),
+        "top_payers": _most_payers(rows("top_payers").drop("hcp_count"), k),
+        "payer_mix_by_state": _mix_order(rows("payer_mix_by_state").drop("hcp_count")),
+    }

@@ -13,6 +13,7 @@ the engines differ (DuckDB gives BIGINT for ``year()``, TIMESTAMP for
 from __future__ import annotations
 
 from claimspark.functions.labels import CODE_LABELS
+from claimspark.sources.catalog import TEST_TABLES
 
 # The date of service_date in any of the three detected formats.
 DETECTED = "CAST(try_strptime(service_date, ['%Y-%m-%d', '%m/%d/%Y', '%d-%b-%Y']) AS DATE)"
@@ -139,6 +140,8 @@ EVENT_COLS = ("patient_id, medical_event_id, procedure_code, service_date, place
               "rendering_npi, diagnosis_codes, kh_plan_id")
 ME_ALL = EVENT_COLS + ", modifiers, is_rejected"
 
+FOOTER_TABLES = "\nUNION ALL ".join(f"SELECT '{t}' AS table_type, count(*) AS row_count FROM {t}" for t in TEST_TABLES)
+
 _BODIES: dict[str, str] = {
     "scan_table": "SELECT * FROM customer",
     "preview_limit": f"""
@@ -288,6 +291,31 @@ UNION ALL SELECT 'plan', count(DISTINCT kh_plan_id)
   FROM medical_events WHERE patient_id IN (SELECT patient_id FROM cohort_ids)""",
 }
 
+_BODIES |= {
+    "mart_procedure_trends_eager": _BODIES["mart_procedure_trends"],
+    "mart_diagnosis_pathways_eager": _BODIES["mart_diagnosis_pathways"],
+    "mart_plans_breakdown_eager": _BODIES["mart_plans_breakdown"],
+    "cohort_run_reload": _BODIES["cohort_output_tables"],
+    "cohort_prefiltered_events": """
+SELECT patient_id, pharmacy_event_id, fill_date FROM pharmacy_events
+WHERE patient_id IN (SELECT patient_id FROM cohort_ids)""",
+    "entity_sketch_counts": """
+SELECT 'patient' AS entity, count(DISTINCT patient_id) AS exact_count, true AS within_four_errors FROM medical_events
+UNION ALL SELECT 'provider', count(DISTINCT rendering_npi), true FROM medical_events
+UNION ALL SELECT 'plan', count(DISTINCT kh_plan_id), true FROM medical_events""",
+    "table_footer_counts": FOOTER_TABLES,
+    "staged_layout": """
+SELECT procedure_month, count(*) AS event_count FROM stg_procedure_events
+WHERE patient_id IN (SELECT patient_id FROM stg_procedure_events WHERE is_robotic) GROUP BY 1""",
+    "procedure_page": f"""
+SELECT 'monthly' AS frame, procedure_month AS key_1, provider_state AS key_2, procedure_count AS volume,
+  CAST(NULL AS BIGINT) AS hcp_distinct_count FROM ({_BODIES["monthly_by_state"]})
+UNION ALL SELECT 'territory_summary', provider_state, NULL, procedure_volume, hcp_distinct_count FROM ({_BODIES["territory_summary"]})
+UNION ALL SELECT 'top_diagnoses', diagnosis_codes, NULL, procedure_volume, NULL FROM ({_BODIES["top_diagnoses"]})
+UNION ALL SELECT 'top_payers', payer_name, parent_name, procedure_volume, NULL FROM ({_BODIES["top_payers"]})
+UNION ALL SELECT 'payer_mix_by_state', provider_state, payer_name, procedure_volume, NULL FROM ({_BODIES["payer_mix_by_state"]})""",
+}
+
 
 def oracle_sql() -> dict[str, str]:
     labels = "\n".join(f"    WHEN '{code}' THEN '{label}'" for code, label in CODE_LABELS.items())

@@ -27,3 +27,8 @@ def optimized_logical_plan(df: DataFrame) -> str:
     start = text.find("== Optimized Logical Plan ==")
     end = text.find("== Physical Plan ==")
     return text[start:end]
+
+
+def estimated_bytes(df: DataFrame) -> int:
+    """The planner's estimate of a frame's size, the one that its broadcast decision uses; runs no job."""
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())

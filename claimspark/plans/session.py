@@ -114,6 +114,15 @@ def delete_path(spark: SparkSession, path: str) -> None:
     hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
+def subfolders(spark: SparkSession, path: str) -> list[str]:
+    """Names of the folders right below ``path``; none if it is not there."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(hadoop):
+        return []
+    return [x.getPath().getName() for x in fs.listStatus(hadoop) if x.isDirectory()]
+
+
 @contextmanager
 def scratch_scope(spark: SparkSession) -> Iterator[None]:
     """Remove every scratch table made inside the block when it ends.
@@ -134,5 +143,11 @@ def release_scratch(spark: SparkSession, start: int = 0) -> None:
         delete_path(spark, _SCRATCH.pop())
 
 
+def byte_setting(spark: SparkSession, key: str) -> int:
+    """A size setting (``32MB``, ``10485760b``, ``-1``) in bytes."""
+    value = spark.conf.get(key)
+    return -1 if value.startswith("-") else spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(value)
+
+
 def unique_suffix() -> str:
     return f"{os.getpid()}_{uuid.uuid4().hex[:8]}"

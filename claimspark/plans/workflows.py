@@ -3,7 +3,7 @@
 These are the flows of the reference re-expressed as Spark jobs:
 
 * ``run_procedure_models``: star join -> base -> staging -> three marts;
-* ``run_procedure_report``: the app's filter panel -> its five result frames;
+* ``run_procedure_report``: the app's filter panel -> its five result frames, one pass;
 * ``run_cohort``: cohort ids -> one written table per subject area;
 * ``run_new_prescribers``: EXCEPT of two periods -> enrichment -> publish.
 
@@ -26,7 +26,7 @@ from claimspark.operators import models as M
 from claimspark.operators import procedures as P
 from claimspark.operators import providers as V
 from claimspark.operators.extract import procedure_adoption_from
-from claimspark.operators.joins import semi_join
+from claimspark.operators.joins import key_filter
 from claimspark.sources.catalog import DatasetCatalog, scan
 
 
@@ -57,7 +57,11 @@ def run_cohort(spark: SparkSession, subjects: Mapping[str, DataFrame], cohort: C
        from the event table again;
     4. the remaining outputs are written concurrently;
     5. with ``count_entities``, entity counts (A14) are taken from the written
-       medical events (no further pass over the event table).
+       medical events (no further pass over the event table);
+    6. the run's manifest is written last; ``sources.catalog.load_run`` reads
+       only runs that have one.
+    Many ids are also a Bloom filter above each subject table's scan, so rows of
+    other patients are not shuffled.
     Returns area -> the written table, read back (schema known, no inference),
     plus ``"entity-counts"`` when requested.
     """
@@ -66,15 +70,17 @@ def run_cohort(spark: SparkSession, subjects: Mapping[str, DataFrame], cohort: C
             raise ValueError(f"unknown output area {area!r}")
         if area not in subjects:
             raise KeyError(f"no table bound for output area {area!r}")
+    sinks.withdraw_run(spark, root, cohort_id)
     ids = C.materialized_patients(subjects[C.MEDICAL], cohort)
+    keep = key_filter(ids, "patient_id")
     names = {a: sinks.cohort_table_name(cohort_id, a) for a in cohort.outputs}
     paths = {a: f"{root.rstrip('/')}/{names[a]}" for a in cohort.outputs}
 
     med_path = paths.get(C.MEDICAL)
     if med_path is None:
-        cohort_medical = semi_join(subjects[C.MEDICAL], ids, ["patient_id"])
+        cohort_medical = C.restrict(C.MEDICAL, subjects[C.MEDICAL], ids, None, keep)
     else:
-        semi_join(subjects[C.MEDICAL], ids, ["patient_id"]) \
+        C.restrict(C.MEDICAL, subjects[C.MEDICAL], ids, None, keep) \
             .write.mode(RUN_MODE).format(fmt).save(med_path)
         cohort_medical = spark.read.schema(subjects[C.MEDICAL].schema).format(fmt).load(med_path)
 
@@ -82,8 +88,10 @@ def run_cohort(spark: SparkSession, subjects: Mapping[str, DataFrame], cohort: C
     for area in cohort.outputs:
         if area == C.MEDICAL:
             continue
-        rest[area] = C.restrict(area, subjects[area], ids, cohort_medical)
+        rest[area] = C.restrict(area, subjects[area], ids, cohort_medical, keep)
     write_all(rest, {a: paths[a] for a in rest}, fmt)
+    if fmt == "parquet":  # rows are counted from footers
+        sinks.commit_run(spark, root, cohort_id, paths)
     out = {a: (cohort_medical if a == C.MEDICAL else
                spark.read.schema(rest[a].schema).format(fmt).load(paths[a]))
            for a in cohort.outputs}
@@ -93,6 +101,18 @@ def run_cohort(spark: SparkSession, subjects: Mapping[str, DataFrame], cohort: C
     return out
 
 
+def run_released_cohort(spark: SparkSession, catalog: DatasetCatalog, cohort: C.Cohort,
+                        cohort_id: str, root: str, fmt: str = "parquet") -> dict[str, DataFrame]:
+    """K5 by names (F8's data version): the subject tables of the cohort's release from the catalog.
+
+    Every area is resolved before any is read, so an unknown area or release
+    raises and nothing is written.
+    """
+    areas = dict.fromkeys((C.MEDICAL, *cohort.outputs))
+    found = catalog.resolve_many(areas, cohort.version)
+    return run_cohort(spark, {a: m.read(spark) for a, m in found.items()}, cohort, cohort_id, root, fmt)
+
+
 def run_procedure_models(tables, as_of: date | None, root: str,
                          fmt: str = "parquet") -> dict[str, str]:
     """Star join -> base -> staging, written once; the marts read the written
@@ -114,23 +134,18 @@ def run_procedure_report(extract: DataFrame, root: str, code: str, month_lo: str
                          top_k: int = P.TOP_K, fmt: str = "parquet") -> dict[str, DataFrame]:
     """The app's page: filter once, then every chart's frame.
 
-    The filtered events are written once below ``root`` (the app keeps one
-    eager frame and re-reads it for every chart); the five aggregates read
-    that table, so the star join and the filters run once per page.
+    One pass over the filtered events counts all five frames by grouping sets
+    (the app re-reads one eager frame for every chart).  Only the counts are
+    written below ``root``; the frames read them, so the star join and the
+    filters run once per page and no event is stored.
     """
     filtered = P.select_procedures(P.filter_codes(P.prepare(extract, tag, as_of)), code,
                                    month_lo, month_hi, robotic_only)
-    path = f"{root.rstrip('/')}/filtered"
-    filtered.write.mode(RUN_MODE).format(fmt).save(path)
-    spark = extract.sparkSession
-    page = spark.read.schema(filtered.schema).format(fmt).load(path)
-    return {
-        "monthly": P.monthly_counts(page, group_by),
-        "territory_summary": P.territory_summary(page),
-        "top_diagnoses": P.top_diagnoses(page, top_k),
-        "top_payers": P.top_payers(page, top_k),
-        "payer_mix_by_state": P.payer_mix_by_state(page),
-    }
+    aggregates = P.page_aggregates(filtered, group_by)
+    path = f"{root.rstrip('/')}/page"
+    aggregates.write.mode(RUN_MODE).format(fmt).save(path)
+    written = extract.sparkSession.read.schema(aggregates.schema).format(fmt).load(path)
+    return P.page_frames(written, group_by, top_k)
 
 
 def run_unique_keys(spark: SparkSession, catalog: DatasetCatalog, table_1: str, table_2: str,

@@ -27,10 +27,13 @@ from claimspark.operators.extract import (
     EVENT_COLUMNS, join_demographics, join_geography, join_plans, join_providers,
     procedure_adoption_from,
 )
+from claimspark.operators.joins import key_filter
 from claimspark.operators.limits import preview
 from claimspark.plans.session import scratch_path, unique_suffix
 from claimspark.plans.workflows import run_cohort
-from claimspark.sources.catalog import load_outputs, row_counts, scan, sf_catalog
+from claimspark.sources.catalog import (
+    TEST_TABLES, footer_row_counts, load_outputs, load_run, row_counts, scan, sf_catalog,
+)
 from claimspark.sources.files import read_extract_csv
 from claimspark.sources.fixtures import ClaimsTables, claims_tables
 
@@ -44,6 +47,7 @@ EARLIER = (date(1997, 1, 1), date(1998, 1, 1))
 LATER = (date(1998, 1, 1), date(1999, 1, 1))
 COHORT_CODE = "22612"
 COHORT_RANGES = [("1998-01-01", "1998-01-31")]
+LAYOUT_BUCKETS = 4
 MEDICAL_EVENT_COLUMNS = EVENT_COLUMNS + ["modifiers", "is_rejected"]
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -123,6 +127,11 @@ def q_output_row_counts(spark, sf_dir):
     return row_counts(load_outputs(spark, names))
 
 
+def q_table_footer_counts(spark, sf_dir):
+    paths = {t: f"{sf_dir.rstrip('/')}/{t}.parquet" for t in TEST_TABLES}
+    return footer_row_counts(spark, paths).select("table_type", "row_count")
+
+
 # ------------------------------------------------------------------ sinks ---
 
 def q_csv_roundtrip(spark, sf_dir):
@@ -215,6 +224,30 @@ def q_mart_plans_breakdown(spark, sf_dir):
     return M.mart_plans_breakdown(_stg(spark, sf_dir))
 
 
+def q_mart_procedure_trends_eager(spark, sf_dir):
+    return M.eager_marts(_tables(spark, sf_dir))["mart_procedure_trends"]
+
+
+def q_mart_diagnosis_pathways_eager(spark, sf_dir):
+    return M.eager_marts(_tables(spark, sf_dir))["mart_diagnosis_pathways"]
+
+
+def q_mart_plans_breakdown_eager(spark, sf_dir):
+    return M.eager_marts(_tables(spark, sf_dir))["mart_plans_breakdown"]
+
+
+def q_staged_layout(spark, sf_dir):
+    # the staging table in months and patient buckets; its robotic visits' rows by a semi-join of two bucketed tables
+    suffix = unique_suffix()
+    stg = sinks.write_layout(_stg(spark, sf_dir), f"stg_layout_{suffix}", "patient_id", LAYOUT_BUCKETS,
+                             "procedure_month", scratch_path(spark, "layout"))
+    robotic = stg.filter("is_robotic").select("patient_id").distinct()
+    robotic = sinks.write_layout(robotic, f"robotic_patients_{suffix}", "patient_id", LAYOUT_BUCKETS,
+                                 path=scratch_path(spark, "layout"))
+    kept = stg.join(robotic, "patient_id", "left_semi")
+    return kept.groupBy("procedure_month").agg(F.count(F.lit(1)).alias("event_count"))
+
+
 def q_age_distribution_check(spark, sf_dir):
     return _stg(spark, sf_dir).groupBy("patient_age").agg(F.count(F.lit(1)).alias("event_count"))
 
@@ -286,6 +319,23 @@ def q_payer_mix_by_state(spark, sf_dir):
     return P.payer_mix_by_state(_filtered(spark, sf_dir))
 
 
+def q_procedure_page(spark, sf_dir):
+    # the page's five frames from one pass, as one table
+    frames = P.page_frames(P.page_aggregates(_filtered(spark, sf_dir), "provider_state"), "provider_state")
+    parts = []
+    for name, df in frames.items():
+        keys = {"territory_summary": ["provider_state"], "top_diagnoses": ["diagnosis_codes"]}.get(name, df.columns[:2])
+        second = F.col(keys[1]) if len(keys) > 1 else F.lit(None)
+        volume = "procedure_count" if name == "monthly" else "procedure_volume"
+        distinct = F.col("hcp_distinct_count") if name == "territory_summary" else F.lit(None)
+        parts.append(df.select(F.lit(name).alias("frame"), F.col(keys[0]).cast("string").alias("key_1"), second.cast("string").alias("key_2"),
+                               F.col(volume).alias("volume"), distinct.cast("long").alias("hcp_distinct_count")))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
 # -------------------------------------------------------------- providers ---
 
 def q_new_prescribers(spark, sf_dir):
@@ -356,6 +406,32 @@ def q_cohort_output_tables(spark, sf_dir):
     return out
 
 
+def q_cohort_run_reload(spark, sf_dir):
+    # the run as another job finds it: by its manifest, rows checked
+    root, cohort_id = scratch_path(spark, "cohort"), f"CHT_{unique_suffix().upper()}"
+    run_cohort(spark, _cohort_subjects(spark, sf_dir), _cohort(), cohort_id, root)
+    counts = row_counts(load_run(spark, root, cohort_id))
+    return counts.select(F.col("table_type").alias("output_type"), "row_count")
+
+
+def q_cohort_prefiltered_events(spark, sf_dir):
+    # the runtime filter, also where the ids would be broadcast
+    t = _tables(spark, sf_dir)
+    ids = C.materialized_patients(t.medical_events, _cohort())
+    keep = key_filter(ids, "patient_id", from_bytes=0)
+    return C.restrict(C.PHARMACY, t.pharmacy_events, ids, None, keep).select("patient_id", "pharmacy_event_id", "fill_date")
+
+
+def q_entity_sketch_counts(spark, sf_dir):
+    # one sketch per code, merged over all codes, held against the exact count
+    entities = ("patient", "provider", "plan")
+    events = _events(spark, sf_dir)
+    estimated = C.merged_entity_counts(C.entity_sketches(events, ["procedure_code"], entities), entities)
+    exact = C.entity_counts(events, entities).withColumnRenamed("entity_count", "exact_count")
+    near = F.abs(F.col("entity_count") - F.col("exact_count")) <= F.greatest(F.lit(1.0), F.col("exact_count") * 4 * C.SKETCH_ERROR)
+    return exact.join(estimated, "entity").select("entity", "exact_count", near.alias("within_four_errors"))
+
+
 def q_cohort_entity_counts(spark, sf_dir):
     events = _tables(spark, sf_dir).medical_events
     return C.cohort_entity_counts(events, _cohort())
@@ -406,4 +482,13 @@ QUERIES: dict[str, Query] = {
     "cohort_entity_counts": q_cohort_entity_counts,
     "age_distribution_check": q_age_distribution_check,
     "robotic_flag_nulls": q_robotic_flag_nulls,
+    "mart_procedure_trends_eager": q_mart_procedure_trends_eager,
+    "mart_diagnosis_pathways_eager": q_mart_diagnosis_pathways_eager,
+    "mart_plans_breakdown_eager": q_mart_plans_breakdown_eager,
+    "procedure_page": q_procedure_page,
+    "cohort_run_reload": q_cohort_run_reload,
+    "cohort_prefiltered_events": q_cohort_prefiltered_events,
+    "entity_sketch_counts": q_entity_sketch_counts,
+    "table_footer_counts": q_table_footer_counts,
+    "staged_layout": q_staged_layout,
 }
