@@ -204,6 +204,7 @@ def pack(conversations: DataFrame, vocab: Vocabulary, folder: str, block: int =
 
     # nodes that are a choice, and the tokens before each node
     several = nodes.filter("depth > 0").groupBy("q1", "q2").agg(F.count(F.lit(1)).alias("children")).filter("children > 1")
+    several = save(several, "several")  # so that adaptive execution can split the children of a hot parent
     known = nodes.select(*node, "q1", "q2", "n_tokens").join(several, ["q1", "q2"], "left")
     known = save(known.select(*node, "n_tokens", F.col("children").isNotNull().alias("choice")), "choices")
     paths = paths.join(known, node).withColumn("block", F.floor(F.col("depth") / block))
