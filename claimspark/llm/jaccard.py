@@ -49,6 +49,7 @@ from claimspark.llm.scan import (
 from claimspark.plans.session import save
 
 SHINGLE, PERCENT = 5, 75
+CHUNK_BYTES = 1 << 20     # of text that a task works on at a time
 LEVELS = (2, 16, 256)     # frequencies at which a class of the order begins
 MAX_FILTERED = 1 << 23    # shingles in a Bloom filter at most
 FRAGMENTS = 4             # of the unique shingles, by the top bits of the hash; every other class is one more
@@ -100,7 +101,7 @@ def _describe(shingle: int):
     """Each document's set: its size and its key."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, hi, data, off in text_chunks(batch.column(1)):
+            for lo, hi, data, off in text_chunks(batch.column(1), CHUNK_BYTES):
                 _, counts, keys = _sets(data, off, shingle)
                 doc_id, text_hash = batch.column(0).slice(lo, hi - lo), batch.column(2).slice(lo, hi - lo)
                 yield pa.RecordBatch.from_arrays(
@@ -113,7 +114,7 @@ def _class_sets(batches: Iterator[pa.RecordBatch], shingle: int, chosen: Bloom,
     """The sets of the documents that stand for their classes, each once per task."""
     seen: set = set()
     for batch in batches:
-        for lo, hi, data, off in text_chunks(batch.column(1)):
+        for lo, hi, data, off in text_chunks(batch.column(1), CHUNK_BYTES):
             n = hi - lo
             own = chosen.has(_row_hash(batch.column(0).slice(lo, n), batch.column(2).slice(lo, n)))
             shingles, counts, keys = _sets(data, off, shingle)
@@ -142,16 +143,24 @@ def _deal(shingle: int, chosen: Bloom, buckets: int):
     return run
 
 
+def _repeated(bucket: int, hashes: list[np.ndarray]) -> pa.RecordBatch:
+    h, n = np.unique(np.concatenate(hashes), return_counts=True)
+    h, n = h[n > 1].astype(np.uint64), n[n > 1]
+    return pa.RecordBatch.from_arrays([signed(mix(np.uint64(bucket) << np.uint64(32) | h)), pa.array(n)], ["short", "n"])
+
+
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The short hashes that occur twice or more in the buckets of a task, and how often."""
-    met: dict[int, list] = {}
+    """The short hashes that occur twice or more in a bucket, and how often; buckets come one after another."""
+    now, met = -1, []
     for batch in batches:
-        for bucket, hashes in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            met.setdefault(bucket, []).append(np.frombuffer(hashes, np.uint32))
-    for bucket in list(met):
-        h, n = np.unique(np.concatenate(met.pop(bucket)), return_counts=True)
-        h, n = h[n > 1].astype(np.uint64), n[n > 1]
-        yield pa.RecordBatch.from_arrays([signed(mix(np.uint64(bucket) << np.uint64(32) | h)), pa.array(n)], ["short", "n"])
+        for bucket, hashes in zip(batch.column(0).to_pylist(), batch.column(1)):
+            if bucket != now and met:
+                yield _repeated(now, met)
+                met = []
+            now = bucket
+            met.append(np.frombuffer(hashes.as_buffer(), np.uint32).copy())
+    if met:
+        yield _repeated(now, met)
 
 
 class Order:
@@ -293,6 +302,7 @@ def similar_groups(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCE
     chosen = Bloom.of(save(chosen, "chosen"), "row")
 
     dealt = docs.mapInArrow(_deal(shingle, chosen, buckets), "bucket int, hashes binary").repartition(buckets, "bucket")
+    dealt = dealt.sortWithinPartitions("bucket")  # a task holds one bucket at a time
     order = Order(save(dealt.mapInArrow(_count, "short long, n long"), "repeated"), buckets)
     fronts = docs.mapInArrow(_prefixes(shingle, percent, chosen, order), "shingle long, key long, n int, place int")
     by_shingle = Window.partitionBy("shingle")

@@ -18,6 +18,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 CHUNK_BYTES = 4 << 20
+POWERS_STEP = 1 << 20  # tables of powers grow by it
 
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
@@ -37,7 +38,7 @@ def _powers(name: str, base: np.uint64, n: int) -> np.ndarray:
     """The first ``n`` powers of ``base`` modulo 2**64, kept per worker."""
     have = _POWERS.get(name)
     if have is None or len(have) < n:
-        size = max(n, CHUNK_BYTES + 1)
+        size = -(-(n - 1) // POWERS_STEP) * POWERS_STEP + 1
         have = np.full(size, base, np.uint64)
         have[0] = 1
         np.multiply.accumulate(have, out=have)
