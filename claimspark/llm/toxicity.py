@@ -25,8 +25,11 @@ machines fold into one weight for each subsequence, so a word costs a few
 table look-ups.  A text scores as its highest word or, if that is more, its
 highest run with a known pair.  Logistic curves turn both into 0 to 1; that of
 words is fitted on the training documents, that of runs on the third of them
-that the machine of runs has not seen, and lowered by ``SURE``, since either
-machine alone can make a text toxic.
+that the machine of runs has not seen.  Either machine alone can make a text
+toxic, so runs have to do good among that third's documents that words do not
+catch, where a clean one rejected weighs as much as ``SURE`` toxic ones caught;
+else their curve is moved, or they are left out.  Texts are sorted and words numbered by their hashes
+before anything is learned, so the order of the rows does not matter.
 
 Labels are read only for documents whose crc32(doc_id as text) is not divisible
 by five; at most ``MAX_FIT_DOCS`` of each class, and of at most
@@ -42,9 +45,11 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -56,7 +61,8 @@ DECAY = 0.5
 LANDMARKS, ROUNDS, NEGATIVES = 256, 4, 6000
 PIECE, STRIDE = 24, 12  # longer words are read in overlapping pieces
 RUN, GAPS = 8, 3        # words of a run; a pair's words are at most GAPS places apart
-SURE = np.log(9)        # a run makes a text toxic from 0.9 on its own curve on
+SURE = 9                # toxic documents that runs have to catch for each clean one that they reject
+CHUNK_BYTES = 1 << 20   # of text that a task works on at a time
 MAX_PAIRS, MIN_DOCS = 2000, 3  # a known pair is in MIN_DOCS toxic documents at least
 
 _PAIRS = [(a, b) for a in range(1, 5) for b in range(a + 1, 5)]
@@ -257,8 +263,17 @@ def _logistic(value: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(w[0]), float(w[1])
 
 
-def _fit_runs(h: np.ndarray, sentence: np.ndarray, first: np.ndarray, toxic: np.ndarray) -> Runs | None:
-    """The machine of runs; none where runs do not tell unseen toxic documents."""
+def _distinct_rows(rows: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first places, counts) of the rows that differ in values or label, in the order they come in."""
+    keys = np.array([int.from_bytes(blake2b(row.tobytes() + (b"+" if label > 0 else b"-"), digest_size=8).digest(), "little")
+                     for row, label in zip(rows, y)], np.uint64)
+    _, one, count = np.unique(keys, return_index=True, return_counts=True)
+    order = np.argsort(one)
+    return one[order], count[order]
+
+
+def _fit_runs(h: np.ndarray, sentence: np.ndarray, first: np.ndarray, toxic: np.ndarray) -> tuple[Runs, np.ndarray, np.ndarray] | None:
+    """The machine of runs, every document's highest run, and which documents it has not seen; none where runs do not tell those."""
     n = len(toxic)
     part = np.array([int(mix(h[first[d]:first[d + 1]].sum(dtype=np.uint64, keepdims=True))[0] % 3) for d in range(n)])
 
@@ -301,8 +316,8 @@ def _fit_runs(h: np.ndarray, sentence: np.ndarray, first: np.ndarray, toxic: np.
             np.add.at(x, (run[ok], place[ok]), DECAY ** (gap - 1))
         label = np.where(toxic[doc[one]] == 1, 1.0, -1.0)
         seen, y = np.vstack([seen[y < 0], x]), np.concatenate([y[y < 0], label])
-        seen, index = np.unique(np.column_stack([seen, y]).astype(np.float32), axis=0, return_counts=True)
-        seen, y, count = seen[:, :-1], seen[:, -1].astype(float), index
+        one, count = _distinct_rows(seen, y)
+        seen, y = seen[one], y[one]
         if not (y > 0).any():
             return None
         if not (y < 0).any():
@@ -319,8 +334,30 @@ def _fit_runs(h: np.ndarray, sentence: np.ndarray, first: np.ndarray, toxic: np.
     if not len(test) or toxic[test].sum() < MIN_DOCS:
         return None
     out.slope, out.shift = _logistic(highest[test], toxic[test])
-    out.shift -= SURE
-    return out if out.slope > 0 else None
+    return (out, highest, part == 0) if out.slope > 0 else None
+
+
+def _calibrated(runs: Runs, highest: np.ndarray, unseen: np.ndarray, caught: np.ndarray, toxic: np.ndarray) -> Runs | None:
+    """Judges runs by the unseen documents that words do not catch, a clean one rejected as SURE toxic ones caught.
+
+    The curve stays as it is where it does good; else its even point goes half
+    way down from the last of the documents that do most good to the next one.
+    None where runs do no good.
+    """
+    rest = np.flatnonzero(unseen & ~caught & np.isfinite(highest))
+    rest = rest[np.argsort(-highest[rest], kind="stable")]
+    value = highest[rest]
+    gain = np.cumsum(np.where(toxic[rest] == 1, 1, -SURE))
+    ends = np.flatnonzero(np.append(value[1:] != value[:-1], True)) if len(rest) else np.empty(0, np.int64)
+    if not len(ends) or gain[ends].max() < MIN_DOCS:
+        return None
+    above = int((runs.slope * value + runs.shift >= 0).sum())
+    if above and gain[above - 1] >= MIN_DOCS:
+        return runs
+    last = int(ends[np.argmax(gain[ends])])
+    point = (value[last] + value[last + 1]) / 2 if last + 1 < len(value) else value[last]
+    runs.shift = -runs.slope * float(point)
+    return runs
 
 
 def fit(texts: pa.Array, toxic: np.ndarray) -> Model:
@@ -329,30 +366,36 @@ def fit(texts: pa.Array, toxic: np.ndarray) -> Model:
     if len(toxic) == 0 or toxic.min() == toxic.max():
         share = min(max(float(toxic.mean()) if len(toxic) else 0.0, 1e-13), 1 - 1e-13)
         return Model(np.zeros(1 << 18, np.float32), 0.0, 0.0, float(np.log(share / (1 - share))))
-    names: dict[int, int] = {}
-    words: list[bytes] = []
-    pair_doc, pair_word = [], []
+    order = np.array(pc.sort_indices(pa.Table.from_arrays([texts, pa.array(toxic)], ["text", "toxic"]),
+                                     sort_keys=[("text", "ascending"), ("toxic", "ascending")]))
+    texts, toxic = texts.take(pa.array(order)), toxic[order]
+    spelled: dict[int, bytes] = {}
+    pair_doc, pair_hash = [], []
     every, told, bounds = [], [], [np.zeros(1, np.int64)]
     n_words = n_sentences = 0
-    for lo, _, data, off in text_chunks(texts):
+    for lo, _, data, off in text_chunks(texts, CHUNK_BYTES):
         s, starts, ends, first, sentence = _words(data, off)
         raw, h = s.tobytes(), _hashes(s, starts, ends)
         every.append(h)
         told.append(sentence + n_sentences)
         bounds.append(first[1:] + n_words)
         n_words, n_sentences = n_words + len(h), int(told[-1][-1]) + 1 if len(h) else n_sentences
-        for d in range(len(off) - 1):
-            own, one = np.unique(h[first[d]:first[d + 1]], return_index=True)
-            for k, at in zip(own.tolist(), (one + first[d]).tolist()):
-                if k not in names:
-                    names[k] = len(words)
-                    words.append(raw[starts[at]:ends[at]])
-                pair_doc.append(lo + d)
-                pair_word.append(names[k])
+        own, one = np.unique(h, return_index=True)
+        for k, at in zip(own.tolist(), one.tolist()):
+            if k not in spelled:
+                spelled[k] = raw[starts[at]:ends[at]]
+        d = np.repeat(np.arange(lo, lo + len(off) - 1, dtype=np.int32), np.diff(first))
+        by = np.lexsort((h, d))
+        h, d = h[by], d[by]
+        new = np.append(True, (h[1:] != h[:-1]) | (d[1:] != d[:-1])) if len(h) else np.empty(0, bool)
+        pair_doc.append(d[new])
+        pair_hash.append(h[new])
+    doc, h = np.concatenate(pair_doc), np.concatenate(pair_hash)
+    names, word = np.unique(h, return_inverse=True)
+    words = [spelled[k] for k in names.tolist()]
     if not words:
         return fit(pa.array([""]), np.array([0]))
     runs = _fit_runs(np.concatenate(every), np.concatenate(told), np.concatenate(bounds), toxic)
-    doc, word = np.array(pair_doc), np.array(pair_word)
     label = toxic[doc]
     in_toxic = np.bincount(word[label == 1], minlength=len(words))
     in_clean = np.bincount(word[label == 0], minlength=len(words))
@@ -387,8 +430,8 @@ def fit(texts: pa.Array, toxic: np.ndarray) -> Model:
 
         def kernel(chosen: np.ndarray) -> np.ndarray:
             out = np.zeros((len(chosen), len(marks)), np.float32)
-            for at in range(0, len(chosen), 2000):
-                part = chosen[at:at + 2000]
+            for at in range(0, len(chosen), 250):
+                part = chosen[at:at + 250]
                 n, c, w, g = _subsequences([words[k] for k in part])
                 f = np.minimum(np.searchsorted(features, c), len(features) - 1)
                 known = features[f] == c
@@ -410,12 +453,13 @@ def fit(texts: pa.Array, toxic: np.ndarray) -> Model:
         negative = np.union1d(negative, hard)
     if model is None:
         model = fit(pa.array([""]), np.array([0]))
-        model.runs = runs
-        return model
-    highest = np.full(len(toxic), model.offset)
-    highest[shown] = np.maximum.reduceat(value[word], begin)
-    model.slope, model.shift = _logistic(highest, toxic)
-    model.runs = runs
+        caught = np.zeros(len(toxic), bool)
+    else:
+        highest = np.full(len(toxic), model.offset)
+        highest[shown] = np.maximum.reduceat(value[word], begin)
+        model.slope, model.shift = _logistic(highest, toxic)
+        caught = model.slope * highest + model.shift >= 0
+    model.runs = _calibrated(*runs, caught, toxic) if runs else None
     return model
 
 
@@ -447,7 +491,7 @@ def train(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_FIT_DOCS, max_
     order = [F.xxhash64("doc_id"), "doc_id"]
     parts = [able.filter(F.col("toxic") == k).orderBy(*order).limit(max_docs) for k in (0, 1)]
     sample = short.join(F.broadcast(parts[0].union(parts[1])), "doc_id")  # at most 2 * max_docs rows
-    sample = sample.dropDuplicates(["doc_id"]).select("text", "toxic")
+    sample = sample.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic")).select("text", "toxic")
     row = sample.repartition(1).mapInArrow(
         _fit_task, "weights binary, rest array<double>, codes binary, pairs binary, runs array<double>").first()
     if row is None:
@@ -460,7 +504,7 @@ def _scored(docs: DataFrame, model: Model) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)  # 2 MB
 
     def run(batch: pa.RecordBatch) -> Iterator[tuple[int, list]]:
-        for lo, hi, data, off in text_chunks(batch.column(1)):
+        for lo, hi, data, off in text_chunks(batch.column(1), CHUNK_BYTES):
             score = shared.value.score(shared.value.texts(data, off))
             yield hi - lo, [batch.column(0).slice(lo, hi - lo), pa.array(score)]
     return map_docs(docs, run, "doc_id long, score double")

@@ -420,3 +420,47 @@ def test_toxicity_without_labels(spark, docs, empty):
     assert toxicity.toxicity(docs, model).filter("predicted = 1").count() == 0
     assert toxicity.keep_clean(docs, model).columns == docs.columns
     assert toxicity.toxicity(empty, model).count() == 0
+
+
+def test_toxicity_does_not_depend_on_the_order_of_rows():
+    import random
+
+    rng = random.Random(4)
+    words = [a + b for a in ("ra", "no", "ti", "me", "lo") for b in ("vu", "pa", "di", "len", "mor")]
+    texts = [" ".join(rng.choice(words) for _ in range(30)) + (" you blockhead" if i % 5 == 0 else " no one likes you" if i % 7 == 0 else "") + "." for i in range(400)]
+    toxic = np.array([int(i % 5 == 0 or i % 7 == 0) for i in range(400)])
+    probe = np.frombuffer("\n".join(texts[:60]).encode(), np.uint8)
+    off = np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts[:60]])])
+    off[-1] -= 1
+    scores = []
+    for seed in (1, 2):
+        order = np.random.default_rng(seed).permutation(len(texts))
+        model = toxicity.fit(pa.array([texts[i] for i in order]), toxic[order])
+        scores.append(model.score(model.texts(probe, off)))
+    assert (scores[0] == scores[1]).all()
+    assert ((scores[0] >= 0.5) == (toxic[:60] == 1)).mean() >= 0.95
+
+
+def test_folded_weights_equal_a_direct_kernel():
+    """One weight for each subsequence gives the same values as kernel values against every landmark would."""
+    words = [bytes(1 + (ord(c) - 97) for c in w) for w in ("stupid", "stxupid", "stpid", "clever", "lever", "st", "s")]
+
+    def plain(w):
+        s, out = bytes([toxicity._EDGE]) + w + bytes([toxicity._EDGE]), Counter()
+        for i in range(len(s)):
+            for a, b in toxicity._PAIRS:
+                if i + b < len(s):
+                    out[s[i], s[i + a], s[i + b]] += toxicity.DECAY ** (b - 2)
+        return out
+    marks, alpha = [plain(w) for w in words[:3]], [0.7, -0.2, 1.1]
+
+    number, code, weight, norms = toxicity._subsequences(words)
+    flat = np.zeros(1 << 18)
+    for k, a in enumerate(alpha):
+        own = number == k
+        np.add.at(flat, code[own], a * weight[own] / norms[k])
+    model = toxicity.Model(flat, 0.25, 1.0, 0.0)
+    got_values = model.words(words)
+    for k, w in enumerate(words):
+        direct = sum(a * sum(v * marks[j][key] for key, v in plain(w).items()) / (norms[j] * norms[k]) for j, a in enumerate(alpha))
+        assert abs(got_values[k] - direct - 0.25) < 1e-5
