@@ -1,21 +1,33 @@
 """Operator 10: secret scans with probabilistic automata learned from credentials.
 
 Three patterns find labelled credentials (an assigned value, an access key, a
-long hexadecimal run).  For each of those kinds, and for ordinary long tokens,
-a probabilistic automaton is inferred: the sample's prefix tree, over classes
-of characters, has its states merged in breadth-first order whenever the
-frequencies of their symbols and ends differ by less than a Hoeffding bound
-allows, recursively.  Every long token of every text is then scored: the log
-likelihood by the best credential automaton whose format it fits (it is no less
-likely than all but a hundredth of the labelled ones), less that by the
-automaton of ordinary tokens, per character.  Tokens over the threshold, which
-lies between the two samples' ratios, and apart from pattern matches, are added
-as spans of kind "format".  Spans are in code points, the end exclusive; an
-assign span covers the whole match.
-
-The samples are the ``MAX_FIT`` strings of lowest hash of each kind.  Null and
-empty texts have no spans; without credentials or ordinary tokens to learn from
-nothing is added; repeated rows are scanned alike; other columns are ignored.
+long hexadecimal run; runs without a letter are numbers and teach nothing).
+For each of those kinds, and for ordinary long tokens with and without digits, a
+probabilistic automaton is inferred from the sample's prefix tree over classes
+of characters.  States are merged whenever the frequencies of their symbols and
+ends differ by less than a Hoeffding bound allows, recursively:
+
+* first states of one depth, from the root down, so that the many branches of
+  a random format become one chain that keeps its length and the places of its
+  marks and prefix;
+* then states of different depths, which makes loops of formats of any length.
+  Few visits are no evidence: both states need ``MIN_VISITS``, from which on the
+  bound tells a state where strings end from one where they do not.
+
+Every long token of every text is then scored: the log likelihood by the best
+credential automaton whose format it fits, less the higher one of the two
+automata of ordinary tokens, per character.  A token fits a format if it is no
+less likely than all but a hundredth of the labelled strings are by an automaton
+that has not seen them (learned from the other half).  Tokens over the
+threshold, which lies between the two samples' ratios, and apart from pattern
+matches, are added as spans of kind "format".  Spans are in code points, the end
+exclusive; an assign span covers the whole match.
+
+The samples are the ``MAX_FIT`` strings of lowest hash of each kind, of at most
+``MAX_VALUE`` bytes each; tokens of any length are scored whole.  Ordinary tokens
+that fit a credential's format teach nothing.  Null and empty texts have no spans; without
+credentials or ordinary tokens to learn from nothing is added; repeated rows are
+scanned alike; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -36,7 +48,9 @@ from claimspark.llm.scan import byte_set, byte_values, lists, owner, span_hashes
 from claimspark.plans.session import save
 
 KINDS = ("assign", "access", "hex", "format")
-MAX_FIT = 500
+MAX_FIT, MAX_VALUE = 500, 512
+MIN_VISITS = 8
+CHUNK_BYTES = 1 << 20   # of text that a task works on at a time
 ALPHA = 0.05        # of the Hoeffding bound
 UNSEEN = math.log(1e-4)
 
@@ -62,6 +76,13 @@ def _symbol_classes() -> np.ndarray:
 
 SYMBOLS, N_SYMBOLS = _symbol_classes(), 11
 
+#: Ordinary words are in capitals or have some in front, which makes no credential of them; capitals inside are left.
+_INNER_CAPITAL = re.compile(rb"[a-z0-9][A-Z]")
+
+
+def _folded(text: bytes) -> bytes:
+    return text if _INNER_CAPITAL.search(text) and text.upper() != text else text.lower().replace(b"_", b"-")
+
 
 def _texts_with(raw: bytes, needles: tuple[bytes, ...], off: np.ndarray) -> np.ndarray:
     at = []
@@ -117,6 +138,7 @@ class Automaton:
     step: np.ndarray
     symbol: np.ndarray
     end: np.ndarray
+    ordinary: bool = False
 
     def likelihood(self, symbols: np.ndarray, off: np.ndarray) -> np.ndarray:
         """Log likelihood per symbol of each string."""
@@ -151,7 +173,7 @@ def _alike(f1: int, n1: int, f2: int, n2: int) -> bool:
 
 
 def _compatible(nodes: list[_Node], a: int, b: int) -> bool:
-    todo = [(a, b)]
+    todo, met = [(a, b)], {(a, b)}
     while todo:
         x, y = (nodes[k] for k in todo.pop())
         n, m = x.total, y.total
@@ -162,7 +184,8 @@ def _compatible(nodes: list[_Node], a: int, b: int) -> bool:
         for s in {*x.count, *y.count}:
             if not _alike(x.count.get(s, 0), n, y.count.get(s, 0), m):
                 return False
-            if s in x.next and s in y.next:
+            if s in x.next and s in y.next and x.next[s] != y.next[s] and (x.next[s], y.next[s]) not in met:
+                met.add((x.next[s], y.next[s]))
                 todo.append((x.next[s], y.next[s]))
     return True
 
@@ -182,8 +205,8 @@ def _fold(nodes: list[_Node], into: int, tree: int) -> None:
                 x.next[s] = y.next[s]
 
 
-def infer(strings: list[bytes]) -> Automaton:
-    """The merged prefix tree of a sample, as a probabilistic automaton."""
+def _tree(strings: list[bytes]) -> list[_Node]:
+    """The prefix tree; the root is node 0."""
     nodes = [_Node()]
     for text in sorted(strings):
         at = 0
@@ -195,94 +218,188 @@ def infer(strings: list[bytes]) -> Automaton:
                 nodes.append(_Node())
             at = node.next[s]
         nodes[at].ends += 1
-    kept, blue = [0], deque((0, s) for s in sorted(nodes[0].next))
-    while blue:
-        parent, s = blue.popleft()
-        child = nodes[parent].next[s]
-        if child in kept:
+    return nodes
+
+
+def _pool_depths(nodes: list[_Node]) -> None:
+    """Merges compatible states of one depth, the most visited first; a tree becomes a graph of levels."""
+    level = [0]
+    while level:
+        edges = [(p, s) for p in level for s in sorted(nodes[p].next)]
+        edges.sort(key=lambda e: (-nodes[nodes[e[0]].next[e[1]]].total, e[1], e[0]))
+        below: list[int] = []
+        for parent, s in edges:
+            child = nodes[parent].next[s]
+            if child in below:
+                continue
+            for state in below:
+                if _compatible(nodes, state, child):
+                    nodes[parent].next[s] = state
+                    _fold(nodes, state, child)
+                    break
+            else:
+                below.append(child)
+        level = below
+
+
+def _merge_depths(nodes: list[_Node]) -> list[int]:
+    """Merges well visited states of different depths, nearest to the root first; returns the states that stay."""
+    kept, queue = [0], deque([0])
+    while queue:
+        parent = queue.popleft()
+        for s in sorted(nodes[parent].next):
+            child = nodes[parent].next[s]
+            if child in kept:
+                continue
+            for state in kept:
+                if min(nodes[state].total, nodes[child].total) >= MIN_VISITS and _compatible(nodes, state, child):
+                    # what leads to the child leads to the state; its visits are shared out over a loop, not added twice
+                    for node in nodes:
+                        for t, to in node.next.items():
+                            if to == child:
+                                node.next[t] = state
+                    _absorb(nodes, state, child)
+                    if state not in queue:
+                        queue.append(state)  # it may have new branches
+                    break
+            else:
+                kept.append(child)
+                queue.append(child)
+    reached, todo = {0}, [0]
+    while todo:
+        for to in nodes[todo.pop()].next.values():
+            if to not in reached:
+                reached.add(to)
+                todo.append(to)
+    return sorted(reached)
+
+
+def _absorb(nodes: list[_Node], into: int, gone: int) -> None:
+    """Adds a state's counts, and recursively those of what follows where both have a branch."""
+    todo, met = [(into, gone)], set()
+    while todo:
+        a, b = todo.pop()
+        if a == b or (a, b) in met:
             continue
-        for state in kept:
-            if _compatible(nodes, state, child):
-                nodes[parent].next[s] = state
-                _fold(nodes, state, child)
-                break
-        else:
-            kept.append(child)
-        # merging can give kept states new branches
-        waiting = set(blue)
-        blue.extend((p, t) for p in kept for t in sorted(nodes[p].next)
-                    if nodes[p].next[t] not in kept and (p, t) not in waiting)
+        met.add((a, b))
+        x, y = nodes[a], nodes[b]
+        x.ends += y.ends
+        for s, n in list(y.count.items()):
+            x.count[s] = x.count.get(s, 0) + n
+            if s in x.next:
+                todo.append((x.next[s], y.next[s]))
+            else:
+                x.next[s] = y.next[s]
+
+
+def infer(strings: list[bytes], ordinary: bool = False) -> Automaton:
+    """The merged prefix tree of a sample, as a probabilistic automaton.
+
+    A symbol that a state has not met costs half a visit and goes where most of
+    the state's strings go; in a credential's format only if the sample has it.
+    """
+    nodes = _tree([_folded(x) for x in strings] if ordinary else strings)
+    _pool_depths(nodes)
+    kept = _merge_depths(nodes)
+    alphabet = range(N_SYMBOLS) if ordinary else {s for k in kept for s in nodes[k].count}
     sink, place = len(kept), {state: k for k, state in enumerate(kept)}
     step = np.full((sink + 1, N_SYMBOLS), sink, np.int64)
     symbol, end = np.full((sink + 1, N_SYMBOLS), UNSEEN), np.full(sink + 1, UNSEEN)
     for state, k in place.items():
         node = nodes[state]
+        if node.count:
+            usual = max(sorted(node.count), key=lambda s: node.count[s])
+            for s in alphabet:
+                step[k, s] = place[node.next[usual]]
+                symbol[k, s] = math.log(0.5 / (node.total + 1))
         for s, n in node.count.items():
             step[k, s] = place[node.next[s]]
             symbol[k, s] = math.log(n / node.total)
         if node.ends:
             end[k] = math.log(node.ends / node.total)
-    return Automaton(step, symbol, end)
+    return Automaton(step, symbol, end, ordinary)
+
+
+def _likelihoods(machine: Automaton, strings: list[bytes]) -> np.ndarray:
+    strings = [_folded(x) for x in strings] if machine.ordinary else strings
+    data = SYMBOLS[np.frombuffer(b"".join(strings), np.uint8)]
+    return machine.likelihood(data, np.concatenate([[0], np.cumsum([len(x) for x in strings])]).astype(np.int64))
+
+
+def _least(strings: list[bytes]) -> float:
+    """The likelihood that all but a hundredth of the strings reach by an automaton of the other half."""
+    halves = [sorted(set(strings))[k::2] for k in (0, 1)]
+    if not halves[1]:
+        return float(_likelihoods(infer(strings), strings).min()) - 1e-9
+    unseen = [_likelihoods(infer(halves[1 - k]), halves[k]) for k in (0, 1)]
+    return float(np.quantile(np.concatenate(unseen), 0.01)) - 1e-9
 
 
 @dataclass
 class Scorer:
-    """Automata of the kinds, with the least likelihood that fits each format, and that of ordinary tokens."""
+    """Automata of the kinds, with the least likelihood that fits each format, and those of ordinary tokens."""
 
     credentials: list[tuple[Automaton, float]]
-    ordinary: Automaton | None
+    ordinary: list[Automaton]
     threshold: float = math.inf
 
     def accepts(self, strings: list[bytes]) -> np.ndarray:
         """Whether some format fits and explains the string better than ordinary text, by the threshold."""
-        best, ordinary = self._likelihoods(strings)
-        return best - ordinary > self.threshold
-
-    def _likelihoods(self, strings: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        data = SYMBOLS[np.frombuffer(b"".join(strings), np.uint8)]
-        off = np.concatenate([[0], np.cumsum([len(x) for x in strings])]).astype(np.int64)
-        each = [(a.likelihood(data, off), least) for a, least in self.credentials]
-        return np.max([np.where(x >= least, x, -np.inf) for x, least in each], axis=0), self.ordinary.likelihood(data, off)
-
-
-def fit(credentials: dict[str, list[bytes]], ordinary: list[bytes]) -> Scorer:
-    """Automata of each kind of credential and of ordinary tokens, and the threshold between them."""
-    credentials = {k: v for k, v in credentials.items() if v}
-    if not credentials or not ordinary:
-        return Scorer([], None)
-    out = Scorer([], infer(ordinary))
-    for strings in credentials.values():
-        machine = Scorer([(infer(strings), -math.inf)], out.ordinary)
-        out.credentials.append((machine.credentials[0][0], float(np.quantile(machine._likelihoods(strings)[0], 0.01)) - 1e-9))
-    labelled = [x for v in credentials.values() for x in v]
-    ratio = lambda strings: np.subtract(*out._likelihoods(strings))
-    high = ratio(labelled)
-    low = ratio(ordinary)
-    high, low = high[np.isfinite(high)], np.maximum(low, -20.0)
-    out.threshold = float(max(np.quantile(low, 0.999), (np.median(low) + np.quantile(high, 0.05)) / 2, 0.0)) + 1e-9
+        return self.fitted(strings) - self.usual(strings) > self.threshold
+
+    def fitted(self, strings: list[bytes]) -> np.ndarray:
+        """The likelihood by the best format that fits; -inf where none does."""
+        each = [(_likelihoods(a, strings), least) for a, least in self.credentials]
+        return np.max([np.where(x >= least, x, -np.inf) for x, least in each], axis=0)
+
+    def usual(self, strings: list[bytes]) -> np.ndarray:
+        return np.max([_likelihoods(a, strings) for a in self.ordinary], axis=0)
+
+
+def _has_letter(text: bytes) -> bool:
+    return any(x > 0x40 and x != 0x5F for x in text)
+
+
+def fit(credentials: dict[str, list[bytes]], ordinary: list[list[bytes]]) -> Scorer:
+    """Automata of each kind of credential and of each list of ordinary tokens, and the threshold between them."""
+    credentials = {k: own for k, v in credentials.items() if (own := [x for x in v if _has_letter(x)])}
+    out = Scorer([(infer(v), _least(v)) for v in credentials.values()], [])
+    if not out.credentials:
+        return out
+    ordinary = [[x for x, fits in zip(v, np.isfinite(out.fitted(v))) if not fits] for v in ordinary if v]
+    out.ordinary = [infer(v, ordinary=True) for v in ordinary if v]
+    if not out.ordinary:
+        return Scorer([], [])
+    labelled, plain = [x for v in credentials.values() for x in v], [x for v in ordinary for x in v]
+    high = out.fitted(labelled) - out.usual(labelled)
+    low = np.maximum(out.fitted(plain) - out.usual(plain), 0.0)
+    high = high[np.isfinite(high)]
+    if not len(high):
+        return Scorer([], [])
+    out.threshold = max(float(np.quantile(low, 0.999) + np.quantile(high, 0.05)) / 2, 0.0) + 1e-9
     return out
 
 
 def _sample(limit: int):
-    """The strings of lowest hash of each kind that a task meets; kind 3 are ordinary tokens, long and without a digit."""
+    """The strings of lowest hash of each kind that a task meets; kinds 3 and 4 are long tokens without and with a digit."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best: dict[int, dict[int, bytes]] = {k: {} for k in range(4)}
+        best: dict[int, dict[int, bytes]] = {k: {} for k in range(5)}
         values = byte_values(fold=False)
         for batch in batches:
-            for _, _, data, off in text_chunks(batch.column(0)):
+            for _, _, data, off in text_chunks(batch.column(0), CHUNK_BYTES):
                 found = _base(data, off)
                 starts, ends, _ = _tokens(data, off, found)
                 raw = data.tobytes()
                 digits = np.concatenate([[0], np.cumsum((data >= 0x30) & (data < 0x3A))])
                 plain = digits[starts] == digits[ends]
-                starts, ends = starts[plain], ends[plain]
-                for kind in range(4):
-                    a = starts if kind == 3 else np.array([x[3] for x in found if x[0] == kind], np.int64)
-                    b = ends if kind == 3 else np.array([x[2] for x in found if x[0] == kind], np.int64)
+                own = [(np.array([x[3] for x in found if x[0] == k], np.int64), np.array([x[2] for x in found if x[0] == k], np.int64)) for k in range(3)]
+                for kind, (a, b) in enumerate([*own, (starts[plain], ends[plain]), (starts[~plain], ends[~plain])]):
+                    short = b - a <= MAX_VALUE
+                    a, b = a[short], b[short]
                     if len(a):
                         h, one = np.unique(span_hashes(data, a, b, values) >> np.uint64(1), return_index=True)
                         for k, i in zip(h[:limit].tolist(), one[:limit].tolist()):
-                            best[kind][k] = raw[a[i]:min(b[i], a[i] + 4096)]
+                            best[kind][k] = raw[a[i]:b[i]]
                         best[kind] = dict(sorted(best[kind].items())[:limit])
         rows = [(kind, h, text) for kind, own in best.items() for h, text in own.items()]
         yield pa.RecordBatch.from_arrays(
@@ -296,8 +413,8 @@ def train(docs: DataFrame, limit: int = MAX_FIT) -> Scorer:
     texts = doc_columns(docs).select("text")
     sampled = save(texts.mapInArrow(_sample(limit), "kind int, hash long, value binary"), "credentials").distinct()
     kinds = [[bytes(r.value) for r in sampled.filter(F.col("kind") == k).orderBy("hash", "value").limit(limit).collect()]
-             for k in range(4)]
-    return fit(dict(zip(KINDS, kinds[:3])), kinds[3])
+             for k in range(5)]
+    return fit(dict(zip(KINDS, kinds[:3])), kinds[3:])
 
 
 def _scanned(docs: DataFrame, scorer: Scorer) -> DataFrame:
@@ -305,11 +422,11 @@ def _scanned(docs: DataFrame, scorer: Scorer) -> DataFrame:
     values = byte_values(fold=False)
 
     def run(batch: pa.RecordBatch) -> Iterator[tuple[int, list]]:
-        for lo, hi, data, off in text_chunks(batch.column(1)):
+        for lo, hi, data, off in text_chunks(batch.column(1), CHUNK_BYTES):
             found = _base(data, off)
             rows = [(d, a, k, b) for k, a, b, _, d in found]
             starts, ends, text = _tokens(data, off, found)
-            if len(starts) and shared.value.ordinary is not None:
+            if len(starts) and shared.value.ordinary:
                 raw = data.tobytes()
                 _, one, place = np.unique(span_hashes(data, starts, ends, values), return_index=True, return_inverse=True)
                 over = shared.value.accepts([raw[a:b] for a, b in zip(starts[one].tolist(), ends[one].tolist())])[place]

@@ -361,7 +361,7 @@ def test_short_and_dotted_credentials_are_scored(spark):
 
 def test_no_secrets_in_nothing(empty):
     scorer = secrets.train(empty)
-    assert scorer.ordinary is None and secrets.secrets(empty, scorer).count() == 0
+    assert not scorer.ordinary and secrets.secrets(empty, scorer).count() == 0
 
 
 def test_toxicity_learns_and_tolerates_insertions(spark):
@@ -464,3 +464,85 @@ def test_folded_weights_equal_a_direct_kernel():
     for k, w in enumerate(words):
         direct = sum(a * sum(v * marks[j][key] for key, v in plain(w).items()) / (norms[j] * norms[k]) for j, a in enumerate(alpha))
         assert abs(got_values[k] - direct - 0.25) < 1e-5
+
+
+def _random_tokens(seed):
+    import random
+
+    rng = random.Random(seed)
+    letters, digits = "abcdefghijklmnopqrstuvwxyz", "0123456789"
+    every = letters + letters.upper() + digits
+
+    def run_of(alphabet, n):
+        return "".join(rng.choice(alphabet) for _ in range(n))
+    formats = {"prefixed": lambda: "ghp_" + run_of(every, 36), "live": lambda: "sk_live_" + run_of(every, 24),
+               "capital": lambda: run_of(letters.upper() + digits, 20), "password": lambda: run_of(every + "+/=", rng.randint(14, 24))}
+    syllables = ["tion", "er", "le", "ch", "an", "eux", "sch", "be", "qu"]
+    word = lambda n: "".join(rng.choice(syllables) for _ in range(n))
+    usual = {"word": lambda: word(6), "CAPITALS": lambda: word(6).upper(), "Name": lambda: word(6).capitalize(), "joined": lambda: f"{word(3)}-{word(3)}",
+             "address": lambda: ".".join(str(rng.randint(100, 255)) for _ in range(4)), "host": lambda: f"{word(3)}{rng.randint(1, 99)}.example.com"}
+    odd = {"phone": lambda: f"+49-{rng.randint(10 ** 9, 10 ** 10)}", "number": lambda: str(rng.randint(10 ** 12, 10 ** 13)),
+           "card": lambda: "-".join(str(rng.randint(1000, 9999)) for _ in range(4)), "date": lambda: f"2024-{rng.randint(10, 12)}-{rng.randint(10, 28)}T{rng.randint(10, 23)}",
+           "uuid": lambda: "-".join(run_of("0123456789abcdef", n) for n in (8, 4, 4, 4, 12)),
+           "version": lambda: f"{rng.randint(1, 30)}.{rng.randint(0, 99)}.{rng.randint(100, 999)}-beta{rng.randint(1, 9)}"}
+    return formats, usual, odd
+
+
+def test_bare_tokens_of_learned_formats_and_no_others(spark):
+    formats, usual, odd = _random_tokens(6)
+    keys = [f'k token = "{make()}" w' for make in formats.values() for _ in range(80)]
+    keys += [f"n {16 * str(i % 10)} card" for i in range(60)]  # digits alone are found by a pattern, and teach nothing
+    plain = [f"a {make()} b" for make in usual.values() for _ in range(150)]
+    bare = [(name, f"see {make()} there") for name, make in formats.items() for _ in range(50)]
+    free = [(name, f"see {make()} there") for name, make in [*usual.items(), *odd.items()] for _ in range(50)]
+    texts = [*keys, *plain, *[t for _, t in bare], *[t for _, t in free]]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    hit = {r.doc_id: any(s["kind"] == "format" for s in r.spans) for r in secrets.secrets(df, secrets.train(df)).collect()}
+    n = len(keys) + len(plain)
+    found, wrong = Counter(), Counter()
+    for k, (name, _) in enumerate(bare):
+        found[name] += hit[n + k]
+    for k, (name, _) in enumerate(free):
+        wrong[name] += hit[n + len(bare) + k]
+    assert all(found[name] >= 45 for name in formats), found
+    assert sum(wrong.values()) <= 6, wrong
+
+
+def test_automata_keep_lengths_and_make_loops():
+    import random
+
+    rng = random.Random(8)
+    fixed = ["".join(rng.choice("0123456789abcdef") for _ in range(40)).encode() for _ in range(60)]
+    machine = secrets.infer(fixed)
+    assert len(machine.step) - 1 == 41  # one state for each length
+    whole, short, long = (float(secrets._likelihoods(machine, [fixed[0][:40], fixed[0][:39], fixed[0] + b"0"])[k]) for k in range(3))
+    assert whole > short and whole > long and min(whole - short, whole - long) > 0.1
+    loose = ["".join(rng.choice("abcdef") for _ in range(rng.randint(12, 40))).encode() for _ in range(500)]
+    assert len(secrets.infer(loose).step) - 1 < 30
+
+
+def test_likelihoods_equal_a_walk_through_the_automaton():
+    import math
+    import random
+
+    rng = random.Random(9)
+    strings = ["".join(rng.choice("ab01-Z") for _ in range(rng.randint(0, 9))).encode() for _ in range(200)]
+    for ordinary in (False, True):
+        machine = secrets.infer(strings[:150], ordinary)
+        for x, value in zip(strings, secrets._likelihoods(machine, strings)):
+            state, total = 0, 0.0
+            for b in secrets._folded(x) if ordinary else x:
+                s = secrets.SYMBOLS[b]
+                total += machine.symbol[state, s]
+                state = machine.step[state, s]
+            assert math.isclose(value, (total + machine.end[state]) / (len(x) + 1))
+    # without merging, frequencies in the prefix tree are the shares of the strings
+    tree = secrets._tree(strings)
+    assert tree[0].total == len(strings) and sum(node.ends for node in tree) == len(strings)
+
+
+def test_long_values_teach_nothing_and_are_scored_whole(spark):
+    long = "".join("0123456789abcdef"[(i * 7) % 16] for i in range(9000))
+    rows = [(i, f'token = "{long}g" x') for i in range(30)] + [(100 + i, "ordinaryordinary words") for i in range(30)]
+    scorer = secrets.train(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert not scorer.credentials
