@@ -6,12 +6,17 @@ next one starts, cells and rows likewise, the head where anything comes that may
 not stand in it).  ``render`` walks the tree and emits
 what a reader would see: blocks on lines of their own, an empty line around
 paragraphs, headings, lists and tables, list marks with their indentation,
-preformatted text as it is, and the cells of a table in aligned columns.
-Elements that are never shown, and those hidden by attribute or inline style,
-are left out with all they hold.
+preformatted text as it is, and the cells of a table in aligned columns: a
+cell's lines stand below each other, and a cell over several rows holds its
+column in them.  Elements that are never shown, and those hidden by attribute or
+inline style, are left out with all they hold; what is hidden from screen
+readers alone is shown.
 
 Both parts work with stacks of their own, so deeply nested pages need no
-recursion.  A null or empty page gives an empty text; broken markup is read as
+recursion, and take time in proportion to the page: where each tag was opened
+last is kept, so no end tag walks the stack, and a start tag that never ends is
+looked for once.  From ``MAX_INDENT`` levels on lists are not indented further, tables
+inside ``MAX_TABLES`` others are plain lines, and columns start ``MAX_CELL`` characters after the one before at most.  A null or empty page gives an empty text; broken markup is read as
 far as it makes sense; repeated rows are rendered alike; other columns are kept
 out.
 """
@@ -48,8 +53,10 @@ IMPLIED = {
 STOPS_P = frozenset("table td th caption button object".split())
 IN_HEAD = frozenset("base basefont bgsound link meta title noscript noframes style script template html head".split())
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>?|<\?[^>]*>?|</([a-zA-Z][^\s/>]*)[^>]*>?|"
-                    r"""<([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""", re.S)
+MAX_INDENT, MAX_TABLES, MAX_CELL, MAX_SPAN = 10, 10, 200, 100
+#: A comment, a declaration, an end tag, or the name of a start tag.
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>?|<\?[^>]*>?|</([a-zA-Z][^\s/>]*)[^>]*>?|<([a-zA-Z][^\s/>]*)", re.S)
+_QUOTE_OR_END = re.compile("[>\"']")
 _ATTRIBUTE = re.compile(r"""([^\s=>"'/]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 _HIDDEN = re.compile(r"(display\s*:\s*none|visibility\s*:\s*(hidden|collapse))", re.I)
 _BLANKS = re.compile(r"[ \t\n\r\f]+")
@@ -62,79 +69,114 @@ class Node:
     children: list = field(default_factory=list)  # nodes and texts
 
 
+def _tag_end(page: str, at: int) -> int:
+    """Where a start tag's ``>`` stands, or -1: the next one outside quotes; quotes that do not close do not count."""
+    first = at
+    while (m := _QUOTE_OR_END.search(page, at)) is not None:
+        if m[0] == ">":
+            return m.start()
+        close = page.find(m[0], m.end())
+        at = m.end() if close < 0 else close + 1
+    return page.find(">", first)
+
+
+class _Open:
+    """The open elements, and the places of each tag among them."""
+
+    def __init__(self, root: Node):
+        self.stack = [root]
+        self.places: dict[str, list[int]] = {}
+
+    def push(self, node: Node) -> None:
+        self.places.setdefault(node.tag, []).append(len(self.stack))
+        self.stack.append(node)
+
+    def cut(self, place: int) -> None:
+        while len(self.stack) > place:
+            self.places[self.stack.pop().tag].pop()
+
+    def last(self, tags) -> int:
+        """The place of the innermost element of these tags; 0 if none is open."""
+        return max((self.places[t][-1] for t in tags if self.places.get(t)), default=0)
+
+    def close(self, names, stops) -> None:
+        """End the elements of ``names`` inside the innermost one of ``stops``, and all within them."""
+        wall = self.last(stops)
+        while (place := self.last(names)) > wall:
+            self.cut(place)
+
+    def leave_head(self) -> None:
+        if self.places.get("head"):
+            self.cut(self.places["head"][0])
+
+
 def parse(page: str) -> Node:
     """The element tree below a nameless root."""
     root = Node("")
-    stack, at, n = [root], 0, len(page)
-
-    def close(names: set, stops) -> None:
-        for k in range(len(stack) - 1, 0, -1):
-            if stack[k].tag in names:
-                del stack[k:]
-                # an open row may follow its open cell
-                return close(names, stops)
-            if stack[k].tag in stops:
-                return None
-
-    def leave_head() -> None:
-        for k in range(1, len(stack)):
-            if stack[k].tag == "head":
-                del stack[k:]
-                return
+    open_, at, n = _Open(root), 0, len(page)
+    last_end = page.rfind(">")
 
     def add_text(text: str) -> None:
-        if stack[-1].tag == "head" and _BLANKS.sub("", text):
-            leave_head()
-        stack[-1].children.append(html.unescape(text))
+        if open_.stack[-1].tag == "head" and _BLANKS.sub("", text):
+            open_.leave_head()
+        open_.stack[-1].children.append(html.unescape(text))
 
+    begin = 0  # of text that has not been added yet
     while at < n:
         m = _TOKEN.search(page, at)
         if m is None:
-            add_text(page[at:])
             break
-        if m.start() > at:
-            add_text(page[at:m.start()])
-        at = m.end()
         end, start = m.group(1), m.group(2)
+        stop = m.end()
+        if start:
+            if stop > last_end:  # no start tag ends any more: text, up to the next mark of another kind
+                at = stop
+                continue
+            stop = _tag_end(page, stop)
+            attributes_text, stop = page[m.end():stop], stop + 1
+        if m.start() > begin:
+            add_text(page[begin:m.start()])
+        at = begin = stop
         if end:
             end = end.lower()
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == end:
-                    del stack[k:]
-                    break
-                if stack[k].tag in ("td", "th", "table") and end not in ("table", "tr", "tbody", "thead", "tfoot"):
-                    break  # an end tag without its start does not leave a cell
+            place = open_.last((end,))
+            # an end tag without its start does not leave a cell
+            wall = 0 if end in ("table", "tr", "tbody", "thead", "tfoot") else open_.last(("td", "th", "table"))
+            if place and place >= wall:
+                open_.cut(place)
             continue
         if not start:
             continue
         tag = start.lower()
-        if (stack[-1].tag == "head" and tag not in IN_HEAD) or (tag == "body" and all(x.tag != "template" for x in stack)):
-            leave_head()
+        if (open_.stack[-1].tag == "head" and tag not in IN_HEAD) or (tag == "body" and not open_.places.get("template")):
+            open_.leave_head()
         if tag in ENDS_P:
-            close({"p"}, STOPS_P)
+            open_.close({"p"}, STOPS_P)
         if tag in IMPLIED:
-            close(*IMPLIED[tag])
+            open_.close(*IMPLIED[tag])
         attributes = {}
-        if m.group(3).strip(" /\n\t\r"):
-            for a in _ATTRIBUTE.finditer(m.group(3)):
+        if attributes_text.strip(" /\n\t\r"):
+            for a in _ATTRIBUTE.finditer(attributes_text):
                 attributes.setdefault(a[1].lower(), html.unescape(a[2] or a[3] or a[4] or ""))
         node = Node(tag, attributes)
-        stack[-1].children.append(node)
-        if tag in VOID or (m.group(3).endswith("/") and tag not in BLOCK and tag not in RAW):
+        open_.stack[-1].children.append(node)
+        if tag in VOID or (attributes_text.endswith("/") and tag not in BLOCK and tag not in RAW):
             continue
         if tag in RAW:
-            stop = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>?", re.I).search(page, at)
-            text = page[at:stop.start() if stop else n]
+            close = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>?", re.I).search(page, at)
+            text = page[at:close.start() if close else n]
             node.children.append(html.unescape(text) if tag in ("textarea", "title") else text)
-            at = stop.end() if stop else n
+            at = begin = close.end() if close else n
             continue
-        stack.append(node)
+        open_.push(node)
+    if begin < n:
+        add_text(page[begin:])
     return root
 
 
 def hidden(node: Node) -> bool:
     a = node.attributes
-    return (node.tag in UNSEEN or "hidden" in a or a.get("aria-hidden", "").lower() == "true"
+    return (node.tag in UNSEEN or "hidden" in a
             or (node.tag == "input" and a.get("type", "").lower() == "hidden") or bool(_HIDDEN.search(a.get("style", ""))))
 
 
@@ -143,9 +185,9 @@ class _Page:
 
     def __init__(self, width: int = 0):
         self.lines: list[str] = []
-        self.line = ""
+        self.pieces: list[str] = []  # of the line, none empty
         self.space = False   # an empty line is due
-        self.indent = ""
+        self.level = 0       # of indentation
         self.mark = ""       # of a list item that has no text yet
 
     def text(self, text: str, pre: bool) -> None:
@@ -157,16 +199,23 @@ class _Page:
                 self._add(line)
             return
         text = _BLANKS.sub(" ", text)
-        if not self.line or self.line.endswith(" "):
+        if not self.pieces or self.pieces[-1].endswith(" "):
             text = text.lstrip(" ")
         self._add(text)
 
     def _add(self, text: str) -> None:
-        self.line += text
+        if text:
+            self.pieces.append(text)
+
+    @property
+    def indent(self) -> str:
+        return "    " * min(self.level, MAX_INDENT)
 
     def _flush(self, keep: bool = False) -> None:
-        line = self.line if keep else self.line.rstrip(" ")
-        self.line = ""
+        line = "".join(self.pieces)
+        self.pieces = []
+        if not keep:
+            line = line.rstrip(" ")
         if not line and not keep:
             return
         if self.space and self.lines:
@@ -184,24 +233,41 @@ class _Page:
         self.space = self.space or (spaced and bool(self.lines))
 
 
-def _table(rows: list[list[tuple[str, int]]]) -> list[str]:
-    """Cells in aligned columns, two blanks between them."""
-    widths: list[int] = []
+def _table(rows: list[list[tuple[list[str], int, int]]]) -> list[str]:
+    """Rows of cells (lines, columns, rows) in aligned columns, two blanks between them."""
+    held: dict[int, int] = {}  # column: rows that a cell from above still holds it
+    placed, widths = [], []
     for row in rows:
-        k = 0
-        for text, span in row:
-            widths += [0] * (k + span - len(widths))
-            if span == 1:
-                widths[k] = max(widths[k], len(text))
-            k += span
+        k, cells, more = 0, [], {}
+        for lines, columns, below in row:
+            while held.get(k):
+                k += 1
+            cells.append((k, lines))
+            widths += [0] * (k + columns - len(widths))
+            if columns == 1:
+                widths[k] = max(widths[k], min(max(map(len, lines), default=0), MAX_CELL))
+            if below > 1:
+                more |= {j: below - 1 for j in range(k, k + columns)}
+            k += columns
+        held = {j: n - 1 for j, n in held.items() if n > 1} | more
+        placed.append(cells)
+    begin = [0]
+    for width in widths:
+        begin.append(min(begin[-1] + width + 2, 10 * MAX_CELL))
     out = []
-    for row in rows:
-        line, k = [], 0
-        for text, span in row:
-            line.append(text.ljust(sum(widths[k:k + span]) + 2 * (span - 1)))
-            k += span
-        out.append("  ".join(line).rstrip())
-    return [x for x in out if x]
+    for cells in placed:
+        for h in range(max((len(lines) for _, lines in cells), default=0)):
+            line = ""
+            for k, lines in cells:
+                if h < len(lines) and lines[h]:
+                    line = (line + "  " if len(line) > begin[k] - 2 and line else line).ljust(begin[k]) + lines[h]
+            if line.rstrip():
+                out.append(line.rstrip())
+    return out
+
+
+def _number(text: str) -> int:
+    return min(int(text), MAX_SPAN) if text.isdecimal() and len(text) < 9 and int(text) else 1
 
 
 def render(root: Node) -> str:
@@ -209,7 +275,7 @@ def render(root: Node) -> str:
     pages = [_Page()]                     # one for the page, one for each open cell
     tables: list[list] = []               # rows of each open table
     lists: list[list] = []                # [ordered, number] of each open list
-    pre = 0
+    pre = deep = 0                        # open preformatted elements; tables that are not laid out
     todo: list = [(root, False)]
     while todo:
         node, leaving = todo.pop()
@@ -222,25 +288,24 @@ def render(root: Node) -> str:
         if leaving:
             if tag == "pre":
                 pre -= 1
-            if tag in ("td", "th") and tables and len(pages) > 1:
+            if tag in ("td", "th") and tables and not deep and len(pages) > 1:
                 cell = pages.pop()
                 cell.end_line(False)
-                span = node.attributes.get("colspan", "1")
                 if not tables[-1]:
                     tables[-1].append([])
-                tables[-1][-1].append((" ".join(x.strip() for x in cell.lines if x.strip()),
-                                       min(int(span), 100) if span.isdigit() and int(span) else 1))
+                tables[-1][-1].append((cell.lines, *[_number(node.attributes.get(x, "1")) for x in ("colspan", "rowspan")]))
                 continue
-            if tag == "table":
-                rows = tables.pop()
-                for line in _table(rows):
-                    page.line = line
+            if tag == "table" and deep:
+                deep -= 1
+            elif tag == "table":
+                for line in _table(tables.pop()):
+                    page.pieces = [line]
                     page._flush()
             if tag in ("ul", "ol", "menu"):
                 lists.pop()
-                page.indent = page.indent[:-4]
+                page.level -= 1
             if tag in ("dd", "blockquote"):
-                page.indent = page.indent[:-4]
+                page.level -= 1
             if tag in BLOCK and tag != "tr":
                 page.end_line(tag in SPACED and not (tag in ("ul", "ol") and lists))
             if tag == "li":
@@ -249,7 +314,7 @@ def render(root: Node) -> str:
         if hidden(node):
             continue
         if tag == "br":
-            page._flush(keep=bool(page.line) or pre > 0)
+            page._flush(keep=bool(page.pieces) or pre > 0)
             continue
         if tag == "img":
             if node.attributes.get("alt"):
@@ -257,21 +322,25 @@ def render(root: Node) -> str:
             continue
         if tag in BLOCK and tag != "tr":
             page.end_line(tag in SPACED and not (tag in ("ul", "ol") and lists))
-        if tag == "tr" and tables:
+        if tag == "tr" and deep:
+            page.end_line(False)
+        elif tag == "tr" and tables:
             tables[-1].append([])
         elif tag in ("td", "th"):
-            if tables:
+            if tables and not deep:
                 pages.append(_Page())
             else:
                 page.text(" ", False)
+        elif tag == "table" and len(tables) >= MAX_TABLES:
+            deep += 1
         elif tag == "table":
             tables.append([])
         elif tag in ("ul", "ol", "menu"):
             begin = node.attributes.get("start", "1")
             lists.append([tag == "ol", int(begin) if begin.isdigit() else 1])
-            page.indent += "    "
+            page.level += 1
         elif tag in ("dd", "blockquote"):
-            page.indent += "    "
+            page.level += 1
         elif tag == "li" and lists:
             ordered, number = lists[-1]
             page.mark = f"{number}. " if ordered else "- "
