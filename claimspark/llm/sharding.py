@@ -87,7 +87,12 @@ def shard(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
 
 
 def write_shards(docs: DataFrame, folder: str, limit: int = LIMIT) -> DataFrame:
-    """Writes the rows, with all their columns, below ``folder``, one folder for each shard; returns what is read back."""
+    """Writes the rows, with all their columns, below ``folder``, one folder for each shard; returns what is read back.
+
+    The folders' column is ``shard``; a column of that name, in any case, would be lost and raises.
+    """
+    if "shard" in map(str.lower, docs.columns):
+        raise ValueError("the rows have a column 'shard', the name of the folders' column: rename it first")
     placed = _placed(docs, F.struct("*"), limit).select("carried.*", F.concat(F.lit("s"), F.col("prefix")).alias("shard"))
     placed.repartition("shard").write.option("compression", "zstd").partitionBy("shard").parquet(folder)
     return docs.sparkSession.read.schema(placed.schema).parquet(folder)

@@ -546,3 +546,31 @@ def test_long_values_teach_nothing_and_are_scored_whole(spark):
     rows = [(i, f'token = "{long}g" x') for i in range(30)] + [(100 + i, "ordinaryordinary words") for i in range(30)]
     scorer = secrets.train(spark.createDataFrame(rows, "doc_id long, text string"))
     assert not scorer.credentials
+
+
+@pytest.mark.parametrize("page", ["<a " * 100_000, "<span>" * 40_000 + "</b>" * 40_000, "<ul><li>x" * 30_000, "<b><table><tr><td>" + "<i>" * 60_000 + "</b>" * 60_000,
+                                  '<a "' * 80_000 + ">", "<a '\"" * 60_000 + ">x", "<p><b>" * 50_000, "<table><tr><td>y" * 20_000, "<span>x</span>" * 25_000])
+def test_broken_and_deep_pages_take_linear_time(page):
+    import time
+
+    def seconds(text):
+        began = time.process_time()
+        html.visible_text(text)
+        return time.process_time() - began
+    part = page[:len(page) // 4]
+    small, large = min(seconds(part) for _ in range(2)), min(seconds(page) for _ in range(2))
+    assert large < 8 * small + 0.5  # four times the page; sixteen would be quadratic
+
+
+def test_cells_keep_lines_and_rows():
+    assert html.visible_text("<table><tr><td>one<p>two</p></td><td>b</td></tr><tr><td>c</td><td>dd<br>ee</td></tr></table>") == "one  b\n\ntwo\nc    dd\n     ee".replace("\n\n", "\n")
+    assert html.visible_text("<table><tr><td rowspan=2>a</td><td>b</td></tr><tr><td>c</td></tr><tr><td>d</td><td>e</td></tr></table>") == "a  b\n   c\nd  e"
+    assert html.visible_text("<table><tr><td rowspan=3 colspan=2>aa</td><td>b</td></tr><tr><td>c</td></tr></table>").split("\n")[1].strip() == "c"
+    assert html.visible_text('<main aria-hidden="true">seen</main><p hidden>not</p>') == "seen"
+
+
+def test_shards_of_rows_with_a_clashing_column(spark):
+    rows = spark.createDataFrame([(1, "a", "x"), (2, "b", "y")], "doc_id long, text string, Shard string")
+    with pytest.raises(ValueError, match="shard"):
+        sharding.write_shards(rows, scratch_path(spark, "shards"))
+    assert sharding.shard(rows).count() == 2
