@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 20
 POWERS_STEP = 1 << 20  # tables of powers grow by it
 
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
@@ -42,7 +42,7 @@ def _powers(name: str, base: np.uint64, n: int) -> np.ndarray:
         have = np.full(size, base, np.uint64)
         have[0] = 1
         np.multiply.accumulate(have, out=have)
-        if n <= 4 * CHUNK_BYTES:  # one very long text does not stay in memory
+        if n <= 16 * CHUNK_BYTES:  # one very long text does not stay in memory
             _POWERS[name] = have
     return have[:n]
 

@@ -33,11 +33,12 @@ from pyspark.sql import functions as F
 
 from claimspark.llm.common import Bloom, doc_columns
 from claimspark.llm.scan import (
-    CHUNK_BYTES, SPACED_WORDS, byte_values, join_words, mix, owner, signed, span_hashes, spans, text_chunks, window_hashes,
+    SPACED_WORDS, byte_values, join_words, mix, owner, signed, span_hashes, spans, text_chunks, window_hashes,
     window_starts,
 )
 from claimspark.plans.session import save
 
+CHUNK_BYTES = 4 << 20  # each sends its distinct windows once, so larger chunks shuffle less
 WINDOW = 35
 PERIOD, COVER = 21, (3, 6, 7, 12, 14)
 
