@@ -9,13 +9,18 @@ any two positions some shift below ``PERIOD`` moves both onto it.  So two equal
 windows always have an equal anchor at the same place in both.
 
 1. Count anchors over all documents; keep those that occur twice or more.
-2. Extend: every window around a repeated anchor is hashed and compared with
-   its equals.  A chunk of documents sends each distinct window at most once:
-   windows that repeat inside the chunk are settled there.
-3. Each document gets its repeated windows and drops the words they cover.
-
-The repeated anchors reach the tasks of step 2 as a Bloom filter of bounded
-size; one that is too full only lets more windows be compared.
+2. Extend: every window around a repeated anchor is counted by its hash.  A
+   chunk of documents sends each distinct window once, with its number there,
+   and each task adds up its own before the shuffle.
+3. The places of the repeated windows are looked up in a second pass over the
+   texts and joined with them; a window that stands in very many documents is
+   a hot key of that join alone, which adaptive execution can split.
+4. Each document gets its repeated windows and drops the words they cover.
+
+The repeated anchors and the repeated windows reach the tasks as Bloom filters
+of bounded size; one that is too full only lets more windows be compared.
+Windows are told apart by 96 bits, so that equal hashes of different windows
+are not to be expected even among 10**13 of them.
 
 Null and empty texts have no words; texts of fewer words than a window stay
 whole; repeated rows are copies of each other (both lose the words); other
@@ -28,7 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from claimspark.llm.common import Bloom, doc_columns
@@ -41,6 +46,7 @@ from claimspark.plans.session import save
 CHUNK_BYTES = 4 << 20  # each sends its distinct windows once, so larger chunks shuffle less
 WINDOW = 35
 PERIOD, COVER = 21, (3, 6, 7, 12, 14)
+OTHER_HASH = np.uint64(0xC2B2AE3D27D4EB4F)  # turns word hashes into others, for a second window hash
 
 
 def _word_hashes(data: np.ndarray, off: np.ndarray):
@@ -69,40 +75,51 @@ def _count_anchors(window: int):
     return run
 
 
-def _extend(window: int, bloom: Bloom, limit: int):
+def _near_windows(first: np.ndarray, words: np.ndarray, window: int, anchors: Bloom):
+    """(word numbers, hashes, 32 more bits) of the windows around a repeated anchor."""
     size = window - PERIOD + 1
+    h = window_hashes(words, size)
+    at = _anchors(first, size) if len(h) else np.empty(0, np.int64)
+    at = at[anchors.has(h[at])]
+    near = np.zeros(len(words) + 1, np.int64)
+    np.add.at(near, np.maximum(at - (window - size), 0), 1)
+    np.subtract.at(near, at + 1, 1)
+    near = np.cumsum(near) > 0
+    w = window_starts(first, window)
+    w = w[near[w]]
+    if not len(w):
+        return w, words[:0], np.empty(0, np.int32)
+    more = window_hashes(mix(words ^ OTHER_HASH), window)[w] >> np.uint64(32)
+    return w, window_hashes(words, window)[w], more.astype(np.uint32).view(np.int32)
+
+
+def _count_windows(window: int, anchors: Bloom, limit: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, _, data, off in text_chunks(batch.column(0), limit):
+                _, h, more = _near_windows(*_word_hashes(data, off), window, anchors)
+                by = np.lexsort((more, h))
+                h, more = h[by], more[by]
+                new = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (more[1:] != more[:-1])])[:len(h)])
+                yield pa.RecordBatch.from_arrays(
+                    [signed(h[new]), pa.array(more[new]), pa.array(np.diff(np.append(new, len(h))))], ["win", "more", "n"])
+    return run
+
 
+def _places(window: int, anchors: Bloom, repeated: Bloom, limit: int):
+    """Where the windows start that pass both filters."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            doc_id, key = batch.column(0), batch.column(1)
             for lo, _, data, off in text_chunks(batch.column(2), limit):
                 first, words = _word_hashes(data, off)
-                h = window_hashes(words, size)
-                at = _anchors(first, size) if len(h) else np.empty(0, np.int64)
-                at = at[bloom.has(h[at])]
-                near = np.zeros(len(words) + 1, np.int64)
-                np.add.at(near, np.maximum(at - (window - size), 0), 1)
-                np.subtract.at(near, at + 1, 1)
-                near = np.cumsum(near) > 0
-                w = window_starts(first, window)
-                w = w[near[w]]
-                h = window_hashes(words, window)[w] if len(w) else words[:0]
-                _, place, n = np.unique(h, return_inverse=True, return_counts=True)
-                here = np.flatnonzero(n[place] > 1)  # settled in this chunk; one row of each window tells the others
-                alone = np.flatnonzero(n[place] == 1)
-                speaks = np.zeros(len(here), bool)
-                speaks[np.unique(place[here], return_index=True)[1]] = True
-                told = np.concatenate([alone, here])
-                tells = np.concatenate([np.ones(len(alone), bool), speaks])
-                settled = np.arange(len(told)) >= len(alone)
-                d = owner(first, w[told])
+                w, h, more = _near_windows(first, words, window, anchors)
+                some = repeated.has(h)
+                w, h, more = w[some], h[some], more[some]
+                d = owner(first, w)
                 ids = pa.array(d + lo)
-                # a settled window that tells nobody needs no partner: a hash of its own spreads such rows
-                own = mix(h[told] + np.arange(1, len(told) + 1, dtype=np.uint64))
                 yield pa.RecordBatch.from_arrays(
-                    [signed(np.where(tells, h[told], own)), doc_id.take(ids), key.take(ids),
-                     pa.array((w[told] - first[d]).astype(np.int32)), pa.array(tells), pa.array(settled)],
-                    ["win", "doc_id", "key", "pos", "tells", "settled"])
+                    [signed(h), pa.array(more), batch.column(0).take(ids), batch.column(1).take(ids),
+                     pa.array((w - first[d]).astype(np.int32))], ["win", "more", "doc_id", "key", "pos"])
     return run
 
 
@@ -138,11 +155,12 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, chunk_bytes: int = C
     anchors = (docs.select("text").mapInArrow(_count_anchors(window), "anchor long, n long")
                .groupBy("anchor").agg(F.sum("n").alias("n")).filter("n > 1").select("anchor"))
     bloom = Bloom.of(save(anchors, "anchors"), "anchor")
-    windows = docs.select("doc_id", "key", "text").mapInArrow(
-        _extend(window, bloom, chunk_bytes), "win long, doc_id long, key long, pos int, tells boolean, settled boolean")
-    told = F.count(F.when(F.col("tells"), 1)).over(Window.partitionBy("win"))
-    repeated = windows.withColumn("told", told).filter("settled or told > 1")
-    places = repeated.groupBy("doc_id", "key").agg(F.collect_set("pos").alias("at"))
+    counted = docs.select("text").mapInArrow(_count_windows(window, bloom, chunk_bytes), "win long, more int, n long")
+    repeated = save(counted.groupBy("win", "more").agg(F.sum("n").alias("n")).filter("n > 1").select("win", "more"), "windows")
+    found = docs.select("doc_id", "key", "text").mapInArrow(
+        _places(window, bloom, Bloom.of(repeated, "win"), chunk_bytes), "win long, more int, doc_id long, key long, pos int")
+    found = found.join(repeated, ["win", "more"], "left_semi")
+    places = found.groupBy("doc_id", "key").agg(F.collect_set("pos").alias("at"))
     right = places.select(F.col("doc_id").alias("d"), F.col("key").alias("k"), "at")
     met = docs.join(right, docs.doc_id.eqNullSafe(right.d) & (docs.key == right.k), "left")
     return met.select("doc_id", "text", "at").mapInArrow(

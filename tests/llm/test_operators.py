@@ -147,6 +147,36 @@ def test_substrings_equal_brute_force(docs, pairs, chunk):
     assert sum(r > 0 for _, r, _ in want) > 10
 
 
+def test_substrings_with_full_filters_and_a_hot_window(spark, monkeypatch):
+    """Filters that hold next to nothing change no result, and no window of rows gathers a hot passage in one task."""
+    monkeypatch.setattr(Bloom, "MAX_LOG2", 10)
+    hot = " ".join(f"h{i}" for i in range(40))
+    texts = [f"{' '.join(f'd{d}w{i}' for i in range(30))} {hot} {' '.join(f'd{d}v{i}' for i in range(d % 7))}" for d in range(600)]
+    texts += [" ".join(f"only{i}" for i in range(300)), " ".join(f"h{i}" for i in range(34)), hot + " end", "", None]
+    rows = list(enumerate(texts))
+    out = substring.dedup_substrings(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), chunk_bytes=5000)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "LeftSemi" in plan
+    assert got(out, "doc_id", "n_words", "n_removed", "kept") == Counter(
+        (d, *w) for (d, _), w in zip(rows, brute.substrings([t for _, t in rows])))
+
+
+def test_windows_are_told_apart_by_more_than_one_hash(spark, monkeypatch):
+    """Two windows whose first hashes are equal are still two windows."""
+    plain = substring.window_hashes
+    calls = []
+
+    def equal(words, k):
+        calls.append(k)
+        return plain(words, k) if k != substring.WINDOW or calls.count(k) % 2 else np.zeros(max(len(words) - k + 1, 0), np.uint64)
+    monkeypatch.setattr(substring, "window_hashes", equal)
+    words = np.random.default_rng(3).integers(0, 2**63, 80).view(np.uint64)
+    first = np.array([0, 80])
+    every = type("Every", (), {"has": staticmethod(lambda h: np.ones(len(h), bool))})
+    w, h, more = substring._near_windows(first, words, substring.WINDOW, every)
+    assert len(w) == 46 and set(h.tolist()) == {0} and len(set(more.tolist())) == 46
+
+
 def test_cover_meets_every_shift():
     p, c = substring.PERIOD, set(substring.COVER)
     assert all(any((i + k) % p in c and (j + k) % p in c for k in range(p)) for i in range(p) for j in range(p))
