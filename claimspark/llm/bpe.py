@@ -17,7 +17,7 @@ from __future__ import annotations
 
 import base64
 import heapq
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from claimspark.llm.common import doc_columns, doc_rows, map_docs
+from claimspark.llm.common import doc_columns, map_docs
 from claimspark.llm.pretokens import every_character, kind_table, pre_tokens, ragged, unpack_kinds
 from claimspark.llm.scan import byte_values, lists, mix, span_hashes, text_chunks
 
@@ -115,10 +115,15 @@ class Vocabulary:
         self.entries = [strings[i] for i in np.argsort(slots)]
         self.ids = np.array([ranks[s] for s in self.entries], np.int32)
         self.kinds = kinds
-        self._state = None
+        self._state = self._decoder = None
 
     def __getstate__(self):
-        return {"hash": self.hash, "entries": self.entries, "ids": self.ids, "kinds": self.kinds, "_state": None}
+        return {"hash": self.hash, "entries": self.entries, "ids": self.ids, "kinds": self.kinds, "_state": None, "_decoder": None}
+
+    def decoder(self) -> "Decoder":
+        if self._decoder is None:  # once per task process
+            self._decoder = Decoder(self)
+        return self._decoder
 
     def _load(self):
         if self._state is None:  # once per task process
@@ -186,9 +191,31 @@ def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(ranks, rank_kinds(ranks))
 
 
-def encode(docs: DataFrame, vocab: Vocabulary, carry: bool = False) -> DataFrame:
-    """doc_id and ids (array of int): one row per document; with ``carry`` also text and row, all given columns."""
-    docs = doc_rows(docs).withColumn("given", F.col("text")) if carry else doc_columns(docs)
+class Decoder:
+    """The bytes of every id, one after another, and where each one's stand."""
+
+    def __init__(self, vocab: Vocabulary):
+        order = np.argsort(vocab.ids)
+        strings = [vocab.entries[i] for i in order]
+        self.size = np.zeros(int(vocab.ids.max()) + 1, np.int64)
+        self.size[vocab.ids[order]] = [len(s) for s in strings]
+        self.begin = np.cumsum(self.size) - self.size
+        self.flat = np.frombuffer(b"".join(strings), np.uint8)
+
+    def texts(self, ids: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(all bytes, offsets) of texts with ``counts`` ids each."""
+        size = self.size[ids]
+        stops = np.concatenate([[0], np.cumsum(size)])[np.concatenate([[0], np.cumsum(counts)])]
+        return ragged(self.flat, self.begin[ids], size), stops
+
+
+def _binary(data: np.ndarray, stops: np.ndarray) -> pa.Array:
+    return pa.BinaryArray.from_buffers(pa.binary(), len(stops) - 1, [None, pa.py_buffer(stops.astype(np.int32)), pa.py_buffer(data)])
+
+
+def encode(docs: DataFrame, vocab: Vocabulary) -> DataFrame:
+    """doc_id and ids (array of int): one row per document."""
+    docs = doc_columns(docs)
     shared = docs.sparkSession.sparkContext.broadcast(vocab)  # as large as the vocabulary file
 
     def run(batch: pa.RecordBatch) -> Iterator[tuple[int, list]]:
@@ -203,13 +230,7 @@ def decode(encoded: DataFrame, vocab: Vocabulary) -> DataFrame:
     shared = encoded.sparkSession.sparkContext.broadcast(vocab)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of = shared.value.ids
-        order = np.argsort(ids_of)
-        strings = [shared.value.entries[i] for i in order]
-        size = np.zeros(int(ids_of.max()) + 1, np.int64)
-        size[ids_of[order]] = [len(s) for s in strings]
-        begin = np.cumsum(size) - size
-        flat = np.frombuffer(b"".join(strings), np.uint8)
+        decoder = Decoder(shared.value)
         for batch in batches:
             at = batch.schema.get_field_index("ids")
             counts = batch.column(at).value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
@@ -217,18 +238,40 @@ def decode(encoded: DataFrame, vocab: Vocabulary) -> DataFrame:
             while lo < len(counts):
                 hi = max(lo + 1, int(np.searchsorted(total, total[lo] + DECODE_IDS, "right")) - 1)
                 part = batch.slice(lo, hi - lo)
-                ids = part.column(at).flatten().to_numpy()
-                text = ragged(flat, begin[ids], size[ids])
-                stops = np.concatenate([[0], np.cumsum(size[ids])])[total[lo:hi + 1] - total[lo]].astype(np.int32)
-                decoded = pa.BinaryArray.from_buffers(pa.binary(), hi - lo, [None, pa.py_buffer(stops), pa.py_buffer(text)])
+                decoded = _binary(*decoder.texts(part.column(at).flatten().to_numpy(), counts[lo:hi]))
                 yield pa.RecordBatch.from_arrays([*part.columns, decoded], [*part.schema.names, "decoded"])
                 lo = hi
     return encoded.mapInArrow(run, T.StructType([*encoded.schema.fields, T.StructField("decoded", T.BinaryType())]))
 
 
+def round_trip(docs: DataFrame, vocab: Vocabulary, carry: Sequence[str] = ()) -> DataFrame:
+    """doc_id, ids, decoded and same (the decoded bytes are the text's): encoded and decoded again in one pass.
+
+    One task process does both, so that the ids do not go to Spark and back in
+    between.  The columns named in ``carry`` are passed on as they are, in the struct row.
+    """
+    read = doc_columns(docs)
+    if carry:
+        read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"),
+                           F.struct(*carry).alias("row"))
+    shared = read.sparkSession.sparkContext.broadcast(vocab)  # as large as the vocabulary file
+
+    def run(batch: pa.RecordBatch) -> Iterator[tuple[int, list]]:
+        decoder = shared.value.decoder()
+        for lo, hi, data, off in text_chunks(batch.column(1)):
+            ids, counts = shared.value.encode_chunk(data, off)
+            back, stops = decoder.texts(ids, counts)
+            if np.array_equal(back, data) and np.array_equal(stops, off):
+                same = np.ones(hi - lo, bool)
+            else:
+                same = np.array([np.array_equal(back[stops[k]:stops[k + 1]], data[off[k]:off[k + 1]]) for k in range(hi - lo)])
+            yield hi - lo, [batch.column(0).slice(lo, hi - lo), lists(pa.array(ids), counts), _binary(back, stops), pa.array(same)]
+    return map_docs(read, run, "doc_id bigint, ids array<int>, decoded binary, same boolean")
+
+
 def digests(docs: DataFrame, vocab: Vocabulary) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256: encoded, decoded again and summed up."""
-    both = decode(encode(docs, vocab), vocab)
+    both = round_trip(docs, vocab)
     written = F.array_join(F.col("ids").cast("array<string>"), " ")
     return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(written, 256).alias("ids_sha256"),
                        F.sha2("decoded", 256).alias("decoded_sha256"))

@@ -54,7 +54,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from claimspark.llm.common import doc_columns, doc_rows, map_docs
-from claimspark.llm.scan import mix, span_hashes, text_chunks
+from claimspark.llm.scan import mix, release, span_hashes, text_chunks
 
 MAX_FIT_DOCS, MAX_FIT_BYTES = 4000, 1 << 16
 DECAY = 0.5
@@ -474,6 +474,8 @@ def _fit_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
          pa.array([m.runs.weights.astype(float).tobytes() if m.runs else None], pa.binary()),
          pa.array([[m.runs.offset, m.runs.slope, m.runs.shift] if m.runs else None], pa.list_(pa.float64()))],
         ["weights", "rest", "codes", "pairs", "runs"])
+    del rows, text, toxic, m
+    release()
 
 
 def held_out() -> Column:

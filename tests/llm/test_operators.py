@@ -258,6 +258,17 @@ def test_bpe_digests(docs, pairs, vocab, empty):
     assert bpe.digests(empty, vocab).count() == 0
 
 
+def test_bpe_round_trip_equals_encode_then_decode(docs, vocab, empty):
+    rows = docs.select("doc_id", "text").withColumn("ids", F.lit("x")).withColumn("row", F.lit(1)).withColumn("same", F.lit(None).cast("int"))
+    out = bpe.round_trip(rows, vocab, carry=("ids", "row", "same"))
+    assert out.columns == ["doc_id", "ids", "decoded", "same", "row"]
+    want = Counter((r.doc_id, tuple(r.ids), bytes(r.decoded)) for r in bpe.decode(bpe.encode(docs, vocab), vocab).collect())
+    found = out.collect()
+    assert Counter((r.doc_id, tuple(r.ids), bytes(r.decoded)) for r in found) == want
+    assert all(r.same for r in found) and {tuple(r.row) for r in found} == {("x", 1, None)}
+    assert bpe.round_trip(empty, vocab).count() == 0
+
+
 def test_token_files_hold_the_library_ids(spark, docs, pairs):
     from tokenizers import Tokenizer
 
