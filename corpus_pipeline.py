@@ -45,10 +45,9 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang, source, n_tokens, ids, and whether the ids decode to the text."""
     vocab = bpe.vocabulary(tokenizer_file("byte_bpe_50k.tiktoken"))
-    out = bpe.decode(bpe.encode(docs, vocab, carry=True), vocab)
-    same = F.col("decoded") == F.coalesce("given", F.lit("")).cast("binary")
+    out = bpe.round_trip(docs, vocab, carry=("doc_id", "lang", "source"))
     return out.select("row.doc_id", "row.lang", "row.source", F.size("ids").cast("long").alias("n_tokens"), "ids",
-                      same.alias("round_trip"))
+                      F.col("same").alias("round_trip"))
 
 
 STAGES = [
