@@ -63,7 +63,7 @@ m AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(solid) AS BI
   CAST(coalesce(q.n, 0) AS BIGINT) AS n_repeat_words, CAST(len(lines) AS BIGINT) AS n_lines,
   CAST(len(list_filter(lines, lambda x: rtrim(x, ' ') LIKE '%...')) AS BIGINT) AS n_ellipsis_lines,
   CAST(len(list_filter(lines, lambda x: ltrim(x, ' ') LIKE '- %')) AS BIGINT) AS n_bullet_lines,
-  CAST(len(list_intersect(w, [{STOPS}])) AS BIGINT) AS n_stop_words
+  CAST(len(list_filter(w, lambda x: lower(x) IN ({STOPS}))) AS BIGINT) AS n_stop_words
   FROM l LEFT JOIN q USING (r)),
 b AS (SELECT *, n_words < {Q.MIN_WORDS} OR 100 * n_repeat_words > {Q.MAX_REPEAT_PERCENT} * n_words AS base_failed FROM m)
 SELECT *, NOT base_failed AND {RULES} AS kept FROM b

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 WHITE = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
 
-# Common function words of English, Spanish, French and German: fixed values.
+# Common function words of English, Spanish, French and German, found in either case: fixed values.
 STOP_WORDS = (
     "the", "of", "and", "to", "in", "is", "that", "it", "for", "was", "with", "be", "have", "this", "are",
     "de", "la", "que", "el", "en", "y", "los", "se", "del", "las", "un", "por", "con", "una", "para",
@@ -37,10 +37,11 @@ RATIOS = (
     ("n_dup_lines", "n_lines", 0, 50),      # lines equal to an earlier line
     ("n_ellipsis_lines", "n_lines", 0, 30),
     ("n_bullet_lines", "n_lines", 0, 90),
+    ("n_stop_words", "n_words", 5, 100),    # function words among all words
 )
 # measure and the least value that passes
 MINIMA = (
-    ("n_stop_words", 2),                    # different function words
+    ("n_stop_words", 2),
 )
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 
@@ -70,10 +71,9 @@ def measures(text: Column) -> Column:
     solid = F.translate(text, WHITE, "")
     words = F.array_remove(F.split(text, r"[\x20\x09-\x0D]+"), "")
     lines = F.filter(F.split(text, "\n"), lambda x: F.btrim(x, F.lit(WHITE)) != "")
-    stops = F.array(*[F.lit(w) for w in STOP_WORDS])
     of_words = let(words, lambda w: F.struct(
         F.size(w).alias("n_words"), _repeated_words(w).alias("n_repeat_words"),
-        F.size(F.array_intersect(w, stops)).alias("n_stop_words")))
+        F.size(F.filter(w, lambda x: F.lower(x).isin(*STOP_WORDS))).alias("n_stop_words")))
     of_lines = let(lines, lambda x: F.struct(
         F.size(x).alias("n_lines"), (F.size(x) - F.size(F.array_distinct(x))).alias("n_dup_lines"),
         F.size(F.filter(x, lambda y: F.endswith(F.rtrim(y), F.lit("...")))).alias("n_ellipsis_lines"),

@@ -117,11 +117,20 @@ def _encoder(path: str, kinds: bytes) -> PieceEncoder:
     return _ENCODERS[path]
 
 
+def arrow_name(folder: str) -> str:
+    """A folder named as Spark names it, as Arrow names it: ``s3a://`` is its ``s3://``.
+
+    Arrow takes the keys and the region of an object store from the environment of the task processes.
+    """
+    if folder.startswith("file:") or "://" not in folder:
+        return "file://" + "/" + folder.removeprefix("file:").lstrip("/")
+    scheme, rest = folder.split("://", 1)
+    return f"{'s3' if scheme in ('s3a', 's3n') else scheme}://{rest}"
+
+
 def _open(folder: str):
     """(file system, path) of a folder named as Spark names it."""
-    if folder.startswith("file:") or "://" not in folder:
-        folder = "file://" + "/" + folder.removeprefix("file:").lstrip("/")
-    return pafs.FileSystem.from_uri(folder)
+    return pafs.FileSystem.from_uri(arrow_name(folder))
 
 
 def _batch(ids: np.ndarray) -> pa.RecordBatch:

@@ -95,6 +95,16 @@ def test_quality_verdicts(spark):
     assert [out[k].base_failed for k in (1, 5, 6)] == [False, True, True]
 
 
+def test_quality_stop_word_ratio(spark):
+    good = " ".join(f"the word{i} of paper{i} and" for i in range(30))
+    salad = " ".join(f"zq{i} rv{i} ww{i}" for i in range(400))
+    rows = [(1, good.upper()), (2, f"the {salad} and of {salad.replace('zq', 'xq')}"), (3, f"The OF {salad}"), (4, " ".join(f"w{i}" for i in range(95)) + " the of AND To In"),
+            (5, " ".join(f"w{i}" for i in range(96)) + " the of AND To")]
+    out = {r.doc_id: r for r in quality.quality(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [out[k].n_stop_words for k in (1, 2, 3, 4, 5)] == [90, 3, 2, 5, 4]
+    assert [out[k].kept for k in (1, 2, 3, 4, 5)] == [True, False, False, True, False]  # five of a hundred words are enough
+
+
 @pytest.mark.parametrize("limit", [0, 700, 5000, 1 << 30])
 def test_shards_fit_and_split_no_further_than_needed(docs, limit):
     rows = [r.asDict() for r in sharding.shard(docs, limit).collect()]
@@ -269,6 +279,12 @@ def test_bpe_round_trip_equals_encode_then_decode(docs, vocab, empty):
     assert bpe.round_trip(empty, vocab).count() == 0
 
 
+def test_token_folder_names():
+    assert tokenfiles.arrow_name("s3a://bucket/a b/c") == "s3://bucket/a b/c"
+    assert tokenfiles.arrow_name("hdfs://host:9000/x") == "hdfs://host:9000/x"
+    assert tokenfiles.arrow_name("file:/tmp/x") == tokenfiles.arrow_name("/tmp/x") == tokenfiles.arrow_name("file:///tmp/x") == "file:///tmp/x"
+
+
 def test_token_files_hold_the_library_ids(spark, docs, pairs):
     from tokenizers import Tokenizer
 
