@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from claimspark.llm import bpe, decontaminate, html, jaccard, quality, secrets, sharding, substring, tokenfiles, toxicity
 from claimspark.llm.common import Bloom, tokenizer_file
-from claimspark.plans.session import scratch_path
+from claimspark.plans.session import save, scratch_path
 from tests.llm import brute
 
 
@@ -31,6 +31,25 @@ def test_decontamination_equals_brute_force(spark, docs, pairs, texts):
     assert sum(h > 0 for _, h, _ in want) > 5
 
 
+def test_windows_of_a_benchmark_are_written_without_a_shuffle(spark, monkeypatch):
+    """Windows of several items or repeated in one are put together later, not in a shuffle of many small files."""
+    plans = {}
+
+    def seen(df, kind):
+        plans[kind] = df._jdf.queryExecution().executedPlan().toString()
+        return save(df, kind)
+    monkeypatch.setattr(decontaminate, "save", seen)
+    twice = " ".join(f"q{i}" for i in range(12))
+    items = [(1, twice), (2, f"{twice} {twice}"), (2, twice), (None, twice), (None, "q3 q4"), (None, "q3 q4")]
+    texts = [f"x {twice} y {twice}", "q3 q4 q3 q4", "q3 only", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = decontaminate.decontaminate(docs, spark.createDataFrame(items, "item_id long, text string"))
+    want = brute.contamination(texts, items)
+    assert got(out, "doc_id", "n_words", "n_hit", "items") == Counter((d, n, h, tuple(x)) for d, (n, h, x) in enumerate(want))
+    assert want[0][2] == ["1", "2", "null"]
+    assert "Exchange" not in plans["windows"] and "Exchange" in plans["hits"]
+
+
 def test_decontamination_of_empty_tables(spark, docs, empty):
     items = spark.createDataFrame([], "item_id long, text string")
     assert decontaminate.decontaminate(docs, items).filter("contaminated").count() == 0
