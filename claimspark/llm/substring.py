@@ -16,6 +16,11 @@ windows always have an equal anchor at the same place in both.
    texts and joined with them; a window that stands in very many documents is
    a hot key of that join alone, which adaptive execution can split.
 4. Each document gets its repeated windows and drops the words they cover.
+   Windows are grouped by the columns that the texts are joined by, so that
+   they are shuffled once for both.
+
+Steps 1 and 2 are written below the shared folder; their shuffle files go as
+soon as they are done.
 
 The repeated anchors and the repeated windows reach the tasks as Bloom filters
 of bounded size; one that is too full only lets more windows be compared.
@@ -41,7 +46,7 @@ from claimspark.llm.scan import (
     SPACED_WORDS, byte_values, join_words, mix, owner, signed, span_hashes, spans, text_chunks, window_hashes,
     window_starts,
 )
-from claimspark.plans.session import save
+from claimspark.plans.session import save_and_free
 
 CHUNK_BYTES = 4 << 20  # each sends its distinct windows once, so larger chunks shuffle less
 WINDOW = 35
@@ -154,14 +159,15 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, chunk_bytes: int = C
     docs = doc_columns(docs).withColumn("key", F.xxhash64("text"))
     anchors = (docs.select("text").mapInArrow(_count_anchors(window), "anchor long, n long")
                .groupBy("anchor").agg(F.sum("n").alias("n")).filter("n > 1").select("anchor"))
-    bloom = Bloom.of(save(anchors, "anchors"), "anchor")
+    bloom = Bloom.of(save_and_free(anchors, "anchors"), "anchor")
     counted = docs.select("text").mapInArrow(_count_windows(window, bloom, chunk_bytes), "win long, more int, n long")
-    repeated = save(counted.groupBy("win", "more").agg(F.sum("n").alias("n")).filter("n > 1").select("win", "more"), "windows")
+    counts = counted.groupBy("win", "more").agg(F.sum("n").alias("n"))
+    repeated = save_and_free(counts.filter("n > 1").select("win", "more"), "windows")
     found = docs.select("doc_id", "key", "text").mapInArrow(
         _places(window, bloom, Bloom.of(repeated, "win"), chunk_bytes), "win long, more int, doc_id long, key long, pos int")
     found = found.join(repeated, ["win", "more"], "left_semi")
-    places = found.groupBy("doc_id", "key").agg(F.collect_set("pos").alias("at"))
-    right = places.select(F.col("doc_id").alias("d"), F.col("key").alias("k"), "at")
-    met = docs.join(right, docs.doc_id.eqNullSafe(right.d) & (docs.key == right.k), "left")
+    same = [F.coalesce("doc_id", F.lit(0)).alias("id"), F.isnull("doc_id").alias("no_id"), F.col("key")]
+    places = found.groupBy(*same).agg(F.collect_set("pos").alias("at"))
+    met = docs.select("doc_id", "text", *same).join(places, ["id", "no_id", "key"], "left")
     return met.select("doc_id", "text", "at").mapInArrow(
         _remove(window), "doc_id long, n_words long, n_removed long, kept string")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import time
 import zlib
 from collections import Counter
 
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 
 from claimspark.llm import bpe, decontaminate, html, jaccard, quality, secrets, sharding, substring, tokenfiles, toxicity
 from claimspark.llm.common import Bloom, tokenizer_file
-from claimspark.plans.session import save, scratch_path
+from claimspark.plans.session import save, save_and_free, scratch_path
 from tests.llm import brute
 
 
@@ -190,6 +191,42 @@ def test_substrings_with_full_filters_and_a_hot_window(spark, monkeypatch):
         (d, *w) for (d, _), w in zip(rows, brute.substrings([t for _, t in rows])))
 
 
+def test_places_are_shuffled_once(spark):
+    """The places of a document's windows meet its text where they were grouped; documents without an id stay apart."""
+    run = " ".join(f"r{i}" for i in range(40))
+    rows = [(None, f"{run} a"), (0, f"b {run}"), (None, "c"), (0, f"{run} a"), (0, f"{run} a"), (3, f"{run} {run}"), (3, None)]
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "-1")
+    try:
+        out = substring.dedup_substrings(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") == 4  # places, repeated windows, places by document, texts
+        assert got(out, "doc_id", "n_words", "n_removed", "kept") == Counter(
+            (d, *w) for (d, _), w in zip(rows, brute.substrings([t for _, t in rows])))
+    finally:
+        spark.conf.set(key, before)
+
+
+def test_shuffles_of_a_saved_table_are_freed(spark):
+    """Not only when the driver happens to collect its garbage; the setting is as before afterwards."""
+    disk = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager()
+
+    def shuffles():
+        blocks = disk.getAllBlocks()
+        return {b for b in (blocks.apply(i).toString() for i in range(blocks.size())) if b.endswith(".data")}
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    setting, before = spark.conf.get(key, None), shuffles()
+    grouped = spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count()
+    out = save_and_free(grouped, "freed")
+    for _ in range(50):  # files go in the background
+        if not (left := shuffles() - before):
+            break
+        time.sleep(0.2)
+    assert not left and spark.conf.get(key, None) == setting
+    assert got(out, "k", "count") == got(grouped, "k", "count")
+
+
 def test_windows_are_told_apart_by_more_than_one_hash(spark, monkeypatch):
     """Two windows whose first hashes are equal are still two windows."""
     plain = substring.window_hashes
