@@ -19,8 +19,8 @@ windows always have an equal anchor at the same place in both.
    Windows are grouped by the columns that the texts are joined by, so that
    they are shuffled once for both.
 
-Steps 1 and 2 are written below the shared folder; their shuffle files go as
-soon as they are done.
+Steps 1 and 2 are written below the shared folder; their shuffle files, and
+those that their filters are made by, go as soon as they are done.
 
 The repeated anchors and the repeated windows reach the tasks as Bloom filters
 of bounded size; one that is too full only lets more windows be compared.
@@ -46,17 +46,25 @@ from claimspark.llm.scan import (
     SPACED_WORDS, byte_values, join_words, mix, owner, signed, span_hashes, spans, text_chunks, window_hashes,
     window_starts,
 )
-from claimspark.plans.session import save_and_free
+from claimspark.plans.session import save_and_free, shuffles_freed
 
 CHUNK_BYTES = 4 << 20  # each sends its distinct windows once, so larger chunks shuffle less
+HASHED_BYTES = 1 << 20  # of a chunk at a time, as several arrays hold 8 bytes for each byte of text
 WINDOW = 35
 PERIOD, COVER = 21, (3, 6, 7, 12, 14)
 OTHER_HASH = np.uint64(0xC2B2AE3D27D4EB4F)  # turns word hashes into others, for a second window hash
 
 
 def _word_hashes(data: np.ndarray, off: np.ndarray):
-    starts, ends, first = spans(data, off, SPACED_WORDS)
-    return first, span_hashes(data, starts, ends, byte_values(fold=False))
+    firsts, hashes, n, lo = [np.zeros(1, np.int64)], [np.empty(0, np.uint64)], 0, 0
+    while lo < len(off) - 1:
+        hi = max(int(np.searchsorted(off, off[lo] + HASHED_BYTES, "right")) - 1, lo + 1)
+        part = data[off[lo]:off[hi]]
+        starts, ends, first = spans(part, off[lo:hi + 1] - off[lo], SPACED_WORDS)
+        hashes.append(span_hashes(part, starts, ends, byte_values(fold=False)))
+        firsts.append(first[1:] + n)
+        n, lo = n + len(starts), hi
+    return np.concatenate(firsts), np.concatenate(hashes)
 
 
 def _anchors(first: np.ndarray, size: int) -> np.ndarray:
@@ -159,12 +167,16 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, chunk_bytes: int = C
     docs = doc_columns(docs).withColumn("key", F.xxhash64("text"))
     anchors = (docs.select("text").mapInArrow(_count_anchors(window), "anchor long, n long")
                .groupBy("anchor").agg(F.sum("n").alias("n")).filter("n > 1").select("anchor"))
-    bloom = Bloom.of(save_and_free(anchors, "anchors"), "anchor")
+    anchors = save_and_free(anchors, "anchors")
+    with shuffles_freed(docs.sparkSession):
+        bloom = Bloom.of(anchors, "anchor")
     counted = docs.select("text").mapInArrow(_count_windows(window, bloom, chunk_bytes), "win long, more int, n long")
     counts = counted.groupBy("win", "more").agg(F.sum("n").alias("n"))
     repeated = save_and_free(counts.filter("n > 1").select("win", "more"), "windows")
+    with shuffles_freed(docs.sparkSession):
+        passed = Bloom.of(repeated, "win")
     found = docs.select("doc_id", "key", "text").mapInArrow(
-        _places(window, bloom, Bloom.of(repeated, "win"), chunk_bytes), "win long, more int, doc_id long, key long, pos int")
+        _places(window, bloom, passed, chunk_bytes), "win long, more int, doc_id long, key long, pos int")
     found = found.join(repeated, ["win", "more"], "left_semi")
     same = [F.coalesce("doc_id", F.lit(0)).alias("id"), F.isnull("doc_id").alias("no_id"), F.col("key")]
     places = found.groupBy(*same).agg(F.collect_set("pos").alias("at"))

@@ -108,13 +108,14 @@ def save(df: DataFrame, kind: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def save_and_free(df: DataFrame, kind: str) -> DataFrame:
-    """As ``save``; the shuffle files of the write go at its end, not when the driver next collects its garbage."""
-    spark, key = df.sparkSession, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+@contextmanager
+def shuffles_freed(spark: SparkSession) -> Iterator[None]:
+    """The shuffle files of each action inside go at its end, not when the driver next collects its garbage."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
     before = spark.conf.get(key, None)
     spark.conf.set(key, "true")
     try:
-        return save(df, kind)
+        yield
     finally:
         if before is None:
             spark.conf.unset(key)
@@ -122,6 +123,12 @@ def save_and_free(df: DataFrame, kind: str) -> DataFrame:
             spark.conf.set(key, before)
 
 
+def save_and_free(df: DataFrame, kind: str) -> DataFrame:
+    """As ``save``; the shuffle files of the write go at its end."""
+    with shuffles_freed(df.sparkSession):
+        return save(df, kind)
+
+
 def delete_path(spark: SparkSession, path: str) -> None:
     """Remove a folder through Spark's own file system layer."""
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -227,6 +227,43 @@ def test_shuffles_of_a_saved_table_are_freed(spark):
     assert got(out, "k", "count") == got(grouped, "k", "count")
 
 
+def test_no_shuffle_stays_behind_the_filters_of_substrings(spark, docs):
+    """Not even those of the filters: the places and the texts are shuffled while the disk holds them."""
+    disk = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager()
+
+    def shuffles():
+        blocks = disk.getAllBlocks()
+        return {b for b in (blocks.apply(i).toString() for i in range(blocks.size())) if b.endswith(".data")}
+    before = shuffles()
+    out = substring.dedup_substrings(docs)
+    for _ in range(50):  # files go in the background
+        if not (left := shuffles() - before):
+            break
+        time.sleep(0.2)
+    assert not left
+    assert out.count() == docs.count()
+
+
+def test_words_of_a_chunk_are_hashed_a_part_at_a_time(monkeypatch, texts):
+    """The same words and hashes, without arrays of 8 bytes for each byte of a whole chunk."""
+    raw = [(t or "").encode() for t in texts]
+    data, off = np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)])
+    first, words = substring._word_hashes(data, off)
+    sizes, plain = [], substring.span_hashes
+
+    def seen(part, *given):
+        sizes.append(len(part))
+        return plain(part, *given)
+    monkeypatch.setattr(substring, "span_hashes", seen)
+    monkeypatch.setattr(substring, "HASHED_BYTES", 1000)
+    parts = substring._word_hashes(data, off)
+    assert np.array_equal(parts[0], first) and np.array_equal(parts[1], words)
+    assert max(sizes) == max(map(len, raw)) and sum(sizes) == len(data)  # only one longer text is taken whole
+    assert first[-1] == len(words) == sum(len(t.split()) for t in raw)
+    nothing = substring._word_hashes(data[:0], np.zeros(1, np.int64))
+    assert nothing[0].tolist() == [0] and not len(nothing[1])
+
+
 def test_windows_are_told_apart_by_more_than_one_hash(spark, monkeypatch):
     """Two windows whose first hashes are equal are still two windows."""
     plain = substring.window_hashes
